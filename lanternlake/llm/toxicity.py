@@ -89,8 +89,8 @@ def train(texts: list[str | None], toxic: list[int], s: Settings) -> Model:
             docs.append((ids, (weight / (weight.sum() + s.prior)).astype(np.float32)))
         else:
             docs.append((np.zeros(1, np.int64), np.zeros(1, np.float32)))
-    table = rng.normal(0, 0.1, (s.buckets, s.dim)).astype(np.float32)
-    out, bias = rng.normal(0, 0.1, (s.dim, 2)).astype(np.float32), np.zeros(2, np.float32)
+    table = np.zeros((s.buckets, s.dim), np.float32)  # features that no text had stay without evidence
+    out, bias = rng.normal(0, 0.3, (s.dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, out, bias)]
     share = np.where(y > 0, s.toxic_share / y.mean(), (1 - s.toxic_share) / (1 - y.mean()))
     scale, step, total = 30.0, 0, s.epochs * -(-len(docs) // s.batch)
