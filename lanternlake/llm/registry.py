@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_native, queries_tokens, queries_toxicity
+from . import queries_native, queries_tokens, queries_toxicity, queries_warc
 
 QUERIES = {
+    "op1_warc": queries_warc.op1_warc,
     "op3_toxicity": queries_toxicity.op3_toxicity,
     "op4_edit_token_counts": queries_tokens.op4_edit_token_counts,
     "op6_mix_sources": queries_native.op6_mix_sources,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_bpe_round_trip": queries_tokens.op9_bpe_round_trip,
 }
 
-SQL = {"op6_mix_sources": queries_native.OP6_SQL}
+SQL = {"op1_warc": queries_warc.OP1_SQL, "op6_mix_sources": queries_native.OP6_SQL}
