@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import queries_native, queries_tokens, queries_toxicity, queries_warc
+from . import queries_dedup, queries_native, queries_tokens, queries_toxicity, queries_warc
 
 QUERIES = {
     "op1_warc": queries_warc.op1_warc,
     "op3_toxicity": queries_toxicity.op3_toxicity,
     "op4_edit_token_counts": queries_tokens.op4_edit_token_counts,
+    "op5_minhash_near_dedup": queries_dedup.op5_minhash_near_dedup,
     "op6_mix_sources": queries_native.op6_mix_sources,
+    "op7_embedding_near_dedup": queries_dedup.op7_embedding_near_dedup,
     "op8_quality_rules": queries_native.op8_quality_rules,
     "op9_bpe_round_trip": queries_tokens.op9_bpe_round_trip,
 }
