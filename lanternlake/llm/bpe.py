@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that a task keeps of pre-tokens seen before; beyond that it starts afresh.
-CACHE = 400_000
+CACHE = 1_000_000
 _NONE = 1 << 62
 
 
