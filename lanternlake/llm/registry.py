@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_native, queries_tokens, queries_toxicity, queries_warc
+from . import queries_dedup, queries_native, queries_repeats, queries_tokens, queries_toxicity, queries_warc
 
 QUERIES = {
     "op1_warc": queries_warc.op1_warc,
+    "op2_suffix_array_dedup": queries_repeats.op2_suffix_array_dedup,
     "op3_toxicity": queries_toxicity.op3_toxicity,
     "op4_edit_token_counts": queries_tokens.op4_edit_token_counts,
     "op5_minhash_near_dedup": queries_dedup.op5_minhash_near_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_embedding_near_dedup": queries_dedup.op7_embedding_near_dedup,
     "op8_quality_rules": queries_native.op8_quality_rules,
     "op9_bpe_round_trip": queries_tokens.op9_bpe_round_trip,
+    "op10_automaton_dedup": queries_repeats.op10_automaton_dedup,
 }
 
 SQL = {"op1_warc": queries_warc.OP1_SQL, "op6_mix_sources": queries_native.OP6_SQL}
