@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from . import operations_queries, retrieval_queries
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return retrieval_queries.QUERIES | operations_queries.QUERIES
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return retrieval_queries.SQL | operations_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return retrieval_queries.hybrid_search(spark, sf_dir)
