@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanternlake.functions import text as X
+from lanternlake.storage import checkpointed
 
 #: Kinds of symbols whose changed signature is a modification, not a removal and an addition (fixed values).
 MEMBER_KINDS = ("Method", "Constructor", "Property", "Field")
@@ -60,18 +61,19 @@ def direct(nodes: DataFrame, edges: DataFrame, symbol: str, dependents: bool = F
 def reach(seeds: DataFrame, edges: DataFrame, depth: int, nodes: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """(symbol_id, level): what depends on the seeds (symbol_id) within `depth` steps, at the first level, seeds left out.
 
-    Steps are joins, one a level, on the distinct edges; each level leaves out what was reached before. nodes: only known symbols
+    Steps are joins, one a level, on the distinct edges; each level leaves out what was reached before and is checkpointed, so
+    that no level repeats those before it. nodes: only known symbols
     count. by: a column that seeds have too, so that many searches go side by side.
     """
     keys = ["symbol_id"] + ([by] if by else [])
-    back = adjacency(edges).select(F.col("to_id").alias("symbol_id"), F.col("from_id").alias("next_id"))
+    back = checkpointed(adjacency(edges).select(F.col("to_id").alias("symbol_id"), F.col("from_id").alias("next_id")))
     seen = seeds.select(*keys).distinct().withColumn("level", F.lit(0))
     front = seen
     for level in range(1, depth + 1):
         step = front.join(back, "symbol_id").select(F.col("next_id").alias("symbol_id"), *keys[1:]).distinct()
         if nodes is not None:
             step = step.join(nodes.select("symbol_id"), "symbol_id", "left_semi")
-        front = step.join(seen.select(*keys), keys, "left_anti").withColumn("level", F.lit(level))
+        front = checkpointed(step.join(seen.select(*keys), keys, "left_anti").withColumn("level", F.lit(level)))
         seen = seen.unionByName(front)
     return seen.where("level > 0").select(*keys, "level")
 
