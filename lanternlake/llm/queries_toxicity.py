@@ -15,9 +15,8 @@ def held_out(doc_id) -> F.Column:
 
 def fitted(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Learns from the labelled documents that are not held out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
-    return toxicity.fit(docs.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

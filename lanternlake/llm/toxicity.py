@@ -81,14 +81,14 @@ def train(texts: list[str | None], toxic: list[int], s: Settings) -> Model:
         words, count = counted(t)
         for w in words:
             if w not in known:
-                known[w] = np.array(features(w, s), np.int64)
+                known[w] = np.array(features(w, s), np.int32)
         if words:
             sizes = np.array([len(known[w]) for w in words])
             ids, place = np.unique(np.concatenate([known[w] for w in words]), return_inverse=True)
             weight = np.bincount(place, np.repeat(count, sizes))
-            docs.append((ids, (weight / (weight.sum() + s.prior)).astype(np.float32)))
+            docs.append((ids.astype(np.int32), (weight / (weight.sum() + s.prior)).astype(np.float32)))
         else:
-            docs.append((np.zeros(1, np.int64), np.zeros(1, np.float32)))
+            docs.append((np.zeros(1, np.int32), np.zeros(1, np.float32)))
     table = np.zeros((s.buckets, s.dim), np.float32)  # features that no text had stay without evidence
     out, bias = rng.normal(0, 0.3, (s.dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, out, bias)]
@@ -136,17 +136,24 @@ def train(texts: list[str | None], toxic: list[int], s: Settings) -> Model:
     return Model((scale * table @ side).astype(np.float32), float(bias[1] - bias[0]), s)
 
 
-def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on at most settings.per_class rows of each label: those with the least hash of their id, so that reruns agree.
 
-    labelled: a row for each text with a label of 0 or 1; other labels and nulls are left out. The sample, not the table, comes to the driver.
+    labels: (id, label), labels other than 0 and 1, nulls and ids without a document are left out; of an id's labels the greatest counts.
+    Only ids are sorted, of about twice as many rows as are wanted; the texts of those picked come to the driver by a broadcast of their ids.
     """
-    picked = [
-        labelled.where(F.col(label_col) == k).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
-        .orderBy(F.xxhash64(F.col("id").cast("string")), "id", "text").limit(settings.per_class).collect()
-        for k in (0, 1)
-    ]
-    rows = [r for part in picked for r in part]
+    one = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    key = F.xxhash64(F.col("id").cast("string"), F.lit(settings.seed))
+    counts = dict(one.groupBy("y").count().collect())
+    picked = []
+    for y, n in counts.items():
+        share = min(1.0, 2.0 * settings.per_class / n + 1e-4)
+        near = one.where((F.col("y") == y) & (F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30))))
+        picked += near.orderBy(F.pmod(key, F.lit(1 << 30)), "id").limit(settings.per_class).collect()
+    spark = docs.sparkSession
+    ids = spark.createDataFrame(picked, one.schema) if picked else one.limit(0)
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").collect()
+    rows = sorted(found, key=lambda r: (r.y, str(r.id), r.text or ""))
     return train([r.text for r in rows], [r.y for r in rows], settings)
 
 
