@@ -17,22 +17,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group linked by a similarity of 0.8 of the sets of five-word shingles; rows without an id stay."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
-    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the smallest id of each group linked by a similarity of 0.8 of the sets of five-word shingles."""
+    return minhash.keep_one(docs, width=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out all strings of 400 bytes that occur twice; a document of nothing else stays with an empty text."""
-    kept = suffix_array.remove_repeats(docs.select("doc_id", "text"), width=400).select(F.col("doc_id").alias("kept_id"), "n_removed", F.col("kept").alias("kept_text"))
-    joined = docs.join(kept.where("n_removed > 0"), F.col("doc_id") == F.col("kept_id"), "left")
-    text = F.when(F.col("kept_id").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return _measured(suffix_array.cut(docs, width=400))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources by weight at 150 % of all words; documents taken more than once are repeated."""
-    return mixing.apply_mix(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return _measured(mixing.apply_mix(docs))
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, word_bounds, word_hashes
-from .repeats import Kind, covered, repeated
+from .common import text_bytes, with_rows, word_bounds, word_hashes
+from .repeats import Kind, covered, named, repeated
 
 #: Symbols of the sequences that one automaton holds; it has at most twice as many states.
 SHARD = 40_000
@@ -141,11 +141,12 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, id_col: str
     A window of `width` words is repeated if the same words also start anywhere else, in the same text or another; windows don't
     cross texts and are judged on the texts as given. Null and empty texts have no word. kept is null without texts. The reference
     is the corpus itself, so its shards are not sent to all tasks: each goes, with the stretches that could match it, to
-    one. Ids are integers and must be unique and not null. Other columns are not read.
+    one. Rows with equal or null ids are rows of their own. Other columns are not read.
     """
-    rows = _rows(docs, id_col, text_col)
+    docs, key_col = with_rows(docs.select(id_col, text_col), id_col)
+    rows = _rows(docs, key_col, text_col)
     spans = repeated(rows, word_kind(width, gram), lambda data, _, anchors: repeated_windows(data, anchors, width), "words")
-    return _removed(rows.join(spans, "row", "left"), texts).withColumnRenamed("row", id_col)
+    return named(_removed(rows.join(spans, "row", "left"), texts), docs, key_col, id_col)
 
 
 #: Words of a reference that may be sent to all tasks.
@@ -181,5 +182,6 @@ def remove_reference(docs: DataFrame, reference: DataFrame, width: int = 13, id_
                 spans.append([{"start": s, "end": s + width} for a in shards for s in a.windows(words, width, 1)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["row", "text", "spans"])
 
-    marked = _rows(docs, id_col, text_col).mapInArrow(run, "row bigint, text binary, spans array<struct<start:int,end:int>>")
-    return _removed(marked, True).withColumnRenamed("row", id_col)
+    docs, key_col = with_rows(docs.select(id_col, text_col), id_col)
+    marked = _rows(docs, key_col, text_col).mapInArrow(run, "row bigint, text binary, spans array<struct<start:int,end:int>>")
+    return named(_removed(marked, True), docs, key_col, id_col)

@@ -52,6 +52,21 @@ def dropped(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def with_rows(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """df and the name of a column of unique bigint keys, in the order of the ids: the ids themselves where they are integers, unique and not null.
+
+    Otherwise the rows are put in order of id, null last, numbered, and written to the shared folder: so repeated and null ids are rows of their own.
+    """
+    if df.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        n = df.agg(F.count("*").alias("rows"), F.count_distinct(id_col).alias("ids")).first()
+        if n.rows == n.ids:
+            return df, id_col
+    name = "row_key"
+    while name in df.columns:
+        name += "_"
+    return saved(df.orderBy(F.col(id_col).asc_nulls_last()).withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def words(text) -> F.Column:
     """The array of words of a text column, empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda x: x != "")

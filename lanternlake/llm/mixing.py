@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, saved
+from .common import WORD, saved, with_rows
 
 #: Documents that a range of keys holds on average, and ranges in a block.
 RANGE_ROWS, BLOCK_RANGES = 256, 1024
@@ -88,15 +88,17 @@ def mix(sized: DataFrame, ratio: float = 1.5, most: float = 2.0, id_col: str = "
 def apply_mix(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus in the columns of docs: each document as often as the mix takes it whole, and once more in part where it is cut.
 
-    The part keeps the first words with the white space before them, in every column that isn't the text all stays. Ids must be
-    unique; documents of which nothing is taken are left out, those without a word are too.
+    The part keeps the first words with the white space before them; all other columns stay. Documents of which nothing is taken are
+    left out, and so are those without a word. Rows with equal or null ids are rows of their own.
     """
-    taken = mix(docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), text_size(text_col).alias("mix_size")), ratio, most, "mix_id", "mix_source", "mix_size")
-    taken = taken.where(F.col("taken") > 0).select("mix_id", "size", "taken")
-    joined = docs.withColumnRenamed(id_col, "mix_id") if id_col == "mix_id" else docs.withColumn("mix_id", F.col(id_col))
-    left = F.pmod(F.col("mix_taken"), F.col("mix_size"))
-    parts = F.sequence(F.lit(1), F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int"))
-    joined = joined.join(taken.withColumnsRenamed({"size": "mix_size", "taken": "mix_taken"}), "mix_id").withColumn("mix_part", F.explode(parts))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), left.cast("int")), "")
-    cut = (F.col("mix_part") * F.col("mix_size") > F.col("mix_taken")) & (left > 0)
-    return joined.withColumn(text_col, F.when(cut, head).otherwise(F.col(text_col))).select(*docs.columns)
+    rows, key_col = with_rows(docs, id_col)
+    sized = rows.select(F.col(key_col).alias("key"), F.col(source_col).alias("source"), text_size(text_col).alias("size"))
+    taken = mix(sized, ratio, most, "key", "source", "size").where(F.col("taken") > 0).select(F.struct("key", "size", "taken").alias("mix"))
+    joined = rows.select(F.struct("*").alias("whole")).join(taken, F.col(f"whole.{key_col}") == F.col("mix.key"))
+    size, n = F.col("mix.size"), F.col("mix.taken")
+    left = F.pmod(n, size)
+    parts = joined.withColumn("part", F.explode(F.sequence(F.lit(1), F.ceil(n / size).cast("int"))))
+    text = F.col(f"whole.{text_col}")
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), left.cast("int")), "")
+    shown = F.when((F.col("part") * size > n) & (left > 0), head).otherwise(text)
+    return parts.select(*(shown.alias(c) if c == text_col else F.col(f"whole.{c}").alias(c) for c in docs.columns))

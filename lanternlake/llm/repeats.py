@@ -218,3 +218,11 @@ def covered(n: int, spans: list[dict] | None) -> np.ndarray:
         np.add.at(step, [x["start"] for x in spans], 1)
         np.add.at(step, [x["end"] for x in spans], -1)
     return np.cumsum(step[:n]) > 0
+
+
+def named(out: DataFrame, docs: DataFrame, key_col: str, id_col: str) -> DataFrame:
+    """out with the documents' ids instead of their row keys."""
+    if key_col == id_col:
+        return out.withColumnRenamed("row", id_col)
+    names = docs.select(F.col(key_col).alias("row"), F.struct(F.col(id_col).alias("id")).alias("name"))
+    return out.join(names, "row").select(F.col("name.id").alias(id_col), *(c for c in out.columns if c != "row"))

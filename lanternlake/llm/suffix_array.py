@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_TABLE, prefix_hash, range_hash
-from .repeats import Kind, covered, repeated
+from .common import BYTE_TABLE, prefix_hash, range_hash, with_rows
+from .repeats import Kind, covered, named, repeated
 
 #: Symbols of a shard: three of these numbers fit a 64-bit sort key.
 SHARD = 1 << 19
@@ -194,9 +194,19 @@ def remove_repeats(docs: DataFrame, width: int = 400, gram: int = 48, id_col: st
 
     A string of `width` bytes is repeated if it also starts anywhere else, in the same text or another; strings don't cross texts and
     are judged on the texts as given. Null texts are empty; texts shorter than width stay whole. kept is the remaining text (bytes of
-    characters cut in two are left out), null without texts; kept_sha256 is of the remaining bytes. Ids are integers and must be
-    unique and not null. Other columns are not read.
+    characters cut in two are left out), null without texts; kept_sha256 is of the remaining bytes. Rows with
+    equal or null ids are rows of their own. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    docs, key_col = with_rows(docs.select(id_col, text_col), id_col)
+    rows = docs.select(F.col(key_col).cast("bigint").alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     spans = repeated(rows, byte_kind(width, gram), lambda data, windows, _: repeated_windows(data, windows, width), "bytes")
-    return _removed(rows, spans, texts).withColumnRenamed("row", id_col)
+    return named(_removed(rows, spans, texts), docs, key_col, id_col)
+
+
+def cut(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with their texts as remove_repeats() leaves them; what it leaves alone stays as it is, null too."""
+    rows, key_col = with_rows(docs, id_col)
+    kept = remove_repeats(rows, width, id_col=key_col, text_col=text_col).where("n_removed > 0").select(F.struct(F.col(key_col).alias("key"), "kept").alias("cut_text"))
+    joined = rows.select(F.struct("*").alias("whole")).join(kept, F.col(f"whole.{key_col}") == F.col("cut_text.key"), "left")
+    text = F.when(F.col("cut_text").isNotNull(), F.col("cut_text.kept")).otherwise(F.col(f"whole.{text_col}"))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(f"whole.{c}").alias(c) for c in docs.columns))

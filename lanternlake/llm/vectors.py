@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, saved
+from .common import mixed, saved, with_rows
 from .graph import components
 from .runs import runs
 
@@ -110,14 +110,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     """(id, n_links, component_id, kept) of each row: how many other rows of the same label have a cosine of `least` or more with it.
 
     Cosines are computed in double precision from the whole vectors. Rows with a null label, and vectors that are null, empty, zero
-    or hold null or non-finite components link with nothing; vectors of different lengths are never linked. Ids are integers
-    and unique. Equal vectors of one label are one node with a number of copies, so a group of copies costs as much as one. A
+    or hold null or non-finite components link with nothing; vectors of different lengths are never linked. Rows with
+    equal ids are rows of their own; null ids come last. Equal vectors of one label are one node with a number of copies, so a group of copies costs as much as one. A
     component is all that links reach, kept marks its smallest id. Other columns are not read.
     """
+    vectors, key_col = with_rows(vectors.select(id_col, vector_col, label_col), id_col)
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     usable = F.col(label_col).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label"), v.alias("vector"), F.coalesce(usable, F.lit(False)).alias("usable"))
+    rows = vectors.select(F.col(key_col).cast("bigint").alias("id"), F.col(label_col).alias("label"), v.alias("vector"), F.coalesce(usable, F.lit(False)).alias("usable"))
     good = rows.where("usable").drop("usable")
     nodes = saved(good.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "vector-nodes")
     table = saved(hashed(nodes.select(F.col("node").alias("id"), "label", "copies", "vector")), "vector-cells")
@@ -134,4 +135,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     node = nodes.join(links.withColumnRenamed("id", "node"), "node", "left").join(parts.withColumnRenamed("id", "node"), "node", "left")
     node = saved(node.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "vector-results")
     out = good.join(node, ["label", "vector"]).select("id", "n_links", "component_id").unionByName(rows.where("not usable").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("bigint").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    out = out.select("id", F.col("n_links").cast("bigint").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    if key_col == id_col:
+        return out.withColumnRenamed("id", id_col)
+    names = vectors.select(F.col(key_col).alias("id"), F.col(id_col).alias("name"))
+    out = out.join(names, "id").join(names.select(F.col("id").alias("component_id"), F.col("name").alias("component_name")), "component_id")
+    return out.select(F.col("name").alias(id_col), "n_links", F.col("component_name").alias("component_id"), "kept")
