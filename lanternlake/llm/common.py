@@ -64,7 +64,9 @@ def with_rows(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     name = "row_key"
     while name in df.columns:
         name += "_"
-    return saved(df.orderBy(F.col(id_col).asc_nulls_last()).withColumn(name, F.monotonically_increasing_id()), "rows"), name
+    # The second key parts rows of equal ids, so that a third of all ids being null is no task's alone.
+    place = F.monotonically_increasing_id()
+    return saved(df.withColumn(name, place).orderBy(F.col(id_col).asc_nulls_last(), name).withColumn(name, place), "rows"), name
 
 
 def words(text) -> F.Column:

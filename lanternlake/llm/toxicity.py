@@ -38,6 +38,8 @@ class Settings:
     prior: float = 200.0
     #: The toxic rows' share of the loss.
     toxic_share: float = 0.4
+    #: By how much the mean of the vectors is stretched before the softmax.
+    scale: float = 30.0
     seed: int = 7
 
 
@@ -90,10 +92,12 @@ def train(texts: list[str | None], toxic: list[int], s: Settings) -> Model:
         else:
             docs.append((np.zeros(1, np.int32), np.zeros(1, np.float32)))
     table = np.zeros((s.buckets, s.dim), np.float32)  # features that no text had stay without evidence
-    out, bias = rng.normal(0, 0.3, (s.dim, 2)).astype(np.float32), np.zeros(2, np.float32)
-    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, out, bias)]
+    out = rng.normal(0, 0.3, (s.dim, 2)).astype(np.float32)
+    # Fixed at the classes' shares of the loss, so that no evidence is never taken for toxic.
+    bias = np.array([0.0, np.log(s.toxic_share / (1 - s.toxic_share))], np.float32)
+    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, out)]
     share = np.where(y > 0, s.toxic_share / y.mean(), (1 - s.toxic_share) / (1 - y.mean()))
-    scale, step, total = 30.0, 0, s.epochs * -(-len(docs) // s.batch)
+    scale, step, total = s.scale, 0, s.epochs * -(-len(docs) // s.batch)
 
     def adam(param, grad, k, rows=None):
         m, v = state[k]
@@ -130,7 +134,6 @@ def train(texts: list[str | None], toxic: list[int], s: Settings) -> Model:
             per = np.repeat(back, sizes, axis=0) * weight[:, None]
             grad = np.stack([np.bincount(place, per[:, d], len(used)) for d in range(s.dim)], 1).astype(np.float32)
             adam(out, hidden.T @ p, 1)
-            adam(bias, p.sum(0), 2)
             adam(table, grad, 0, used)
     side = out[:, 1] - out[:, 0]
     return Model((scale * table @ side).astype(np.float32), float(bias[1] - bias[0]), s)
