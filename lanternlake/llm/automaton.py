@@ -109,7 +109,7 @@ def repeated_windows(stretches: list[np.ndarray], anchors: list[int], width: int
 
 
 def word_kind(width: int, gram: int) -> Kind:
-    return Kind(width, gram, lambda data: word_hashes(np.frombuffer(data, np.uint8))[0], lambda _, symbols, a, b: symbols[a:b].tobytes(), lambda data: np.frombuffer(data, np.uint64))
+    return Kind(width, gram, lambda data: word_hashes(np.frombuffer(data, np.uint8))[0], lambda _, symbols, a, b: symbols[a:b].tobytes(), lambda data: np.frombuffer(data, np.uint64), 8)
 
 
 def _removed(docs: DataFrame, texts: bool) -> DataFrame:

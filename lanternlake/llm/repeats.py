@@ -27,19 +27,20 @@ from .common import dropped, prefix_hash, range_hash, saved
 
 #: Different stretches of an anchor up to which a shard takes them whole, and pieces into which a stretch of a larger group is cut.
 GROUP, PIECES = 128, 16
-#: Symbols that a bucket of shards gets on average.
-BUCKET_SYMBOLS = 1 << 20
+#: Bytes of symbols that a bucket of shards gets on average.
+BUCKET_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
 class Kind:
-    """symbols: hashed symbols of a document's bytes. pack, unpack: a stretch of symbols to bytes and back, for the method."""
+    """symbols: hashed symbols of a document's bytes. pack, unpack: a stretch of symbols to bytes and back, for the method. size: bytes of a packed symbol."""
 
     window: int
     gram: int
     symbols: Callable[[bytes], np.ndarray]
     pack: Callable[[bytes, np.ndarray, int, int], bytes]
     unpack: Callable[[bytes], np.ndarray]
+    size: int = 1
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -182,7 +183,7 @@ def repeated(docs: DataFrame, kind: Kind, method: Callable[[list[np.ndarray], li
     several = saved(some.where("k > 1").select("anchor", "stretch", "n", (F.col("k") > GROUP).alias("many"), "at.*"), f"{name}-several")
     shared = saved(_stretches(docs, several, kind), f"{name}-shared")
     total = several.where("not many").agg(F.sum(F.col("last") - F.col("first") + kind.window).alias("s")).first()["s"] or 0
-    buckets = int(total // BUCKET_SYMBOLS) * 2 + 1
+    buckets = int(total * kind.size // BUCKET_BYTES) * 2 + 1
     width = kind.window
     unpack = kind.unpack
 
