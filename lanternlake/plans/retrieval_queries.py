@@ -14,15 +14,15 @@ from lanternlake.operators import ingest as I
 from lanternlake.operators import retrieval as R
 from lanternlake.sources import tables as S
 
-#: Nodes of the query set: the first benchmark items and the vectors with the same ids.
+#: The items that the queries' SQL asks; query_set() asks all of them.
 N_QUERIES = 5
 
 
 def query_set(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, project_id, text, vector, services): benchmark items below N_QUERIES, each asked of the project of its id."""
-    b = S.read(spark, sf, "benchmark").where(F.col("item_id") < N_QUERIES)
+    """(query_id, project_id, text, vector, services): all benchmark items, each asked of the project of its id; the vector is null where there is none."""
+    b = S.read(spark, sf, "benchmark")
     v = S.read(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    return b.join(v, "item_id").select(F.col("item_id").alias("query_id"), F.concat(F.lit("p"), F.col("item_id") % 5).alias("project_id"), "text", "vector", F.array(F.concat(F.lit("src"), F.col("item_id") % 20)).alias("services"))
+    return b.join(v, "item_id", "left").select(F.col("item_id").alias("query_id"), F.concat(F.lit("p"), F.col("item_id") % 5).alias("project_id"), "text", "vector", F.array(F.concat(F.lit("src"), F.col("item_id") % 20)).alias("services"))
 
 
 DOCS, VECS = S.DOCUMENTS_SQL, S.VECTORS_SQL
@@ -200,12 +200,12 @@ def json_evidence_ids(spark, sf):
 
 
 def _found(spark, sf):
-    """Vector and label: each tenth vector asks all others of any project; the sources are vector ids, the gold those of its label."""
+    """Vector and label: each vector whose id divides by 20 asks all others of any project; the sources are vector ids, the gold those of its label."""
     v = S.vectors(spark, sf)
-    q = v.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.lit("all").alias("project_id"), "vector")
+    q = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.lit("all").alias("project_id"), "vector")
     chunks = v.select("chunk_id", F.lit("all").alias("project_id"))
     near = R.vector_topk(q, chunks, v, k=11).where("query_id <> chunk_id")
-    every = v.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("label").alias("wanted"))
+    every = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("label").alias("wanted"))
     first = R.ranked(v.select("chunk_id", "label").join(R.small(every), F.pmod("chunk_id", F.lit(10)) == F.pmod("query_id", F.lit(10))).where("chunk_id <> query_id").select("query_id", "chunk_id"), 10, "chunk_id")
     found = near.select("query_id", "chunk_id", "rank").withColumn("leg", F.lit("vector")).unionByName(first.select("query_id", "chunk_id", "rank").withColumn("leg", F.lit("modulo")))
     gold = v.select("label", F.col("chunk_id").alias("source_key")).join(R.small(every), F.col("label") == F.col("wanted")).where("source_key <> query_id").select(F.col("query_id").alias("case_id"), "source_key")
