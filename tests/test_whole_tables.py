@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import pytest
 
+from lanternlake.plans import operations_queries as O
 from lanternlake.plans import registry
 from lanternlake.plans import retrieval_queries as Q
 
 SQL = registry.oracle_sql()
 SEARCHES = "vector_topk vector_topk_filtered keyword_topk keyword_match_filter dependency_leg rrf_fuse hybrid_search hydrate_attribution multi_query_merge leg_contribution".split()
+GRAPH = "impact_bfs related_bfs reachability_5hop dependency_paths edges_touching direct_dependents".split()
+QUARTER = " WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1995-04-01'"
 EVALUATIONS = "recall_precision_at_k mrr_hit leg_summary baseline_delta".split()
 
 
@@ -33,3 +36,23 @@ def test_items_without_a_vector_are_searched_by_their_words(spark, tmp_path):
     spark.createDataFrame([(2, "beta gamma", "en", "src7")], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     found = Q.hybrid_search(spark, str(tmp_path)).collect()
     assert [(r.query_id, r.chunk_id, r.vector, r.keyword, r.dependency) for r in found] == [(7, 2, None, 1, 1)]
+
+
+@pytest.mark.parametrize("name", sorted(set(GRAPH) - {"reachability_5hop"}))
+def test_graph_holds_all_line_items(spark, sf_dir, same, name):
+    assert same(registry.queries()[name](spark, sf_dir), without(name, QUARTER)) > 0
+
+
+def test_reach_equals_a_plain_search(spark, sf_dir, duck):
+    near: dict[str, set] = {}
+    for o, p, s in duck.execute("SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, 's' || l_suppkey FROM lineitem").fetchall():
+        for a, b in ((o, p), (p, s)):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    level = {x: 0 for x in ("s0",) if x in near}
+    front = list(level)
+    for n in range(1, 6):
+        front = {b for a in front for b in near[a]} - set(level)
+        level |= dict.fromkeys(front, n)
+    found = {r.symbol_id: r.level for r in O.reachability_5hop(spark, sf_dir).collect()}
+    assert found == {x: n for x, n in level.items() if n > 0}
