@@ -118,7 +118,20 @@ def audit_append(entries: DataFrame, path: str) -> None:
 
 
 def last_deployment(incidents: DataFrame, events: DataFrame) -> DataFrame:
-    """incidents with deployed_at, the last deployment of their project before they started (an extension; an aggregate of a range join by project)."""
-    d = events.where(F.col("type") == "Deployment").select("project_id", F.col("occurred_at").alias("at"))
-    found = incidents.join(d, "project_id").where(F.col("at") <= F.col("started_at")).groupBy("incident_id").agg(F.max("at").alias("deployed_at"))
-    return incidents.join(found, "incident_id", "left")
+    """incidents with deployed_at, the last deployment of their project until they started (an extension).
+
+    Incidents and deployments are put in one order of time within each project and hour; the last deployment of the hours before comes
+    from the maxima of the hours, of which a project has few. No incident meets a deployment in a join.
+    """
+    row = F.struct(*(F.col(c) for c in incidents.columns)).alias("row")
+    i = incidents.select("project_id", F.col("started_at").cast("timestamp").alias("at"), row, F.lit(None).cast("timestamp").alias("deployed"))
+    at = F.col("occurred_at").cast("timestamp")
+    d = events.where((F.col("type") == "Deployment") & F.col("project_id").isNotNull() & F.col("occurred_at").isNotNull())
+    d = d.select("project_id", at.alias("at"), F.lit(None).cast(i.schema["row"].dataType).alias("row"), at.alias("deployed"))
+    hour = F.floor(F.unix_seconds("at") / 3600).alias("hour")
+    moments = i.unionByName(d).select("*", hour)
+    before = Window.partitionBy("project_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = moments.groupBy("project_id", "hour").agg(F.max("deployed").alias("last")).select("project_id", "hour", F.max("last").over(before).alias("carried"))
+    within = Window.partitionBy("project_id", "hour").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = moments.withColumn("own", F.max("deployed").over(within)).where("row is not null").join(carried, ["project_id", "hour"], "left")
+    return found.select("row.*", F.coalesce("own", "carried").alias("deployed_at"))

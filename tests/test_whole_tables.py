@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime, timedelta
+
 import pytest
 
+from lanternlake.operators import incidents as N
 from lanternlake.plans import operations_queries as O
 from lanternlake.plans import registry
 from lanternlake.plans import retrieval_queries as Q
@@ -56,3 +60,34 @@ def test_reach_equals_a_plain_search(spark, sf_dir, duck):
         level |= dict.fromkeys(front, n)
     found = {r.symbol_id: r.level for r in O.reachability_5hop(spark, sf_dir).collect()}
     assert found == {x: n for x, n in level.items() if n > 0}
+
+
+def test_index_and_deployments_take_ids_of_any_size(spark, tmp_path):
+    day = datetime(2024, 1, 1)
+    spark.createDataFrame([(1999, 1, day, "view"), (2000, 1, day, "error"), (5000, 201, day, "signup")], "event_id bigint, user_id bigint, ts timestamp, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(0, "text", "en", "src0")], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, 1, "name", "segment") for n in (199, 200, 201)], "c_custkey bigint, c_nationkey bigint, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    ids = {r.evidence_id for r in Q.evidence_index(spark, str(tmp_path)).collect()}
+    assert {f"incident-event:{n}" for n in (1999, 2000, 5000)} <= ids
+    found = {r.incident_id: r.deployed_at for r in O.last_deployment(spark, str(tmp_path)).collect()}
+    assert set(found) == {199, 200, 201} and None not in found.values()
+
+
+def test_last_deployment_is_no_join_of_pairs(spark):
+    """Against plain Python: equal times, the same hour, hours between, none before, missing project or time; and no join by project alone."""
+    day = datetime(2024, 1, 1)
+    events = [(f"p{n % 3}", day + timedelta(minutes=n * n % 997), "Deployment" if n % 4 else "Log") for n in range(120)] + [(None, day, "Deployment"), ("p1", None, "Deployment")]
+    incidents = [(n, f"p{n % 4}", day + timedelta(minutes=n * 13 % 1100 - 5)) for n in range(90)] + [(90, None, day), (91, "p1", None), (92, "p1", events[1][1])]
+    e = spark.createDataFrame(events, "project_id string, occurred_at timestamp, type string")
+    out = N.last_deployment(spark.createDataFrame(incidents, "incident_id bigint, project_id string, started_at timestamp"), e)
+    expected = {n: max((t for q, t, kind in events if kind == "Deployment" and p is not None and q == p and t is not None and s is not None and t <= s), default=None) for n, p, s in incidents}
+    rows = out.collect()
+    assert len(rows) == len(incidents) and {r.incident_id: r.deployed_at for r in rows} == expected
+    joins = re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[([^\]]*)\]", out._jdf.queryExecution().executedPlan().toString())
+    assert joins and all("hour" in keys for keys in joins)
+
+
+def test_evidence_and_deployments_equal_the_sql_without_its_filter(spark, sf_dir, same):
+    assert same(registry.queries()["evidence_index"](spark, sf_dir), without("evidence_index", " WHERE event_id < 2000")) > 0
+    assert same(registry.queries()["grounding_violations"](spark, sf_dir), without("grounding_violations", " WHERE event_id < 2000")) > 0
+    assert same(registry.queries()["last_deployment"](spark, sf_dir), without("last_deployment", " WHERE incident_id < 200")) > 0
