@@ -254,7 +254,7 @@ def embed_text(spark, sf):
 
 
 def code_chunks(spark, sf):
-    docs = S.documents(spark, sf).where("document_type = 'SourceCode'").select(F.col("chunk_id").alias("document_id"), F.concat(F.lit("public class A"), "chunk_id", F.lit(" {\n  public int Run(int x) {\n    return x;\n  }\n}\n")).alias("content"))
+    docs = S.documents(spark, sf).where("document_type = 'SourceCode'").select(F.col("chunk_id").alias("document_id"), "content")
     return I.code_chunks(docs).select("document_id", "position", "chunk_type", "symbol")
 
 

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from lanternlake.operators import incidents as N
+from lanternlake.operators import ingest as I
 from lanternlake.plans import operations_queries as O
 from lanternlake.plans import registry
 from lanternlake.plans import retrieval_queries as Q
@@ -91,3 +92,23 @@ def test_evidence_and_deployments_equal_the_sql_without_its_filter(spark, sf_dir
     assert same(registry.queries()["evidence_index"](spark, sf_dir), without("evidence_index", " WHERE event_id < 2000")) > 0
     assert same(registry.queries()["grounding_violations"](spark, sf_dir), without("grounding_violations", " WHERE event_id < 2000")) > 0
     assert same(registry.queries()["last_deployment"](spark, sf_dir), without("last_deployment", " WHERE incident_id < 200")) > 0
+
+
+TEXTS = {
+    0: "public class A {\n  public int Run(int x) {\n    return x;\n  }\n}\n",
+    4: "no declaration here\nnor here",
+    8: "public class Open {\n  public void Go() {\n",
+    12: "",
+}
+
+
+def test_code_chunks_reads_the_documents_own_texts(spark, tmp_path):
+    spark.createDataFrame([(k, t, "en", "src0") for k, t in TEXTS.items()], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.document_id, r.position, r.chunk_type, r.symbol) for r in Q.code_chunks(spark, str(tmp_path)).collect())
+    assert found == [(0, 0, "Class", "A"), (0, 1, "Method", "Run"), (4, 0, "File", None), (8, 0, "Class", "Open"), (8, 1, "Method", "Go"), (12, 0, "File", None)]
+
+
+def test_code_chunks_keep_the_whole_text(spark):
+    docs = spark.createDataFrame(list(TEXTS.items()), "document_id bigint, content string")
+    found = {(r.document_id, r.position): r.chunk for r in I.code_chunks(docs).collect()}
+    assert found == {(0, 0): TEXTS[0].rstrip("\n"), (0, 1): "  public int Run(int x) {\n    return x;\n  }", (4, 0): TEXTS[4], (8, 0): TEXTS[8], (8, 1): "  public void Go() {\n", (12, 0): ""}
