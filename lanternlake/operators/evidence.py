@@ -23,20 +23,32 @@ def evidence_index(*sections: DataFrame) -> DataFrame:
     return out
 
 
+#: Parts that a request's items are dealt into before its budget is spent.
+PACK_PARTS = 256
+
+
 def pack(items: DataFrame, budget: int, per_item: int, order: list | None = None) -> DataFrame:
     """(request_id, ord, item_id, content, truncated) from (request_id, item_id, score, content): what fits a budget of characters.
 
     Items without a score come first, then by score; lines that read like instructions go; each item is cut to per_item and to what is
     left; blank items take nothing. An item is truncated if it was cut or the budget is used up with it.
+
+    Items are dealt into parts, each of which spends the whole budget by itself: what a part has no room for has none in the request
+    either, where more comes before it. So one task gets what PACK_PARTS budgets hold at most, however many items a request has.
     """
     order = order or [F.desc_nulls_first("score"), F.asc("item_id")]
     clean = items.withColumn("clean", sanitize_lines(F.col("content")))
     capped = clean.withColumn("part", F.substring("clean", 1, per_item)).where(F.trim("part") != "")
+    capped = capped.withColumn("n_clean", F.length("clean")).drop("content", "clean").withColumn("deal", F.pmod(F.xxhash64("item_id"), F.lit(PACK_PARTS)))
+
+    def within(rows: DataFrame, *by: str) -> DataFrame:
+        before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        used = F.coalesce(F.sum(F.length("part")).over(before), F.lit(0))
+        return rows.withColumn("left", (F.lit(budget) - used).cast("int")).where("left > 0")
+
     w = Window.partitionBy("request_id").orderBy(*order)
-    used = F.coalesce(F.sum(F.length("part")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = (F.lit(budget) - used).cast("int")
-    placed = capped.withColumn("left", left).where("left > 0").withColumn("out", F.expr("substring(part, 1, left)"))
-    cut = (F.length("out") < F.length("clean")) | (F.length("out") == F.col("left"))
+    placed = within(within(capped, "request_id", "deal"), "request_id").withColumn("out", F.expr("substring(part, 1, left)"))
+    cut = (F.length("out") < F.col("n_clean")) | (F.length("out") == F.col("left"))
     return placed.where(F.trim("out") != "").select("request_id", F.row_number().over(w).alias("ord"), "item_id", F.col("out").alias("content"), cut.alias("truncated"))
 
 

@@ -64,12 +64,19 @@ def rate_limited(events: DataFrame, seconds: int = 60, permits: int = 10, queue:
 def queue_admission(submissions: DataFrame, capacity: int = QUEUE_CAPACITY) -> DataFrame:
     """submissions (queue, submitted_at, started_at, run_id) with rejected: as many before them are still waiting as the queue holds.
 
-    Waiting counts come from the arrivals and departures in order of time, a running sum in each queue.
+    Waiting counts come from the arrivals and departures in order of time: the sums of the hours before, and a running sum in each
+    queue's hour. A task holds one hour of a queue, or of a queue only a row an hour.
     """
     arrive = submissions.select("queue", F.col("submitted_at").alias("at"), F.lit(1).alias("step"), "run_id")
     leave = submissions.where("started_at is not null").select("queue", F.col("started_at").alias("at"), F.lit(-1).alias("step"), "run_id")
-    w = Window.partitionBy("queue").orderBy("at", "step", "run_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    depth = arrive.unionByName(leave).withColumn("depth", F.sum("step").over(w)).where("step = 1").select("run_id", "depth")
+    moves = arrive.unionByName(leave).withColumn("hour", F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / 3600))
+    before = Window.partitionBy("queue").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    sums = moves.groupBy("queue", "hour").agg(F.sum("step").alias("change"))
+    sums = sums.select(F.col("queue").alias("of_queue"), F.col("hour").alias("of_hour"), F.coalesce(F.sum("change").over(before), F.lit(0)).alias("waiting"))
+    within = Window.partitionBy("queue", "hour").orderBy("at", "step", "run_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = moves.withColumn("own", F.sum("step").over(within)).where("step = 1")
+    joined = placed.join(sums, F.col("queue").eqNullSafe(F.col("of_queue")) & F.col("hour").eqNullSafe(F.col("of_hour")))
+    depth = joined.select("run_id", (F.col("waiting") + F.col("own")).alias("depth"))
     return submissions.join(depth, "run_id").withColumn("rejected", F.col("depth") > capacity).drop("depth")
 
 

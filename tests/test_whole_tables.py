@@ -7,8 +7,10 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from lanternlake.operators import evidence as P
 from lanternlake.operators import incidents as N
 from lanternlake.operators import ingest as I
+from lanternlake.operators import runs as R
 from lanternlake.plans import operations_queries as O
 from lanternlake.plans import registry
 from lanternlake.plans import retrieval_queries as Q
@@ -112,3 +114,39 @@ def test_code_chunks_keep_the_whole_text(spark):
     docs = spark.createDataFrame(list(TEXTS.items()), "document_id bigint, content string")
     found = {(r.document_id, r.position): r.chunk for r in I.code_chunks(docs).collect()}
     assert found == {(0, 0): TEXTS[0].rstrip("\n"), (0, 1): "  public int Run(int x) {\n    return x;\n  }", (4, 0): TEXTS[4], (8, 0): TEXTS[8], (8, 1): "  public void Go() {\n", (12, 0): ""}
+
+
+def _windows(df) -> list[str]:
+    return re.findall(r"windowspecdefinition\(([^)]*)", df._jdf.queryExecution().analyzed().toString())
+
+
+def test_pack_spends_the_budget_in_parts_first(spark):
+    items = [("r" if n % 5 else None, n, None if n % 50 == 0 else n * 7 % 40 / 40, " " if n % 11 == 0 else "ab cd\n" * (n % 9 + 1)) for n in range(600)]
+    out = P.pack(spark.createDataFrame(items, "request_id string, item_id bigint, score double, content string"), budget=301, per_item=40)
+    expected = set()
+    for request in ("r", None):
+        left, order = 301, 0
+        for _, n, _, text in sorted((x for x in items if x[0] == request), key=lambda x: (x[2] is not None, -(x[2] or 0), x[1])):
+            part = text[:40]
+            if part.strip(" ") and left > 0:
+                cut, order = part[:left], order + 1
+                expected.add((request, order, n, cut, len(cut) < len(text) or len(cut) == left))
+                left -= len(part)
+    assert {tuple(r) for r in out.collect()} == expected and len(expected) > 10
+    assert any(re.match(r"request_id#\d+, deal#\d+", w) for w in _windows(out))
+
+
+def test_queue_admission_sums_hours_first(spark):
+    day = datetime(2024, 1, 1)
+    rows = [(None if n % 3 == 0 else "q", n, day + timedelta(minutes=n * 17 % 400), day + timedelta(minutes=n * 17 % 400 + n * 29 % 150) if n % 6 else None) for n in range(150)]
+    out = R.queue_admission(spark.createDataFrame(rows, "queue string, run_id bigint, submitted_at timestamp, started_at timestamp"), 20)
+    expected = {}
+    for queue in ("q", None):
+        moves = sorted([(a, 1, n) for q, n, a, b in rows if q == queue] + [(b, -1, n) for q, n, a, b in rows if q == queue and b], key=lambda x: x)
+        depth = 0
+        for _, step, n in moves:
+            depth += step
+            if step == 1:
+                expected[n] = depth > 20
+    assert {r.run_id: r.rejected for r in out.collect()} == expected and len(set(expected.values())) == 2
+    assert all("hour#" in w for w in _windows(out))
