@@ -6,9 +6,9 @@ and only its name travels to the tasks, each of which reads it from the installe
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
-import itertools
 import json
 import re
 import sys
@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that a task keeps of pre-tokens seen before; beyond that it starts afresh.
-CACHE = 1_000_000
+#: Bytes, about, of pre-tokens seen before that a task keeps in each of two generations, and the longest of them that it keeps.
+CACHE_BYTES, CACHED = 24 << 20, 48
+#: Characters of a text that are split at once, about.
+SEGMENT = 1 << 16
 _NONE = 1 << 62
 
 
@@ -73,7 +75,8 @@ class PairTree:
     """A segment tree over the places of a word; each leaf holds the rank of the pair that begins there, combined with the place.
 
     A node covers FAN nodes of the level below and holds their least value, so the root holds the lowest
-    rank and, of equal ones, the leftmost; a point update recomputes one node on each level.
+    rank and, of equal ones, the leftmost; a point update recomputes one node on each level. Up to FAN pairs the
+    tree is a root over leaves; encode_pretoken() keeps those leaves in a list that closes up as pairs are merged.
     """
 
     FAN = 16
@@ -111,7 +114,10 @@ class Bpe:
             if len(token) == 1:
                 self.byte_ids[alphabet[token]] = i
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges, self.merged = {}, []
+        for rank, (a, b) in enumerate(pairs):
+            self.merges[vocab[a], vocab[b]] = rank
+            self.merged.append(vocab[a + b])
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.token_bytes |= {i: s.encode() for s, i in self.special.items()}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -123,15 +129,26 @@ class Bpe:
         n = len(ids)
         if n < 2:
             return ids
-        rank_of = self.merges.get
-        leaves = [_NONE if (found := rank_of(pair)) is None else found[0] << 32 | i for i, pair in enumerate(zip(ids, ids[1:]))]
+        rank_of, merged = self.merges.get, self.merged
+        if n <= PairTree.FAN + 1:
+            leaves = [rank_of(pair, _NONE) for pair in zip(ids, ids[1:])]
+            while leaves and (low := min(leaves)) < _NONE:
+                i = leaves.index(low)
+                ids[i] = merged[low]
+                del ids[i + 1], leaves[i]
+                if i < len(leaves):
+                    leaves[i] = rank_of((ids[i], ids[i + 1]), _NONE)
+                if i:
+                    leaves[i - 1] = rank_of((ids[i - 1], ids[i]), _NONE)
+            return ids
+        leaves = [_NONE if (found := rank_of(pair)) is None else found << 32 | i for i, pair in enumerate(zip(ids, ids[1:]))]
         tree = PairTree(leaves)
         root, put = tree.root, tree.put
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while (low := root()) < _NONE:
             i = low & 0xFFFFFFFF
             j = after[i]
-            ids[i], ids[j] = self.merges[ids[i], ids[j]][1], -1
+            ids[i], ids[j] = merged[low >> 32], -1
             k = after[i] = after[j]
             if j < n - 1:
                 put(j, _NONE)
@@ -139,10 +156,10 @@ class Bpe:
             if k < n:
                 before[k] = i
                 found = rank_of((ids[i], ids[k]))
-            put(i, _NONE if found is None else found[0] << 32 | i)
+            put(i, _NONE if found is None else found << 32 | i)
             if (h := before[i]) >= 0:
                 found = rank_of((ids[h], ids[i]))
-                put(h, _NONE if found is None else found[0] << 32 | h)
+                put(h, _NONE if found is None else found << 32 | h)
         return [x for x in ids if x >= 0]
 
     def pretokens(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -166,76 +183,69 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-class Encoded(dict):
-    """Pre-token to its ids, joined by commas."""
-
-    def __init__(self, bpe: Bpe):
-        self.bpe = bpe
-
-    def __missing__(self, word: str) -> str:
-        if len(self) >= CACHE:
-            self.clear()
-        out = self[word] = ",".join(map(str, self.bpe.encode_pretoken(word)))
-        return out
-
-
-class Chunks(dict):
-    """What stands between two single spaces, the first of them included, to its ids joined by commas.
+class Kept(dict):
+    """Pre-token to what `make` makes of it. Once full, the entries become the old generation, from which those still used move on."""
 
-    Spaces apart, only white space at a chunk's ends makes its pre-tokens depend on its neighbours; such a chunk has None.
-    """
+    def __init__(self, make: Callable, limit: int = CACHE_BYTES):
+        self.make, self.limit, self.held, self.old = make, limit, 0, {}
 
-    def __init__(self, encoded: Encoded, before: str):
-        self.encoded, self.before = encoded, before
-
-    def __missing__(self, chunk: str) -> str | None:
-        if len(self) >= CACHE:
-            self.clear()
-        out = None
-        if chunk and not chunk[0].isspace() and not chunk[-1].isspace():
-            out = ",".join(map(self.encoded.__getitem__, self.encoded.bpe.findall(self.before + chunk)))
-        if len(chunk) < 64:
-            self[chunk] = out
+    def __missing__(self, word: str):
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
+        if len(word) <= CACHED:
+            self.held += 240 + 6 * len(word)
+            if self.held > self.limit:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[word] = out
         return out
 
 
-class Decoded(dict):
-    """Ids joined by commas to their bytes."""
+_BREAK = re.compile(r"(?<=\S)[ \n]")
 
-    def __init__(self, bpe: Bpe):
-        self.bpe = bpe
 
-    def __missing__(self, ids: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        out = self[ids] = b"".join(self.bpe.token_bytes[int(i)] for i in ids.split(","))
-        return out
+def segments(text: str) -> Iterator[str]:
+    """A text in parts of about SEGMENT characters, or longer where no white space follows on a visible character: a pre-token always begins there."""
+    at = 0
+    while len(text) - at > SEGMENT and (found := _BREAK.search(text, at + SEGMENT)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
 
 
 @functools.cache
-def caches(path: str) -> tuple[Bpe, Encoded, Chunks, Chunks, Decoded]:
+def caches(path: str) -> tuple[Bpe, Kept, dict[str, bytes]]:
+    """A vocabulary, the ids of pre-tokens joined by commas, and the bytes of each id."""
     bpe = load(path)
-    encoded = Encoded(bpe)
-    return bpe, encoded, Chunks(encoded, ""), Chunks(encoded, " "), Decoded(bpe)
+    return bpe, Kept(lambda word: ",".join(map(str, bpe.encode_pretoken(word)))), {str(i): b for i, b in bpe.token_bytes.items()}
+
+
+def encode_parts(path: str, text: str) -> Iterator[str]:
+    """The ids of a text in strings joined by commas, one for each of its segments or special tokens."""
+    bpe, encoded, _ = caches(path)
+    special = bpe.special and any(x in text for x in bpe.special)
+    for k, piece in enumerate(bpe.special_split.split(text) if special else [text]):
+        if k % 2:
+            yield str(bpe.special[piece])
+        elif piece:
+            for part in segments(piece):
+                yield ",".join(map(encoded.__getitem__, bpe.findall(part)))
 
 
-def encode_pieces(path: str, text: str) -> list[str]:
-    """The ids of a text in strings joined by commas, one for each pre-token or chunk of them."""
-    bpe, encoded, first, later, _ = caches(path)
-    if bpe.special and any(x in text for x in bpe.special):
-        return [str(bpe.special[word]) if special else encoded[word] for word, special in bpe.pretokens(text)]
-    out, feed = [], encoded["\n"]
-    for k, line in enumerate(text.split("\n")):
-        chunks = line.split(" ")
-        if k:
-            out.append(feed)
-        out.append(first[chunks[0]])
-        out.extend(map(later.__getitem__, chunks[1:]))
-    return list(map(encoded.__getitem__, bpe.findall(text))) if None in out else out
+def decode_part(path: str, ids: str) -> bytes:
+    return b"".join(map(caches(path)[2].__getitem__, ids.split(",")))
 
 
-def decode_pieces(path: str, pieces: list[str]) -> str:
-    return b"".join(map(caches(path)[4].__getitem__, pieces)).decode("utf-8", "replace")
+def digests(path: str, text: str) -> tuple[int, str, str]:
+    """The number of a text's tokens, and the SHA-256 of its ids joined by commas and of the text decoded from them."""
+    n, ids, decoded, utf8 = 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+    for part in encode_parts(path, text):
+        ids.update((("," if n else "") + part).encode())
+        n += part.count(",") + 1
+        decoded.update(utf8.decode(decode_part(path, part)).encode())
+    decoded.update(utf8.decode(b"", True).encode())
+    return n, ids.hexdigest(), decoded.hexdigest()
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
@@ -247,18 +257,12 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = (x.as_py() or "" for x in batch.column(1))
             if ids:
-                rows = [[int(i) for p in encode_pieces(path, t) for i in p.split(",")] if t else [] for t in texts]
+                rows = [[int(i) for p in encode_parts(path, t) for i in p.split(",")] for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["id", "ids"])
                 continue
-            count, ids_sha, text_sha = [], [], []
-            for t in texts:
-                pieces = encode_pieces(path, t) if t else []
-                joined = ",".join(pieces)
-                count.append(joined.count(",") + 1 if joined else 0)
-                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(decode_pieces(path, pieces).encode()).hexdigest())
+            count, ids_sha, text_sha = zip(*(digests(path, t) for t in texts), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -16,33 +16,31 @@ from pyspark.sql import functions as F
 from . import bpe as B
 
 
-class Counted(dict):
-    """Pre-token to its number of tokens."""
-
-    def __init__(self, bpe: B.Bpe):
-        self.bpe = bpe
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= B.CACHE:
-            self.clear()
-        out = self[word] = len(self.bpe.encode_pretoken(word))
-        return out
+def counted(bpe: B.Bpe) -> B.Kept:
+    """Pre-token to its number of tokens: one for a special token."""
+    return B.Kept(lambda word: 1 if word in bpe.special else len(bpe.encode_pretoken(word)))
 
 
 class CountTree:
     """The pre-tokens of one text under a segment tree of (characters, tokens).
 
     A slot holds any number of neighbouring pre-tokens: an edit puts what it re-encodes into the first
-    slot that it touches and empties the others, so that the tree keeps its shape.
+    slot that it touches and empties the others, so that the tree keeps its shape; where an insert is too long for them, the tree
+    is built anew over the same pre-tokens.
     """
 
     #: Pre-tokens in a slot of a new tree.
     FANOUT = 32
 
-    def __init__(self, text: str, bpe: B.Bpe, counts: Counted):
+    def __init__(self, text: str, bpe: B.Bpe, counts: B.Kept):
         self.counts, self.bpe = counts, bpe
-        words = self._split(text)
-        k = self.FANOUT
+        #: Characters beside an edit that it may change: a special token may come about or go there.
+        self.reach = max(map(len, bpe.special), default=1)
+        self.reencoded = 0
+        self._build(self._split(text))
+
+    def _build(self, words: list[str]) -> None:
+        k, counts = self.FANOUT, self.counts
         self.slots = [words[i : i + k] for i in range(0, len(words), k)] or [[]]
         self.size = size = 1 << (len(self.slots) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * size), [0] * (2 * size)
@@ -50,10 +48,9 @@ class CountTree:
             self.chars[size + i], self.tokens[size + i] = sum(map(len, slot)), sum(map(counts.__getitem__, slot))
         for i in range(size - 1, 0, -1):
             self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
-        self.reencoded = 0
 
     def _split(self, text: str) -> list[str]:
-        return self.bpe.findall(text)
+        return [word for word, _ in self.bpe.pretokens(text)] if any(x in text for x in self.bpe.special) else self.bpe.findall(text)
 
     @property
     def n_tokens(self) -> int:
@@ -98,33 +95,43 @@ class CountTree:
         head = text_of(first)[: start - at]
         old = text_of(last)
         tail = old[end - last_at :]
-        # To the left: the matching of a pre-token looks at what follows it, never at what precedes, so the last slot before
-        # that is not empty is all that may change besides (its last pre-token may end elsewhere, or its runs of spaces).
-        context = []
-        while first > 0:
+        # To the left: the matching of a pre-token looks at what follows it, never at what precedes, so besides the last slot
+        # before that is not empty (its last pre-token may end elsewhere, or its runs of spaces) only what a special token can reach may change.
+        context, seen = [], 0
+        while first > 0 and seen < self.reach:
             first -= 1
-            if self.slots[first]:
-                context = self.slots[first]
-                break
-        whole = "".join(context) + head + new + tail
-        words = self._split(whole)
-        # To the right: go on until a pre-token begins where one began before, and what follows is as it was.
-        done = last
+            context = self.slots[first] + context
+            seen += self.chars[first + self.size]
+        # To the right: go on until a pre-token begins where one began before, and what a special token can reach is as it was.
+        words, open_text, done = [], "".join(context) + head + new + tail, last
         while True:
-            following = done + 1
-            while following < len(self.slots) and not self.slots[following]:
-                following += 1
-            if following >= len(self.slots):
-                done = len(self.slots) - 1
+            ahead, seen, upto = [], 0, done + 1
+            while upto < len(self.slots) and seen < self.reach:
+                ahead += self.slots[upto]
+                seen += self.chars[upto + self.size]
+                upto += 1
+            split = self._split(open_text)
+            if not ahead:
+                done = upto - 1
                 break
-            joined = self._split(whole + "".join(self.slots[following]))
-            if joined[: len(words)] == words and joined[len(words) :] == self.slots[following]:
+            if self._split(open_text + "".join(ahead)) == split + ahead:
                 break
-            whole += "".join(self.slots[following])
-            words, done = joined, following
+            # What is well before the end stays: only the end is split again with what follows.
+            keep, left = len(split), self.reach
+            while keep and left > 0:
+                keep -= 1
+                left -= len(split[keep])
+            keep = max(keep - 1, 0)
+            words += split[:keep]
+            done += 1
+            open_text = "".join(split[keep:]) + "".join(self.slots[done])
+        words += split
         self.reencoded += len(words)
         k = done - first + 1
         share = -(-len(words) // k)
+        if share > 4 * self.FANOUT:
+            self._build([w for slot in self.slots[:first] for w in slot] + words + [w for slot in self.slots[done + 1 :] for w in slot])
+            return
         for i in range(k):
             part = words[i * share : (i + 1) * share]
             if part or self.slots[first + i]:
@@ -139,13 +146,13 @@ def count_edited(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     edits_col: array<struct<start int, end int, new string>>, applied one after the other, each to the text as the
     one before it left it, in characters; offsets are clipped to the text, null edits and null parts count as nothing
-    to do (start and end) or as the empty text (new). A null text is empty. Special tokens are ordinary text here.
+    to do (start and end) or as the empty text (new). A null text is empty. Special tokens count as one.
     Rows are independent of one another; other columns are not read. One pass without a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = B.load(path)
-        counts = Counted(bpe)
+        counts = counted(bpe)
         for batch in batches:
             out = []
             for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

@@ -55,7 +55,7 @@ def test_random_characters(library):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
         expected = library.encode(text, add_special_tokens=False).ids
         assert b.encode(text) == expected
-        assert ",".join(p for p in bpe.encode_pieces(bpe.vocabulary_path(), text)) == ",".join(map(str, expected)) if text else True
+        assert ",".join(p for p in bpe.encode_parts(bpe.vocabulary_path(), text)) == ",".join(map(str, expected)) if text else True
 
 
 def test_pair_tree_gives_the_leftmost_least():
@@ -96,22 +96,50 @@ def test_op4_equals_counting_anew(spark, sf_dir, documents, library):
     assert long and all(r.n_reencoded < r.n_pretokens / 4 for r in long)
 
 
-def test_random_edits_keep_the_tree_right(monkeypatch):
+@pytest.mark.parametrize("letters", ["ab  \n'sdt 0é漢　.", ["<|endoftext|>", "<|", "endof", "text", "|>", " ", "a", "\n", "<|endoftext"]])
+def test_random_edits_keep_the_tree_right(monkeypatch, library, letters):
     rng, b = random.Random(6), bpe.load(bpe.vocabulary_path())
     monkeypatch.setattr(token_counts.CountTree, "FANOUT", 3)
-    counts = token_counts.Counted(b)
-    letters = "ab  \n'sdt 0é漢　."
+    counts = token_counts.counted(b)
     for _ in range(60):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(120)))
         tree = token_counts.CountTree(text, b, counts)
         for _ in range(25):
             start = rng.randrange(len(text) + 3)
-            edit = (start, start + rng.randrange(-1, 9), "".join(rng.choice(letters) for _ in range(rng.randrange(6))))
+            edit = (start, start + rng.randrange(-1, 9), "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 5, 40]))))
             text = edited(text, [edit])
             tree.edit(*edit)
             assert tree.text() == text
-            assert [w for s in tree.slots for w in s] == b.findall(text)
-            assert tree.n_chars == len(text) and tree.n_tokens == sum(len(b.encode_pretoken(w)) for w in b.findall(text))
+            assert [w for s in tree.slots for w in s] == [w for w, _ in b.pretokens(text)]
+            assert tree.n_chars == len(text) and tree.n_tokens == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_a_long_insert_is_not_encoded_again_by_later_edits():
+    b = bpe.load(bpe.vocabulary_path())
+    tree = token_counts.CountTree("start of it and its end", b, token_counts.counted(b))
+    tree.edit(8, 8, " more words" * 20_000)
+    before = tree.reencoded
+    for k in range(50):
+        tree.edit(4_000 * k, 4_000 * k + 3, "x")
+    assert tree.reencoded - before < 50 * 200
+    assert tree.n_tokens == sum(len(b.encode_pretoken(w)) for w in b.findall(tree.text()))
+
+
+def test_segments_are_split_where_pretokens_begin(monkeypatch, library):
+    rng, path = random.Random(8), bpe.vocabulary_path()
+    monkeypatch.setattr(bpe, "SEGMENT", 20)
+    for _ in range(200):
+        text = "".join(rng.choice("ab \n\t'sn't  019.é漢 <|endoftext|>") for _ in range(rng.randrange(300)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        joined = ",".join(map(str, ids))
+        assert bpe.digests(path, text) == (len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_kept_pretokens_are_bounded():
+    kept = bpe.Kept(len, 10_000)
+    for i in range(5_000):
+        assert kept[f"w{i}"] == len(f"w{i}") and kept["often"] == 5
+    assert len(kept) + len(kept.old) < 100 and kept["x" * 10_000] == 10_000 and "x" * 10_000 not in kept
 
 
 def test_null_edits(spark, empty):
