@@ -3,7 +3,8 @@
 Each permutation gives two values of a signature, the least and the greatest of a set's hashes, so half as many
 permutations serve. Equal sets are one node from the start. Each set is first compared with the least and the
 greatest id that it meets most; then, in buckets that hold several components, with a member of the first and of the
-last; what that leaves in different components is compared pair by pair. So a group of near copies costs a few pairs a set.
+last. So a group of near copies costs a few pairs a set. What that leaves in buckets of several components is paired
+under bounds that lose no link (`_bounded_pairs`), the same for buckets of every size.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from .graph import components
 
 #: Bands of a signature and values in each: two sets of similarity 0.8 share no band once in two million times.
 BANDS, ROWS = 36, 5
-#: A bucket with more members than this is dealt anew by pairs of bands, which two such sets miss once in ninety thousand times.
-CROWDED = 200
 
 _RNG = np.random.default_rng(97)
 _MULTIPLY = _RNG.integers(1, 2**32, BANDS * ROWS // 2, dtype=np.uint32) | np.uint32(1)
@@ -136,6 +135,31 @@ def _open_rows(crowd: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
+def _bounded_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) of all pairs of rows (id, n, component) that may be linked but are in different components; sets: (id, set) of these ids.
+
+    A set's elements are put in one order for all sets, the rarest among the rows first. Two sets of x <= y elements are linked only
+    if they have p (x + y) / (100 + p) in common, so the first common element leaves at least as many behind it, itself
+    included, in both. It is therefore among the first x - 2 p x / (100 + p) + 1 of the smaller and the first y - p y / 100 + 1 of the
+    larger set, and pairs are joined on these alone. What many texts share is frequent, so it is last in all of them.
+    """
+    tokens = sets.select("id", F.explode("set").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    shared = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("shared"))
+    # Elements that no other row has come before all others.
+    alone = F.col("n") - F.size("shared")
+    early = rows.join(shared, "id").withColumn("alone", alone).where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
+    first = F.expr(f"slice(shared, 1, cast(n - ceil({percent} * n / 100) + 1 - alone as int))")
+    placed = saved(early.select("id", "n", "component", "alone", F.posexplode(first).alias("i", "x")).select("id", "n", "component", (F.col("i") + F.col("alone")).alias("i"), "x.token"), "early-elements")
+    x, y = (placed.select("token", *(F.col(c).alias(c + side) for c in ("id", "n", "component", "i"))) for side in "xy")
+    x = x.where(f"{100 + percent} * (nx - ix) >= {2 * percent} * nx")
+    common = f"{100 + percent} * least(nx - ix, ny - iy) >= {percent} * (nx + ny)"
+    both = x.join(y, "token").where(f"(nx < ny or nx = ny and idx < idy) and componentx <> componenty and {common}")
+    one, two = F.struct(F.col("idx").alias("id"), F.col("nx").alias("n")), F.struct(F.col("idy").alias("id"), F.col("ny").alias("n"))
+    pairs = both.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row; kept marks the smallest id of each component.
 
@@ -166,16 +190,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     again = saved(again.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "tried-again")
     links = saved(links.unionByName(_linked(again, texts, width, percent)), "links-so-far")
     tried = tried.unionByName(again)
-    # Last, all that is still in different components of a bucket.
-    open_rows = _open_rows(crowd, components(links))
-    few = open_rows.where(F.col("k") <= CROWDED).select("key", F.lit(0).cast("bigint").alias("key2"), "id", "n", "component")
-    other = bands.select("id", F.col("key").alias("key2"))
-    many = open_rows.where(F.col("k") > CROWDED).select("key", "id", "n", "component").join(other, "id").where("key <> key2").select("key", "key2", "id", "n", "component")
-    rows = saved(few.unionByName(many), "open-pairs")
-    x, y = (rows.select("key", "key2", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in ("a", "b"))
-    cross = x.join(y, ["key", "key2"]).where("a < b and ca <> cb").select("a", "b", "na", "nb")
-    cross = cross.where(F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    found = components(links.unionByName(_linked(cross, texts, width, percent)))
+    # Last, what is still in buckets with more than one component.
+    rows = saved(_open_rows(crowd, components(links)).select("id", "n", "component").distinct(), "open-sets")
+    sets = saved(shingle_sets(texts.join(rows.select("id"), "id"), width), "sets-of-open")
+    cross = _bounded_pairs(rows, sets, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    links = links.unionByName(_linked(cross, texts, width, percent))
+    dropped(sets)
+    found = components(links)
     out = member.join(found.withColumnRenamed("id", "node"), "node", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
     out = out.withColumn("kept", F.col("id") == F.col("component_id"))

@@ -58,14 +58,30 @@ def near_rows(seed=0):
     return rows
 
 
-@pytest.mark.parametrize(("width", "crowded"), [(4, 200), (5, 200), (4, 2)])
-def test_near_duplicates_equal_all_pairs(spark, odd, odd_rows, monkeypatch, width, crowded):
-    monkeypatch.setattr(minhash, "CROWDED", crowded)
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_duplicates_equal_all_pairs(spark, odd, odd_rows, width):
     assert found(minhash.near_duplicates(odd, width, 80)) == plain_near(odd_rows, width, 80)
     rows = near_rows()
     assert found(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width, 80)) == plain_near(rows, width, 80)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_bounds_lose_no_link(spark, percent):
+    """Sets that share much of two passages: the bounded pairs hold every linked pair of different components."""
+    rng, rows = random.Random(percent), []
+    one, two = list(range(60)), list(range(100, 140))
+    for i in range(120):
+        share = rng.choice([0.7, 0.95, 0.99, 1])
+        kept = [x for x in one + two if rng.random() < share]
+        rows.append((i, i % 7, sorted({*kept, *(rng.randrange(1000, 1300) for _ in range(rng.randrange(rng.choice([2, 12]))))})))
+    links = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and 100 * len({*a[2]} & {*b[2]}) >= percent * len({*a[2]} | {*b[2]})}
+    sets = spark.createDataFrame([(i, s) for i, _, s in rows], "id bigint, set array<bigint>")
+    open_rows = spark.createDataFrame([(i, len(s), c) for i, c, s in rows], "id bigint, n bigint, component bigint")
+    pairs = {(r.a, r.b) for r in minhash._bounded_pairs(open_rows, sets, percent).collect()}
+    assert links <= pairs and len(links) > 5
+    assert len(pairs) < 120 * 119 / 2
+
+
 def test_op5_equals_all_pairs(spark, sf_dir, documents):
     assert found(queries_dedup.op5_minhash_near_dedup(spark, sf_dir)) == plain_near(documents, 4, 80)
 
