@@ -18,11 +18,12 @@ from .common import mixed, saved, with_rows
 from .graph import components
 from .runs import runs
 
-#: Tables, projections in each, and the width of a cell: vectors of cosine 0.93 miss each other once in ten thousand times, closer ones less.
-TABLES, PROJECTIONS, WIDTH = 32, 6, 1.5
+#: Tables, projections in each, and the width of a cell: vectors of cosine 0.93 miss each other about 15 times in 100,000, closer ones
+#: less; vectors at right angles share a cell of a table 4 times in 100,000.
+TABLES, PROJECTIONS, WIDTH = 80, 14, 2.0
 #: Rows of a bucket that one task compares at once; larger buckets are cut into blocks, each pair of which is a task's.
 BLOCK = 1024
-#: A list of large buckets up to this long is sent to all tasks; a longer one is joined by shuffle.
+#: A list of buckets up to this long is sent to all tasks; a longer one is joined by shuffle.
 BROADCAST_BUCKETS = 50_000
 
 
@@ -60,7 +61,7 @@ def hashed(vectors: DataFrame) -> DataFrame:
 
 
 def _compared(members: DataFrame, least: float) -> DataFrame:
-    """(id, links, root) from rows of (key, i, j, side, t, id, copies, vector, cells), sorted by key, i and j: links found in this bucket, and the least id of its part."""
+    """(id, links, root) from rows of (key, i, j, side, t, id, copies, vector, cells), cells those of the tables before t, sorted by key, i and j: links found in this bucket, and the least id of its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["key", "i", "j"]):
@@ -69,7 +70,7 @@ def _compared(members: DataFrame, least: float) -> DataFrame:
             ids, copies = g.column("id").to_numpy(), g.column("copies").to_numpy()
             lists = g.column("vector").combine_chunks()
             x = np.asarray(lists.flatten()).astype(np.float64).reshape(n, -1)
-            earlier = np.asarray(g.column("cells").combine_chunks().flatten()).reshape(n, TABLES)[:, :t]
+            earlier = np.asarray(g.column("cells").combine_chunks().flatten()).reshape(n, t)
             norm = np.linalg.norm(x, axis=1)
             side = g.column("side").to_numpy()
             cross = g.column("i")[0].as_py() != g.column("j")[0].as_py()
@@ -122,12 +123,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     good = rows.where("usable").drop("usable")
     nodes = saved(good.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "vector-nodes")
     table = saved(hashed(nodes.select(F.col("node").alias("id"), "label", "copies", "vector")), "vector-cells")
-    spread = table.select("id", "copies", "vector", "cells", F.posexplode("cells").alias("t", "cell"), "label").withColumn("key", F.xxhash64("t", "cell", "label")).drop("cell", "label")
-    large = saved(spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "large-buckets")
-    spread = spread.join(F.broadcast(large) if large.count() <= BROADCAST_BUCKETS else large, "key", "left")
-    block = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    # Only keys and ids are dealt by bucket; vectors follow to buckets with more than one of them.
+    keys = table.select("id", F.posexplode("cells").alias("t", "cell"), "label").select(F.xxhash64("t", "cell", "label").alias("key"), "t", "id")
+    shared = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "vector-buckets")
+    met = saved(keys.join(F.broadcast(shared) if shared.count() <= BROADCAST_BUCKETS else shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "vectors-met")
+    spread = met.join(table.select("id", "copies", "vector", "cells"), "id").withColumn("cells", F.slice("cells", 1, F.col("t")))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     # Each block meets itself and every other one: i <= j, side 0 the rows of block i, side 1 those of block j.
-    meetings = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"), (F.col("block") > o).cast("int").alias("side")))
+    meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"), (F.col("block") > o).cast("int").alias("side")))
     members = spread.withColumn("block", block).withColumn("m", F.explode(meetings)).select("key", "m.i", "m.j", "m.side", "t", "id", "copies", "vector", "cells")
     found = saved(_compared(members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), least), "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
