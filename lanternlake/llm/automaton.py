@@ -87,15 +87,15 @@ class Automaton:
         return out
 
 
-def repeated_windows(stretches: list[np.ndarray], anchors: list[int], width: int) -> list[np.ndarray]:
-    """The starts of the windows that occur twice among the stretches, which are sorted by anchor: anchors are dealt into shards whole."""
+def repeated_windows(stretches: list[np.ndarray], groups: list[int], width: int) -> list[np.ndarray]:
+    """The starts of the windows that occur twice among the stretches, which are sorted by group: groups are dealt into shards whole."""
     out: list[np.ndarray] = []
     at = 0
     while at < len(stretches):
         end, size = at, 0
         while end < len(stretches):
             stop = end
-            while stop < len(stretches) and anchors[stop] == anchors[end]:
+            while stop < len(stretches) and groups[stop] == groups[end]:
                 stop += 1
             more = sum(len(x) for x in stretches[end:stop])
             if end > at and size + more > SHARD:
@@ -145,7 +145,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, id_col: str
     """
     docs, key_col = with_rows(docs.select(id_col, text_col), id_col)
     rows = _rows(docs, key_col, text_col)
-    spans = repeated(rows, word_kind(width, gram), lambda data, _, anchors: repeated_windows(data, anchors, width), "words")
+    spans = repeated(rows, word_kind(width, gram), lambda data, _, groups: repeated_windows(data, groups, width), "words")
     return named(_removed(rows.join(spans, "row", "left"), texts), docs, key_col, id_col)
 
 

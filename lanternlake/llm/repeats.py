@@ -5,16 +5,18 @@ symbols also start anywhere else. Each window has an anchor: of its `gram`-grams
 windows have equal anchors at the same place, so only stretches whose anchor occurs twice need looking at:
 
 1. anchors(): each document's anchors, each with the stretch of all windows that it stands for.
-2. Stretches that are equal as a whole are one, with a number of occurrences: nothing more to do if no other stretch has the anchor.
+2. Stretches that are equal as a whole are one, with a number of occurrences; if it is more than one, all its windows repeat.
 3. Anchors with several different stretches: those go to shards by anchor, where a method (suffix arrays, automata)
    finds the repeated windows among them.
-4. Anchors with so many different stretches that a shard could not hold them (a passage in very many documents): stretches
-   are cut into pieces of neighbouring windows, pieces whose common core is single are dropped, and the windows of the others
-   are counted by their hashes. This is exact as well, and no task gets a group.
+4. Anchors with more different stretches than a shard should hold (a passage in very many documents) are cut finer first, by the same
+   rules: the windows that begin in the same few places before the anchor have a core in common, so each piece of a stretch is
+   dealt by its core instead of its anchor, equal pieces are one, and groups of different pieces go to shards, or are
+   cut finer again if there are still too many. A piece of one window is all core, so this ends. No task gets a group of unbounded size.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, prefix_hash, range_hash, saved
+from .common import dropped, mixed, prefix_hash, range_hash, saved
 
-#: Different stretches of an anchor up to which a shard takes them whole, and pieces into which a stretch of a larger group is cut.
+#: Different stretches of an anchor, or pieces with a core, that go to a shard as they are, and pieces into which those of larger groups are cut.
 GROUP, PIECES = 128, 16
 #: Bytes of symbols that a bucket of shards gets on average.
 BUCKET_BYTES = 1 << 19
@@ -90,88 +92,97 @@ def _anchor_table(docs: DataFrame, kind: Kind) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row bigint, anchor bigint, stretch bigint, first int, last int, place int")
 
 
-SHARED = "anchor bigint, stretch bigint, n bigint, many boolean, offset int, windows int, data binary"
+SHARED = "anchor bigint, stretch bigint, key bigint, n bigint, many boolean, offset int, windows int, shift int, data binary"
+SHARED_NAMES = [x.split(" ")[0] for x in SHARED.split(", ")]
+SHARED_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows, whose last field may be long, in batches of bounded size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + (len(row[-1]) if isinstance(row[-1], bytes) else 0)
+        if size > most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
 
 def _stretches(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
     """SHARED rows for the wanted stretches (row, anchor, stretch, n, many, first, last, place), cut out of their documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            rows, held = [], 0
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_buffer().to_pybytes()
                 symbols = kind.symbols(text)
                 for x in batch.column(2)[i].as_py():
                     data = kind.pack(text, symbols, x["first"], x["last"] + kind.window)
-                    rows.append((x["anchor"], x["stretch"], x["n"], x["many"], x["place"] - x["first"], x["last"] - x["first"] + 1, data))
-                    held += len(data)
-                if rows and (held > 8 << 20 or i == batch.num_rows - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
-    names = [x.split(" ")[0] for x in SHARED.split(", ")]
+                    yield x["anchor"], x["stretch"], x["anchor"], x["n"], x["many"], x["place"] - x["first"], x["last"] - x["first"] + 1, 0, data
+
     per_row = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "stretch", "n", "many", "first", "last", "place")).alias("wanted"))
-    return docs.select("row", "text").join(per_row, "row").select("row", "text", "wanted").mapInArrow(run, SHARED)
+    return docs.select("row", "text").join(per_row, "row").select("row", "text", "wanted").mapInArrow(lambda b: _batches(rows(b), SHARED_NAMES, SHARED_TYPES), SHARED)
 
 
-FOUND = "anchor bigint, stretch bigint, starts array<int>"
+#: Window starts of a stretch, counted from its first, that repeat: first to last.
+FOUND = "anchor bigint, stretch bigint, first int, last int"
+_J, _CORE, _HULL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def _by_hashes(many: DataFrame, kind: Kind) -> DataFrame:
-    """FOUND for stretches of anchors that have very many: by counting hashes of windows, after dropping pieces whose core is single."""
-    step = -(-(kind.window - kind.gram + 1) // PIECES)
+def _cut_finer(members: DataFrame, kind: Kind, step: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(FOUND rows, SHARED rows): the windows of pieces that occur twice as a whole, and the different pieces of each other group that has several.
 
-    def pieces(offset: int, windows: int):
-        """(piece, its first and last window start, start and end of its core), all from the stretch's start."""
-        for j in range(PIECES):
-            low, high = offset - (j + 1) * step + 1, offset - j * step
-            if high >= 0 and low < windows:
-                yield j, max(low, 0), min(high, windows - 1), high, low + kind.window
+    members: SHARED rows. Piece j of one holds its windows that begin j * step to (j + 1) * step - 1 symbols before the anchor; its core
+    is what all these have in common, whether the member holds all of them or not.
+    """
+    window = kind.window
 
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x in batch.to_pylist():
-                prefix = prefix_hash(kind.unpack(x["data"]))
-                for j, _, _, start, end in pieces(x["offset"], x["windows"]):
-                    h = range_hash(prefix, np.array([start]), np.array([end]))
-                    out.append((x["anchor"], x["stretch"], x["n"], j, int(h.view(np.int64)[0])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()], strict=True)], ["anchor", "stretch", "n", "piece", "core"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                prefix, offset = prefix_hash(kind.unpack(x["data"])), x["offset"]
+                j = np.arange((offset - x["windows"] + 1) // step, offset // step + 1)
+                low, high = offset - (j + 1) * step + 1, offset - j * step
+                first, last = np.maximum(low, 0), np.minimum(high, x["windows"] - 1)
+                with np.errstate(over="ignore"):
+                    core = mixed(range_hash(prefix, high, low + window) * _CORE + j.astype(np.uint64) * _J + np.array([x["key"]]).view(np.uint64))
+                    hull = range_hash(prefix, first, last + window) + (high - first).astype(np.uint64) * _HULL
+                m = len(j)
+                fixed = [np.full(m, x[c]) for c in ("anchor", "stretch", "key", "n")]
+                out.append([core.view(np.int64), hull.view(np.int64), *fixed, first.astype(np.int32), last.astype(np.int32), np.full(m, x["shift"], np.int32)])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["core", "hull", "anchor", "stretch", "key", "n", "first", "last", "shift"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                anchor, stretch, n, start, h = [], [], [], [], []
-                for x in batch.slice(at, 2000).to_pylist():
-                    prefix, kept = prefix_hash(kind.unpack(x["data"])), set(x["pieces"])
-                    s = np.concatenate([np.arange(a, b + 1) for j, a, b, _, _ in pieces(x["offset"], x["windows"]) if j in kept])
-                    start.append(s.astype(np.int32))
-                    h.append(range_hash(prefix, s, s + kind.window).view(np.int64))
-                    anchor.append(np.full(len(s), x["anchor"]))
-                    stretch.append(np.full(len(s), x["stretch"]))
-                    n.append(np.full(len(s), x["n"]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (anchor, stretch, n, start, h)], ["anchor", "stretch", "n", "start", "h"])
-
-    core = saved(many.mapInArrow(cores, "anchor bigint, stretch bigint, n bigint, piece int, core bigint"), "cores")
-    key = ["anchor", "piece", "core"]
-    twice = saved(core.groupBy(key).agg(F.sum("n").alias("c")).where("c > 1").drop("c"), "cores-twice")
-    kept = core.join(twice, key).groupBy("anchor", "stretch").agg(F.collect_set("piece").alias("pieces"))
-    window = saved(many.join(kept, ["anchor", "stretch"]).mapInArrow(windows, "anchor bigint, stretch bigint, n bigint, start int, h bigint"), "windows")
-    again = saved(window.groupBy("h").agg(F.sum("n").alias("c")).where("c > 1").select("h"), "windows-twice")
-    found = saved(window.join(again, "h").groupBy("anchor", "stretch").agg(F.collect_list("start").alias("starts")), "found-many")
-    for x in (core, twice, window, again):
+            for x in batch.to_pylist():
+                for y in x["pieces"]:
+                    data = x["data"][y["first"] * kind.size : (y["last"] + window) * kind.size]
+                    yield x["anchor"], x["stretch"], y["core"], y["n"], y["many"], x["offset"] - y["first"], y["last"] - y["first"] + 1, x["shift"] + y["first"], data
+
+    part = saved(members.mapInArrow(parts, "core bigint, hull bigint, anchor bigint, stretch bigint, key bigint, n bigint, first int, last int, shift int"), f"{name}-pieces")
+    speaker = F.min(F.struct("anchor", "stretch", "key", "first", "last")).alias("at")
+    hulls = saved(part.groupBy("core", "hull").agg(F.sum("n").alias("n"), speaker), f"{name}-different-pieces")
+    # What occurs more than once has been found to repeat before, or is now.
+    whole = part.where("n = 1").join(hulls.where("n > 1").select("core", "hull"), ["core", "hull"], "left_semi")
+    whole = saved(whole.select("anchor", "stretch", (F.col("shift") + F.col("first")).alias("first"), (F.col("shift") + F.col("last")).alias("last")), f"{name}-whole-pieces")
+    several = hulls.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core", (F.col("k") > GROUP).alias("many"))
+    picked = hulls.join(several, "core").select("at.anchor", "at.stretch", "at.key", F.struct("core", "n", "many", "at.first", "at.last").alias("piece"))
+    picked = picked.groupBy("anchor", "stretch", "key").agg(F.collect_list("piece").alias("pieces"))
+    after = members.drop("n", "many").join(picked, ["anchor", "stretch", "key"])
+    after = saved(after.mapInArrow(lambda b: _batches(cut(b), SHARED_NAMES, SHARED_TYPES), SHARED), f"{name}-finer")
+    for x in (part, hulls):
         dropped(x)
-    return found
+    return whole, after
 
 
 def repeated(docs: DataFrame, kind: Kind, method: Callable[[list[np.ndarray], list[int], list[int]], list[np.ndarray]], name: str) -> DataFrame:
     """(row, spans array<struct<start, end>>): for each row of docs (row bigint, text binary) that has any, the symbols that repeated windows cover.
 
-    method: from stretches, their numbers of windows and their anchors, sorted by anchor, the starts of the windows that occur twice among them.
+    method: from stretches, their numbers of windows and their groups, sorted by group, the starts of the windows that occur twice among them.
     Spans may touch or overlap. Everything between the steps is written to the shared folder.
     """
     table = saved(_anchor_table(docs, kind), f"{name}-anchors")
@@ -182,34 +193,40 @@ def repeated(docs: DataFrame, kind: Kind, method: Callable[[list[np.ndarray], li
     some = groups.join(classes, "anchor")
     several = saved(some.where("k > 1").select("anchor", "stretch", "n", (F.col("k") > GROUP).alias("many"), "at.*"), f"{name}-several")
     shared = saved(_stretches(docs, several, kind), f"{name}-shared")
-    total = several.where("not many").agg(F.sum(F.col("last") - F.col("first") + kind.window).alias("s")).first()["s"] or 0
-    buckets = int(total * kind.size // BUCKET_BYTES) * 2 + 1
-    width = kind.window
+    # A stretch that occurs twice repeats as a whole.
+    whole = some.where("n > 1").select("anchor", "stretch", F.lit(0).alias("first"), (F.col("at.last") - F.col("at.first")).alias("last"))
+    found, few, many, step = [whole], [shared.where("not many")], shared.where("many"), kind.window - kind.gram + 1
+    while step > 1 and not many.isEmpty():
+        step = -(-step // PIECES)
+        pieces, finer = _cut_finer(many, kind, step, name)
+        found.append(pieces)
+        few.append(finer.where("not many"))
+        many = finer.where("many")
+    few = functools.reduce(DataFrame.unionByName, few)
+    total = few.agg(F.sum(F.octet_length("data")).alias("s")).first()["s"] or 0
+    buckets = int(total // BUCKET_BYTES) * 2 + 1
     unpack = kind.unpack
 
     def shard(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("anchor", "ascending"), ("stretch", "ascending")])
-        data = [unpack(x) for x in group.column("data").to_pylist()]
-        starts = method(data, group.column("windows").to_pylist(), group.column("anchor").to_pylist())
-        some = [i for i, s in enumerate(starts) if len(s)]
-        picked = group.select(["anchor", "stretch"]).take(pa.array(some, pa.int64()))
-        return picked.append_column("starts", pa.array([starts[i].astype(np.int32) for i in some], pa.list_(pa.int32())))
-
-    few = shared.where("not many").select("anchor", "stretch", "windows", "data", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"))
-    found = few.groupBy("bucket").applyInArrow(shard, FOUND)
-    if several.where("many").limit(1).count():
-        found = found.unionByName(_by_hashes(shared.where("many").drop("many"), kind))
-    # A stretch that occurs twice repeats as a whole.
-    found = saved(found, f"{name}-found")
-    for x in (shared, several):
-        dropped(x)
-    whole = some.where("n > 1").select("anchor", "stretch", F.lit(None).cast("array<int>").alias("starts"))
-    part = found.join(some.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_anti")
-    verdicts = saved(whole.unionByName(part), f"{name}-verdicts")
-    hits = table.join(verdicts, ["anchor", "stretch"])
-    span = lambda a, b: F.struct(a.cast("int").alias("start"), (b + width).cast("int").alias("end"))
-    spans = F.when(F.col("starts").isNull(), F.array(span(F.col("first"), F.col("last")))).otherwise(F.transform("starts", lambda s: span(F.col("first") + s, F.col("first") + s)))
-    return hits.select("row", spans.alias("spans")).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        group = group.sort_by([("key", "ascending"), ("stretch", "ascending")])
+        starts = method([unpack(x) for x in group.column("data").to_pylist()], group.column("windows").to_pylist(), group.column("key").to_pylist())
+        wanted, shift = group.column("n").to_numpy() == 1, group.column("shift").to_numpy()
+        at, first, last = [], [], []
+        for i, s in enumerate(starts):
+            if len(s) and wanted[i]:
+                ends = np.r_[np.flatnonzero(np.diff(s) != 1), len(s) - 1]
+                at.append(np.full(len(ends), i))
+                first.append(s[np.r_[0, ends[:-1] + 1]] + shift[i])
+                last.append(s[ends] + shift[i])
+        flat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+        return group.select(["anchor", "stretch"]).take(pa.array(flat(at, np.int64))).append_column("first", pa.array(flat(first, np.int32))).append_column("last", pa.array(flat(last, np.int32)))
+
+    dealt = few.select("anchor", "stretch", "key", "n", "windows", "shift", "data", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
+    found.append(saved(dealt.groupBy("bucket").applyInArrow(shard, FOUND), f"{name}-found"))
+    verdicts = functools.reduce(DataFrame.unionByName, found).select("anchor", "stretch", F.struct("first", "last").alias("range"))
+    hits = table.select("row", "anchor", "stretch", F.col("first").alias("at")).join(verdicts, ["anchor", "stretch"])
+    span = F.struct((F.col("at") + F.col("range.first")).cast("int").alias("start"), (F.col("at") + F.col("range.last") + kind.window).cast("int").alias("end"))
+    return hits.select("row", span.alias("span")).groupBy("row").agg(F.collect_list("span").alias("spans"))
 
 
 def covered(n: int, spans: list[dict] | None) -> np.ndarray:

@@ -10,17 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_TABLE, prefix_hash, range_hash, with_rows
+from .common import BYTE_TABLE, with_rows
 from .repeats import Kind, covered, named, repeated
 
-#: Symbols of a shard: three of these numbers fit a 64-bit sort key.
-SHARD = 1 << 19
+#: Symbols of a shard, 2**19 at the most: three of these numbers fit a 64-bit sort key.
+SHARD = 1 << 18
 #: Symbols that the first sort looks at.
 FIRST = 5
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank) of the suffixes of a text of symbols 0 to 256, of fewer than SHARD symbols.
+    """(order, rank) of the suffixes of a text of symbols 0 to 256, of fewer than 2**19 symbols.
 
     Larsson and Sadakane: sort by the first few symbols, then refine only groups that are not single yet, each suffix by
     the rank of the one that begins where its known part ends; the known part doubles. rank is the first place of a suffix's group.
@@ -107,65 +107,84 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, lane_starts: np.ndarray
     return lcp
 
 
-def _shard_repeats(stretches: list[np.ndarray], windows: list[int], width: int) -> list[np.ndarray]:
-    """For each stretch, whether each of its windows occurs twice in this shard."""
-    sizes = np.array([len(x) for x in stretches])
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    text = np.zeros(int(sizes.sum()) + len(sizes), np.int64)
-    for s, x in zip(starts, stretches, strict=True):
-        text[s : s + len(x)] = x.astype(np.int64) + 1  # 0 ends a stretch
-    order, _ = suffix_array(text)
-    lcp = common_prefixes(text, order, starts, np.array(windows), width)
-    shared = lcp >= width
-    twice = np.zeros(len(text), bool)
-    twice[order] = shared | np.r_[shared[1:], False]
-    return [twice[s : s + w] for s, w in zip(starts, windows, strict=True)]
-
-
-def repeated_windows(stretches: list[np.ndarray], windows: list[int], width: int) -> list[np.ndarray]:
-    """The starts of the windows of `width` bytes that occur twice among the stretches.
-
-    Stretches are dealt into shards of bounded size, each with a suffix array of its own. Shards are merged by binary search:
-    each one's windows, as sorted hashes, are looked up in those of every later shard.
+class Shard:
+    """The suffix array of several stretches of bytes, and which of their windows of `width` bytes occur twice among them."""
+
+    def __init__(self, stretches: list[np.ndarray], windows: list[int], width: int):
+        sizes = np.array([len(x) for x in stretches])
+        self.width, self.windows, self.starts = width, windows, np.cumsum(sizes + 1) - sizes - 1
+        self.text = np.zeros(int(sizes.sum()) + len(sizes), np.int64)
+        for s, x in zip(self.starts, stretches, strict=True):
+            self.text[s : s + len(x)] = x.astype(np.int64) + 1  # 0 ends a stretch
+        self.order, _ = suffix_array(self.text)
+        lcp = common_prefixes(self.text, self.order, self.starts, np.array(windows), width)
+        shared = lcp >= width
+        self.twice = np.zeros(len(self.text), bool)
+        self.twice[self.order] = shared | np.r_[shared[1:], False]
+
+    def packed(self, places: np.ndarray, block: int) -> np.ndarray:
+        """Three symbols of each suffix, the block-th three, as numbers that sort like them; symbols from `width` on count as none."""
+        out = np.zeros(len(places), np.int64)
+        for k in range(3 * block, 3 * block + 3):
+            out = out << 9
+            if k < self.width:
+                at = places + k
+                out += np.where(at < len(self.text), self.text[np.minimum(at, len(self.text) - 1)], 0)
+        return out
+
+    def held(self, other: Shard, places: np.ndarray) -> np.ndarray:
+        """Whether each window of another shard that begins at one of the places stands here: by binary search among the suffixes."""
+        low, high = np.zeros(len(places), np.int64), np.full(len(places), len(self.order), np.int64)
+
+        def compare(who: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+            """-1, 0 or 1 as the suffix is below, equal to or above the window."""
+            out, open_ = np.zeros(len(who), np.int64), np.arange(len(who))
+            for block in range(-(-self.width // 3)):
+                out[open_] = np.sign(self.packed(suffix[open_], block) - other.packed(places[who[open_]], block))
+                open_ = open_[out[open_] == 0]
+                if not len(open_):
+                    break
+            return out
+
+        while len(who := np.flatnonzero(low < high)):
+            middle = (low[who] + high[who]) // 2
+            below = compare(who, self.order[middle]) < 0
+            low[who[below]] = middle[below] + 1
+            high[who[~below]] = middle[~below]
+        inside = np.flatnonzero(low < len(self.order))
+        out = np.zeros(len(places), bool)
+        out[inside] = compare(inside, self.order[low[inside]]) == 0
+        return out
+
+    def places(self, stretches: list[int]) -> np.ndarray:
+        return np.concatenate([self.starts[i] + np.arange(self.windows[i]) for i in stretches])
+
+
+def repeated_windows(stretches: list[np.ndarray], windows: list[int], groups: list[int], width: int) -> list[np.ndarray]:
+    """The starts of the windows of `width` bytes that occur twice among the stretches, which are sorted by group; no window stands in two groups.
+
+    Stretches are dealt in this order into shards of bounded size, each with a suffix array of its own. Shards that hold parts
+    of one group are merged by binary search: the group's windows in each are looked up among the suffixes of the others.
     """
-    shards: list[list[int]] = [[]]
+    parts: list[list[int]] = [[]]
     size = 0
     for i, x in enumerate(stretches):
-        if size + len(x) + 1 >= SHARD and shards[-1]:
-            shards.append([])
+        if size + len(x) + 1 >= SHARD and parts[-1]:
+            parts.append([])
             size = 0
-        shards[-1].append(i)
+        parts[-1].append(i)
         size += len(x) + 1
-    twice: dict[int, np.ndarray] = {}
-    for part in shards:
-        for i, t in zip(part, _shard_repeats([stretches[i] for i in part], [windows[i] for i in part], width), strict=True):
-            twice[i] = t
-    if len(shards) > 1:
-        lists = []
-        for part in shards:
-            hashes = []
-            for i in part:
-                s = np.arange(windows[i])
-                hashes.append(range_hash(prefix_hash(BYTE_TABLE[stretches[i]]), s, s + width))
-            flat = np.concatenate(hashes)
-            by = np.argsort(flat)
-            lists.append((part, flat, by, flat[by], np.cumsum([0, *map(len, hashes)])))
-        hit = [np.zeros(len(x[1]), bool) for x in lists]
-        for a in range(len(lists)):
-            for b in range(a):
-                short, long = sorted((a, b), key=lambda k: len(lists[k][1]))
-                left = np.searchsorted(lists[long][3], lists[short][3], "left")
-                right = np.searchsorted(lists[long][3], lists[short][3], "right")
-                met = right > left
-                hit[short][lists[short][2][met]] = True
-                step = np.zeros(len(lists[long][3]) + 1, np.int64)
-                np.add.at(step, left[met], 1)
-                np.add.at(step, right[met], -1)
-                hit[long][lists[long][2][np.cumsum(step[:-1]) > 0]] = True
-        for (part, *_, at), found in zip(lists, hit, strict=True):
-            for k, i in enumerate(part):
-                twice[i] = twice[i] | found[at[k] : at[k + 1]]
-    return [np.flatnonzero(twice[i]) for i in range(len(stretches))]
+    shards = [Shard([stretches[i] for i in part], [windows[i] for i in part], width) for part in parts if part]
+    for a in range(len(shards)):
+        for b in range(a + 1, len(shards)):
+            g = groups[parts[b][0]]
+            if groups[parts[a][-1]] != g:
+                break
+            for one, mine, other in ((a, parts[a], b), (b, parts[b], a)):
+                places = shards[one].places([k for k, i in enumerate(mine) if groups[i] == g])
+                places = places[~shards[one].twice[places]]
+                shards[one].twice[places] = shards[other].held(shards[one], places)
+    return [np.flatnonzero(shard.twice[s : s + w]) for shard in shards for s, w in zip(shard.starts, shard.windows, strict=True)]
 
 
 def byte_kind(width: int, gram: int) -> Kind:
@@ -199,7 +218,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, gram: int = 48, id_col: st
     """
     docs, key_col = with_rows(docs.select(id_col, text_col), id_col)
     rows = docs.select(F.col(key_col).cast("bigint").alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    spans = repeated(rows, byte_kind(width, gram), lambda data, windows, _: repeated_windows(data, windows, width), "bytes")
+    spans = repeated(rows, byte_kind(width, gram), lambda data, windows, groups: repeated_windows(data, windows, groups, width), "bytes")
     return named(_removed(rows, spans, texts), docs, key_col, id_col)
 
 

@@ -112,18 +112,39 @@ def test_suffix_array_sorts_suffixes_and_kasai_measures_them():
             assert n == k
 
 
-def test_shards_are_merged(monkeypatch):
+@pytest.mark.parametrize("width", [40, 41, 42])
+def test_shards_are_merged(monkeypatch, width):
     rng = random.Random(1)
     shared = bytes(rng.randrange(97, 123) for _ in range(90))
-    texts = [bytes(rng.randrange(97, 123) for _ in range(rng.randrange(80, 160))) + (shared if k % 3 == 0 else b"") for k in range(12)]
-    width = 40
+    texts = [bytes(rng.choice([0, 255, 97]) for _ in range(rng.randrange(80, 160))) + (shared if k % 3 == 0 else b"") for k in range(12)]
     stretches, windows = [np.frombuffer(t, np.uint8) for t in texts], [len(t) - width + 1 for t in texts]
-    whole = [x.tolist() for x in suffix_array.repeated_windows(stretches, windows, width)]
-    monkeypatch.setattr(suffix_array, "SHARD", 400)
-    assert [x.tolist() for x in suffix_array.repeated_windows(stretches, windows, width)] == whole
+    groups = [5] * 12
+    whole = [x.tolist() for x in suffix_array.repeated_windows(stretches, windows, groups, width)]
+    seen = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
+    assert whole == [[i for i in range(len(t) - width + 1) if seen[t[i : i + width]] > 1] for t in texts]
+    for size in (200, 400, 900):
+        monkeypatch.setattr(suffix_array, "SHARD", size)
+        assert [x.tolist() for x in suffix_array.repeated_windows(stretches, windows, groups, width)] == whole
     assert any(whole)
 
 
+@pytest.mark.parametrize("group", [2, 20])
+def test_a_passage_in_many_documents(spark, monkeypatch, group):
+    """Many texts that share a passage or a part of it, with few or many differing neighbours: groups are cut finer until shards hold them."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    rng = random.Random(3)
+    passage = [f"p{rng.randrange(400)}" for _ in range(160)]
+    rows = []
+    for i in range(150):
+        a, b = (0, 160) if i % 2 else sorted((rng.randrange(80), 80 + rng.randrange(80)))
+        edge = rng.choice([3, 500])
+        rows.append((i, " ".join([*(f"a{rng.randrange(edge)}" for _ in range(40)), *passage[a:b], *(f"b{rng.randrange(edge)}" for _ in range(40))])))
+    rows += [(500, " ".join(passage * 40)), (501, " ".join(passage * 40)), (502, "x" * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert rows_of(suffix_array.remove_repeats(df, 400), *BYTES) == plain_bytes(rows, 400)
+    assert rows_of(automaton.remove_repeats(df, 35), *WORDS) == plain_words(rows, 35)
+
+
 def test_automaton_counts_occurrences():
     rng = random.Random(2)
     sequences = [[rng.randrange(3) for _ in range(rng.randrange(1, 40))] for _ in range(12)]
