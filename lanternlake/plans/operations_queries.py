@@ -22,7 +22,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return l.select(F.explode(both).alias("e")).select("e.*")
 
 
-EDGES_SQL = """l AS (SELECT 'o' || l_orderkey AS o, 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1995-04-01'),
+EDGES_SQL = """l AS (SELECT 'o' || l_orderkey AS o, 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem),
   edges AS (SELECT o AS from_id, p AS to_id FROM l UNION SELECT p, s FROM l)"""
 
 
@@ -346,6 +346,6 @@ SQL = {
       x AS (SELECT queue, a AS moment, 1 AS step, run_id FROM s UNION ALL SELECT queue, b, -1, run_id FROM s),
       d AS (SELECT run_id, step, sum(step) OVER (PARTITION BY queue ORDER BY moment, step, run_id ROWS UNBOUNDED PRECEDING) AS depth FROM x) SELECT run_id, depth > 100 AS rejected FROM d WHERE step = 1""",
     "hourly_events": f"WITH {EVENTS_SQL} SELECT date_trunc('hour', occurred_at) AS start, type, count(*) AS n FROM ev GROUP BY ALL",
-    "last_deployment": f"""WITH {EVENTS_SQL}, {INCIDENTS_SQL}, i AS (SELECT incident_id, project_id, make_timestamp((1704067200 + incident_id * 86400) * 1000000) AS started_at FROM inc WHERE incident_id < 200)
+    "last_deployment": f"""WITH {EVENTS_SQL}, {INCIDENTS_SQL}, i AS (SELECT incident_id, project_id, make_timestamp((1704067200 + incident_id * 86400) * 1000000) AS started_at FROM inc)
       SELECT i.incident_id, max(occurred_at) AS deployed_at FROM i LEFT JOIN (SELECT *, 'p' || (incident_id % 5) AS project_id FROM ev WHERE type = 'Deployment') d ON d.project_id = i.project_id AND d.occurred_at <= i.started_at GROUP BY i.incident_id""",
 }

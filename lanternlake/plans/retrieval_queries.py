@@ -14,9 +14,6 @@ from lanternlake.operators import ingest as I
 from lanternlake.operators import retrieval as R
 from lanternlake.sources import tables as S
 
-#: The items that the queries' SQL asks; query_set() asks all of them.
-N_QUERIES = 5
-
 
 def query_set(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, project_id, text, vector, services): all benchmark items, each asked of the project of its id; the vector is null where there is none."""
@@ -26,7 +23,7 @@ def query_set(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DOCS, VECS = S.DOCUMENTS_SQL, S.VECTORS_SQL
-QUERIES_SQL = f"qs AS (SELECT item_id AS query_id, 'p' || (item_id % 5) AS project_id, text, embedding::DOUBLE[] AS vector, ['src' || (item_id % 20)] AS services FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id < {N_QUERIES})"
+QUERIES_SQL = "qs AS (SELECT item_id AS query_id, 'p' || (item_id % 5) AS project_id, text, embedding::DOUBLE[] AS vector, ['src' || (item_id % 20)] AS services FROM benchmark LEFT JOIN embeddings ON vec_id = item_id)"
 WITH = f"WITH {DOCS}, {VECS}, {QUERIES_SQL}"
 
 
@@ -41,7 +38,7 @@ def _tokens(c: str) -> str:
 def vector_sql(where: str = "", k: int = 50) -> str:
     return f"""vleg AS (SELECT query_id, chunk_id, rank::INT AS rank, greatest(0.0, raw)::DOUBLE AS score FROM (
       SELECT query_id, chunk_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM (
-        SELECT q.query_id, d.chunk_id, round({_cos("v.vector", "q.vector")}, 6) AS raw FROM docs d JOIN vecs v USING (chunk_id) JOIN qs q USING (project_id) {where})) WHERE rank <= {k})"""
+        SELECT q.query_id, d.chunk_id, round({_cos("v.vector", "q.vector")}, 6) AS raw FROM docs d JOIN vecs v USING (chunk_id) JOIN (SELECT * FROM qs WHERE vector IS NOT NULL) q USING (project_id) {where})) WHERE rank <= {k})"""
 
 
 KEYWORD_SQL = f"""qt AS (SELECT query_id, project_id, unnest(t) AS term, len(t) AS n_terms FROM (SELECT query_id, project_id, list_distinct({_tokens("text")}) AS t FROM qs)),
@@ -178,7 +175,7 @@ def evidence_index(spark, sf):
 _INDEX_SQL = f"""{DOCS}, idx AS (
   SELECT project_id AS request_id, 0 AS section, chunk_id AS position, 'change:' || path AS evidence_id FROM docs WHERE document_type = 'SourceCode'
   UNION ALL SELECT project_id, 1, chunk_id, 'chunk:' || chunk_id FROM docs
-  UNION ALL SELECT 'p' || (user_id % 5), 2, event_id, 'incident-event:' || event_id FROM events WHERE event_id < 2000)"""
+  UNION ALL SELECT 'p' || (user_id % 5), 2, event_id, 'incident-event:' || event_id FROM events)"""
 
 
 def grounding_violations(spark, sf):
@@ -212,7 +209,7 @@ def _found(spark, sf):
     return E.deduplicated(found.select(F.col("query_id").alias("case_id"), "leg", F.col("chunk_id").alias("source_key"), "rank")), gold, spark.createDataFrame([("vector",), ("modulo",)], "leg string")
 
 
-_FOUND_SQL = f"""{VECS}, qv AS (SELECT chunk_id AS query_id, vector, label AS wanted FROM vecs WHERE chunk_id % 50 = 0),
+_FOUND_SQL = f"""{VECS}, qv AS (SELECT chunk_id AS query_id, vector, label AS wanted FROM vecs WHERE chunk_id % 20 = 0),
   near AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM (SELECT q.query_id, v.chunk_id, round({_cos("v.vector", "q.vector")}, 6) AS raw FROM vecs v, qv q)) WHERE rank <= 11 AND query_id <> chunk_id),
   modulo AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM vecs JOIN qv ON chunk_id % 10 = query_id % 10 WHERE chunk_id <> query_id) WHERE rank <= 10),
   found AS (SELECT case_id, leg, source_key, row_number() OVER (PARTITION BY case_id, leg ORDER BY rank, source_key) AS rank FROM (SELECT query_id AS case_id, 'vector' AS leg, chunk_id AS source_key, rank FROM near UNION ALL SELECT query_id, 'modulo', chunk_id, rank FROM modulo)),
@@ -318,5 +315,4 @@ SQL = {
     "leg_contribution": f"""{WITH}, {HYBRID_SQL} SELECT unnest(['vector', 'keyword', 'dependency']) AS signal, unnest([round(avg((vector IS NOT NULL)::INT), 6), round(avg((keyword IS NOT NULL)::INT), 6), round(avg((dependency IS NOT NULL)::INT), 6)]) AS share FROM hits""",
     "baseline_delta": f"""WITH {_FOUND_SQL}, l AS (SELECT leg, k, unnest(['recall', 'precision', 'mrr', 'hit_rate']) AS metric, unnest([recall, precision, mrr, hit_rate]) AS current FROM summary)
       SELECT leg, k, metric, round(current * 0.5, 6) AS baseline, current, round(current - round(current * 0.5, 6), 6) AS delta FROM l WHERE k = 10""",
-    "code_chunks": f"""WITH {DOCS} SELECT chunk_id AS document_id, unnest([0, 1]) AS position, unnest(['Class', 'Method']) AS chunk_type, unnest(['A' || chunk_id, 'Run']) AS symbol FROM docs WHERE document_type = 'SourceCode'""",
 }
