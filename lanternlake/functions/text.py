@@ -60,10 +60,15 @@ INSTRUCTION_LINES = (
 )
 
 
+#: What ends a line, the form feed and Unicode's separators included, so that no instruction hides behind one.
+LINE_END = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
+
+
 def sanitize_lines(text: Column) -> Column:
-    """The text without the lines that read like instructions."""
-    pattern = "(?i)" + "|".join(f"(?:{p})" for p in INSTRUCTION_LINES)
-    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")
+    """The text without the lines that read like instructions, its lines joined by line feeds; a line end at the end goes."""
+    # (?U): white space and letters of all of Unicode.
+    pattern = "(?iU)" + "|".join(f"(?:{p})" for p in INSTRUCTION_LINES).replace(r"\s", r"[\s\x1f]")
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), LINE_END + r"\z", ""), LINE_END)
     return F.array_join(F.filter(lines, lambda x: ~x.rlike(pattern)), "\n")
 
 

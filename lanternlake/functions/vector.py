@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import tokens
+
 
 def _doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -28,45 +25,24 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
-def _noise(text: str, dimension: int) -> list[float]:
-    state = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big") ^ 0x5A17CE9B
-    mask, out = (1 << 64) - 1, []
-    for _ in range(dimension):
-        state = (state + 0x9E3779B97F4A7C15) & mask
-        z = state
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            z = (z ^ (z >> shift)) * factor & mask
-        out.append((z ^ (z >> 31)) / mask * 2.0 - 1.0)
-    return out
-
-
-def embed_one(text: str, dimension: int) -> list[float]:
-    """Distinct runs of four characters, each counted in three places that its hash names, to length one; shorter texts are noise of their own."""
-    places = [0.0] * dimension
-    grams = {text[i : i + 4] for i in range(len(text) - 3)}
-    for gram in grams:
-        digest = hashlib.sha256(gram.encode()).digest()
-        for probe in range(3):
-            places[(int.from_bytes(digest[8 * probe : 8 * probe + 8], "big") ^ probe) % dimension] += 1.0
-    if not grams:
-        places = _noise(text, dimension)
-    length = math.sqrt(math.fsum(x * x for x in places)) or 1.0
-    return [x / length for x in places]
-
-
 def embed_text(text: Column, dimension: int = 768) -> Column:
-    """The embedding of each text; null is the empty text."""
-
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: embed_one(t or "", dimension))
+    """A stand-in for an embedding model: each word of a text adds or takes one at a place that its hash names; then scaled to length one.
 
-    return run(text)
+    Texts in which that leaves nothing, null and empty ones too, have a single one at the place that their own hash names.
+    """
+    number = lambda x, at: F.conv(F.substring(F.md5(x), at, 8), 16, 10).cast("bigint")
+    whole = F.coalesce(text, F.lit(""))
+    words = F.transform(tokens(whole), lambda w: F.struct((number(w, 1) % dimension).alias("place"), F.when(number(w, 9) % 2 == 0, 1.0).otherwise(-1.0).alias("step")))
+    places = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), found)
+    counts = places(lambda d: F.aggregate(F.filter(words, lambda w: w["place"] == d), F.lit(0.0), lambda s, w: s + w["step"]))
+    single = places(lambda d: F.when(d == number(whole, 1) % dimension, 1.0).otherwise(0.0))
+    # Arrays of one element, so that each step is computed once.
+    first = F.transform(F.array(counts), lambda v: F.when(norm(v) > 0, v).otherwise(single))
+    return F.get(F.transform(F.transform(first, lambda v: F.struct(v.alias("v"), norm(v).alias("n"))), lambda x: F.transform(x["v"], lambda y: y / x["n"])), F.lit(0))
 
 
 #: Embedding providers by name: a function from a text column and a dimension to a vector column.
-PROVIDERS = {"hashed-ngrams": embed_text}
+PROVIDERS = {"hashed-words": embed_text}
 
 
 def model_version(provider: str, dimension: int) -> str:

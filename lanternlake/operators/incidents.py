@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .fold import folded
+
 
 def with_filters(df: DataFrame, **equal) -> DataFrame:
     """Rows with the given values; None doesn't filter."""
@@ -101,10 +106,35 @@ def dashboard(**tables: DataFrame) -> DataFrame:
 
 
 def unique_slugs(names: DataFrame, slug: Column, order: str) -> DataFrame:
-    """names with slug, and -2, -3, ... for later rows with the same."""
-    w = Window.partitionBy("base").orderBy(order)
-    numbered = names.withColumn("base", slug).withColumn("n", F.row_number().over(w))
-    return numbered.withColumn("slug", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), "n"))).drop("base", "n")
+    """names with slug: in order, each row's own if no earlier row has it, else the first free one of -2, -3, ... behind it; null stays null.
+
+    A slug can be an own one of a row and a numbered one of another (a, a, a-2), so rows are dealt by what is left without
+    numbers at the end. A task keeps a number for each different own slug of a group.
+    """
+
+    def begin():
+        following: dict[str, int] = {}
+        own: set[str] = set()
+
+        def step(base):
+            if base is None:
+                return None
+            k = following.get(base)
+            if k is None:
+                found = re.fullmatch(r"(.*)-([2-9]|[1-9][0-9]+)", base)
+                k = 2
+                if not found or following.get(found[1], 1) <= int(found[2]):
+                    own.add(base)
+                    following[base] = k
+                    return base
+            while f"{base}-{k}" in own:
+                k += 1
+            following[base] = k + 1
+            return f"{base}-{k}"
+
+        return step
+
+    return folded(names, [F.regexp_replace(slug, "(-[0-9]+)+$", "")], [order], [slug], "slug", ("string", pa.string()), begin)
 
 
 def foreign_services(incidents: DataFrame, services: DataFrame) -> DataFrame:

@@ -54,10 +54,13 @@ def section_chunks(docs: DataFrame, id_col: str = "document_id", text_col: str =
     """
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     heading = lambda x: F.trim(x).rlike("^##? ")
-    # A form feed marks the line that begins a section: then the text splits there.
-    marked = F.array_join(F.transform(lines, lambda x: F.when(heading(x), F.concat(F.lit("\f"), x)).otherwise(x)), "\n")
-    parts = F.filter(F.transform(F.split(marked, "\f"), lambda x: F.regexp_replace(x, "\n$", "")), lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != "")
-    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("whole"), parts.alias("parts"))
+    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("whole"), lines.alias("lines"))
+    begins = F.filter(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: heading(F.get("lines", i)) & (i < F.size("lines")))
+    cut = cut.withColumn("begins", F.when(F.size("lines") > 1, F.concat(F.array(F.lit(0)), begins)).otherwise(F.array(F.lit(0))))
+    until = lambda k: F.coalesce(F.get("begins", k + 1), F.size("lines"))
+    parts = F.transform("begins", lambda b, k: F.array_join(F.slice("lines", b + 1, until(k) - b), "\n"))
+    parts = F.filter(parts, lambda x: F.regexp_replace(x, r"\s", "") != "")
+    cut = cut.select("id", "whole", parts.alias("parts"))
     chosen = F.when(F.size("parts") <= 1, F.array("whole")).otherwise(F.col("parts"))
     out = cut.select("id", F.posexplode(chosen).alias("position", "chunk"))
     head = F.filter(F.split("chunk", "\n"), heading)

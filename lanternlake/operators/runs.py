@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .fold import folded
+
 # fixed values: the changes of state that are allowed
 TRANSITIONS = (("Queued", "Running"), ("Running", "Succeeded"), ("Running", "Failed"), ("Queued", "Failed"))
 OUTSTANDING = ("Queued", "Running")
@@ -23,18 +28,28 @@ def state_violations(history: DataFrame) -> DataFrame:
 
 
 def idempotency(submissions: DataFrame) -> DataFrame:
-    """submissions (project_id, request_id, run_id, submitted_at, finished_at) with decision and the run they get.
+    """submissions (project_id, request_id, run_id, submitted_at, finished_at) with decision: started or reused.
 
-    A submission while an earlier run of its project and request id is outstanding reuses that run; null request ids never do. As a
-    reused submission starts nothing, runs follow one another in each key: those whose end is after all earlier ones' decide.
+    A submission while a run that an earlier one of its project and request id started is outstanding reuses that run and starts
+    nothing, so its own end keeps nothing busy; a run without an end stays outstanding. Null request ids never reuse, nor does
+    a submission without a time. Each key's submissions are one task's, in order of time and run id.
     """
-    w = Window.partitionBy("project_id", "request_id").orderBy("submitted_at", "run_id")
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    far = F.lit("9999-12-31").cast("timestamp")
-    end = F.coalesce("finished_at", far)
-    marked = submissions.withColumn("busy_until", F.max(end).over(earlier))
-    reuse = F.col("request_id").isNotNull() & F.coalesce(F.col("busy_until") > F.col("submitted_at"), F.lit(False))
-    return marked.withColumn("decision", F.when(reuse, "reused").otherwise("started")).drop("busy_until")
+
+    def begin():
+        busy = None
+
+        def step(submitted, finished):
+            nonlocal busy
+            if busy is not None and submitted is not None and busy > submitted:
+                return "reused"
+            end = float("inf") if finished is None else finished
+            busy = end if busy is None else max(busy, end)
+            return "started"
+
+        return step
+
+    some = folded(submissions.where("request_id is not null"), ["project_id", "request_id"], ["submitted_at", "run_id"], [F.unix_micros(F.col(c).cast("timestamp")) for c in ("submitted_at", "finished_at")], "decision", ("string", pa.string()), begin)
+    return some.unionByName(submissions.where("request_id is null").withColumn("decision", F.lit("started")))
 
 
 def recovered(runs: DataFrame) -> DataFrame:
@@ -62,22 +77,26 @@ def rate_limited(events: DataFrame, seconds: int = 60, permits: int = 10, queue:
 
 
 def queue_admission(submissions: DataFrame, capacity: int = QUEUE_CAPACITY) -> DataFrame:
-    """submissions (queue, submitted_at, started_at, run_id) with rejected: as many before them are still waiting as the queue holds.
+    """submissions (queue, submitted_at, started_at, run_id) with rejected: as many admitted before them are still waiting as the queue holds.
 
-    Waiting counts come from the arrivals and departures in order of time: the sums of the hours before, and a running sum in each
-    queue's hour. A task holds one hour of a queue, or of a queue only a row an hour.
+    Rejected runs never wait. What leaves a queue at a moment does so before what arrives then; a run without a start waits on, one without a
+    time of submission comes first. A queue's arrivals depend on one another, so they are one task's, which holds no more than `capacity` times.
     """
-    arrive = submissions.select("queue", F.col("submitted_at").alias("at"), F.lit(1).alias("step"), "run_id")
-    leave = submissions.where("started_at is not null").select("queue", F.col("started_at").alias("at"), F.lit(-1).alias("step"), "run_id")
-    moves = arrive.unionByName(leave).withColumn("hour", F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / 3600))
-    before = Window.partitionBy("queue").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    sums = moves.groupBy("queue", "hour").agg(F.sum("step").alias("change"))
-    sums = sums.select(F.col("queue").alias("of_queue"), F.col("hour").alias("of_hour"), F.coalesce(F.sum("change").over(before), F.lit(0)).alias("waiting"))
-    within = Window.partitionBy("queue", "hour").orderBy("at", "step", "run_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = moves.withColumn("own", F.sum("step").over(within)).where("step = 1")
-    joined = placed.join(sums, F.col("queue").eqNullSafe(F.col("of_queue")) & F.col("hour").eqNullSafe(F.col("of_hour")))
-    depth = joined.select("run_id", (F.col("waiting") + F.col("own")).alias("depth"))
-    return submissions.join(depth, "run_id").withColumn("rejected", F.col("depth") > capacity).drop("depth")
+
+    def begin():
+        waiting: list[float] = []
+
+        def step(at, leaves):
+            while waiting and at is not None and waiting[0] <= at:
+                heapq.heappop(waiting)
+            if len(waiting) >= capacity:
+                return True
+            heapq.heappush(waiting, float("inf") if leaves is None else leaves)
+            return False
+
+        return step
+
+    return folded(submissions, ["queue"], ["submitted_at", "run_id"], [F.unix_micros(F.col(c).cast("timestamp")) for c in ("submitted_at", "started_at")], "rejected", ("boolean", pa.bool_()), begin)
 
 
 def stage_durations(stages: DataFrame) -> DataFrame:

@@ -337,14 +337,18 @@ SQL = {
       SELECT o_orderkey AS run_id, 1 AS seq, 'Queued' AS from_status, 'Succeeded' AS to_status FROM orders WHERE o_orderkey % 13 = 0
       UNION ALL SELECT o_orderkey, 0, NULL, 'Running' FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 17 = 0
       UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 2 END, 'Running', 'Running' FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderstatus NOT IN ('F', 'O'))""",
-    "run_idempotency": f"""WITH {_RUNS_SQL} SELECT run_id, CASE WHEN request_id IS NOT NULL AND coalesce(max(coalesce(finished_at, TIMESTAMP '9999-12-31')) OVER (PARTITION BY project_id, request_id ORDER BY submitted_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > submitted_at, false) THEN 'reused' ELSE 'started' END AS decision FROM runs""",
+    "run_idempotency": f"""WITH RECURSIVE {_RUNS_SQL}, k AS (SELECT *, coalesce(finished_at, TIMESTAMP '9999-12-31') AS ends, row_number() OVER (PARTITION BY project_id, request_id ORDER BY submitted_at, run_id) AS n FROM runs WHERE request_id IS NOT NULL),
+      w AS (SELECT project_id, request_id, n, run_id, ends AS busy, 'started' AS decision FROM k WHERE n = 1
+        UNION ALL SELECT k.project_id, k.request_id, k.n, k.run_id, CASE WHEN busy > submitted_at THEN busy ELSE greatest(busy, ends) END, CASE WHEN busy > submitted_at THEN 'reused' ELSE 'started' END FROM w JOIN k ON k.project_id = w.project_id AND k.request_id = w.request_id AND k.n = w.n + 1)
+      SELECT run_id, decision FROM w UNION ALL SELECT run_id, 'started' FROM runs WHERE request_id IS NULL""",
     "run_recovery": f"WITH {_RUNS_SQL} SELECT run_id, CASE WHEN status = 'Running' THEN 'Failed' ELSE status END AS status, CASE WHEN status = 'Running' THEN 'WORKER_INTERRUPTED' END AS failure_code, status = 'Queued' AS requeue FROM runs",
     "job_timeouts": f"WITH {_RUNS_SQL} SELECT run_id FROM runs WHERE coalesce(finished_at, TIMESTAMP '1998-12-31') - submitted_at > INTERVAL 60 DAYS",
     "rate_limit_fixed_window": "SELECT event_id, CASE WHEN n <= 10 THEN 'admitted' WHEN n <= 14 THEN 'queued' ELSE 'rejected' END AS label FROM (SELECT event_id, row_number() OVER (PARTITION BY epoch_us(ts) // 3600000000 ORDER BY ts, event_id) AS n FROM events)",
     "failure_category": "SELECT ['VALIDATION', 'RATE_LIMIT', 'TIMEOUT', 'AI_PROVIDER', 'TIMEOUT', 'VALIDATION', 'INTERNAL', 'INTERNAL'][(o_orderkey % 8 + 1)::INT] AS category, count(*) AS n FROM orders GROUP BY 1",
-    "queue_admission": """WITH s AS (SELECT o_orderpriority AS queue, o_orderkey AS run_id, o_orderdate AS a, o_orderdate + to_days((o_orderkey % 200)::INT) AS b FROM orders),
-      x AS (SELECT queue, a AS moment, 1 AS step, run_id FROM s UNION ALL SELECT queue, b, -1, run_id FROM s),
-      d AS (SELECT run_id, step, sum(step) OVER (PARTITION BY queue ORDER BY moment, step, run_id ROWS UNBOUNDED PRECEDING) AS depth FROM x) SELECT run_id, depth > 100 AS rejected FROM d WHERE step = 1""",
+    "queue_admission": """WITH RECURSIVE s AS (SELECT o_orderpriority AS queue, o_orderkey AS run_id, o_orderdate AS a, o_orderdate + to_days((o_orderkey % 200)::INT) AS b, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+      w AS (SELECT queue, n, run_id, [b] AS waiting, false AS rejected FROM s WHERE n = 1
+        UNION ALL SELECT queue, n, run_id, CASE WHEN len(still) >= 100 THEN still ELSE list_append(still, b) END, len(still) >= 100 FROM (SELECT s.*, list_filter(w.waiting, lambda x: x > s.a) AS still FROM w JOIN s ON s.queue = w.queue AND s.n = w.n + 1))
+      SELECT run_id, rejected FROM w""",
     "hourly_events": f"WITH {EVENTS_SQL} SELECT date_trunc('hour', occurred_at) AS start, type, count(*) AS n FROM ev GROUP BY ALL",
     "last_deployment": f"""WITH {EVENTS_SQL}, {INCIDENTS_SQL}, i AS (SELECT incident_id, project_id, make_timestamp((1704067200 + incident_id * 86400) * 1000000) AS started_at FROM inc)
       SELECT i.incident_id, max(occurred_at) AS deployed_at FROM i LEFT JOIN (SELECT *, 'p' || (incident_id % 5) AS project_id FROM ev WHERE type = 'Deployment') d ON d.project_id = i.project_id AND d.occurred_at <= i.started_at GROUP BY i.incident_id""",

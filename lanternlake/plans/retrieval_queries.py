@@ -247,7 +247,7 @@ def baseline_delta(spark, sf):
 
 
 def embed_text(spark, sf):
-    return S.read(spark, sf, "benchmark").select("item_id", V.embed_text(F.col("text"), 64).alias("vector")).select("item_id", F.round(V.norm(F.col("vector")), 6).alias("length"), F.size("vector").alias("dimension"))
+    return S.read(spark, sf, "benchmark").select("item_id", V.embed_text(F.col("text"), 64).alias("vector")).select("item_id", F.round(V.norm(F.col("vector")), 6).alias("length"), F.array_join(F.transform("vector", lambda x: F.round(x * 100_000).cast("bigint").cast("string")), ",").alias("values"))
 
 
 def code_chunks(spark, sf):
@@ -270,7 +270,8 @@ QUERIES = {
 }
 
 _SANITIZE = r"""regexp_matches(x, '^\s*<system\b|^\s*<user\b|^\s*ignore\s+(all\s+)?(previous|prior|above)\s+instructions|^\s*disregard\s+(all\s+)?(previous|prior|above)|^\s*you\s+are\s+now\b|^\s*forget\s+(all\s+)?(previous|prior)|^\s*system\s+instruction', 'i')"""
-_CLEAN = lambda c: rf"array_to_string(list_filter(regexp_split_to_array({c}, '\r\n|\r|\n'), lambda x: NOT {_SANITIZE}), chr(10))"
+_LINE_END = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])"
+_CLEAN = lambda c: rf"array_to_string(list_filter(regexp_split_to_array(regexp_replace({c}, '{_LINE_END}\z', ''), '{_LINE_END}'), lambda x: NOT {_SANITIZE}), chr(10))"
 
 SQL = {
     "vector_topk": f"{WITH}, {vector_sql()} SELECT * FROM vleg",
@@ -303,6 +304,10 @@ SQL = {
       u AS (SELECT *, 20000 - coalesce(sum(len(part)) OVER (PARTITION BY request_id ORDER BY score DESC NULLS FIRST, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM c),
       o AS (SELECT *, left(part, room::INT) AS cut FROM u WHERE room > 0)
       SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC NULLS FIRST, item_id)::INT AS ord, item_id, len(cut)::INT AS n_chars, (len(cut) < len(clean) OR len(cut) = room) AS truncated FROM o WHERE trim(cut) <> ''""",
+    "embed_text": f"""WITH w AS (SELECT item_id, text, list_transform({_tokens("text")}, lambda x: {{'p': ('0x' || substr(md5(x), 1, 8))::BIGINT % 64, 's': CASE WHEN ('0x' || substr(md5(x), 9, 8))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END}}) AS w FROM benchmark),
+      c AS (SELECT item_id, list_transform(range(64), lambda d: coalesce(list_sum(list_transform(list_filter(w, lambda x: x.p = d), lambda x: x.s)), 0.0)) AS c, ('0x' || substr(md5(text), 1, 8))::BIGINT % 64 AS own FROM w),
+      v AS (SELECT item_id, CASE WHEN list_inner_product(c, c) > 0 THEN c ELSE list_transform(range(64), lambda d: CASE WHEN d = own THEN 1.0::DOUBLE ELSE 0.0 END) END AS v FROM c)
+      SELECT item_id, 1.0::DOUBLE AS length, array_to_string(list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)) * 100000)::BIGINT), ',') AS values FROM v""",
     "evidence_index": f"WITH {_INDEX_SQL} SELECT * FROM idx",
     "grounding_violations": f"""WITH {_INDEX_SQL}, c AS (SELECT 'p' || (conv_id % 5) AS request_id, 'claim-' || conv_id || '-' || turn AS claim, turn AS position, unnest(['chunk:' || (conv_id * 7 + turn), 'chunk:' || (conv_id * 7 + turn * 2), 'chunk:' || (conv_id * 7 + turn * 5)]) AS evidence_id FROM conversations),
       k AS (SELECT c.*, i.evidence_id IS NOT NULL AS known FROM c LEFT JOIN (SELECT DISTINCT request_id, evidence_id FROM idx) i USING (request_id, evidence_id))

@@ -8,7 +8,6 @@ from datetime import datetime, timedelta
 from lanternlake.operators import evidence as P
 from lanternlake.operators import incidents as N
 from lanternlake.operators import ingest as I
-from lanternlake.operators import runs as R
 from lanternlake.plans import operations_queries as O
 from lanternlake.plans import retrieval_queries as Q
 
@@ -99,19 +98,3 @@ def test_pack_spends_the_budget_in_parts_first(spark):
                 left -= len(part)
     assert {tuple(r) for r in out.collect()} == expected and len(expected) > 10
     assert any(re.match(r"request_id#\d+, deal#\d+", w) for w in _windows(out))
-
-
-def test_queue_admission_sums_hours_first(spark):
-    day = datetime(2024, 1, 1)
-    rows = [(None if n % 3 == 0 else "q", n, day + timedelta(minutes=n * 17 % 400), day + timedelta(minutes=n * 17 % 400 + n * 29 % 150) if n % 6 else None) for n in range(150)]
-    out = R.queue_admission(spark.createDataFrame(rows, "queue string, run_id bigint, submitted_at timestamp, started_at timestamp"), 20)
-    expected = {}
-    for queue in ("q", None):
-        moves = sorted([(a, 1, n) for q, n, a, b in rows if q == queue] + [(b, -1, n) for q, n, a, b in rows if q == queue and b], key=lambda x: x)
-        depth = 0
-        for _, step, n in moves:
-            depth += step
-            if step == 1:
-                expected[n] = depth > 20
-    assert {r.run_id: r.rejected for r in out.collect()} == expected and len(set(expected.values())) == 2
-    assert all("hour#" in w for w in _windows(out))
