@@ -91,6 +91,7 @@ def test_pack_spends_the_budget_in_parts_first(spark):
     for request in ("r", None):
         left, order = 301, 0
         for _, n, _, text in sorted((x for x in items if x[0] == request), key=lambda x: (x[2] is not None, -(x[2] or 0), x[1])):
+            text = "\n".join(text.splitlines())
             part = text[:40]
             if part.strip(" ") and left > 0:
                 cut, order = part[:left], order + 1
