@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed and kept in the cluster's checkpoint folder, so that what follows neither repeats it nor carries its plan.
 
-    The folder is the session's spark.checkpoint.dir; where none is named, as in tests, a temporary one.
+    The folder is the session's spark.checkpoint.dir; where none is named, a temporary one on a local master, as in tests, and an error elsewhere.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lanternlake-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lanternlake-"))
     return df.checkpoint()
