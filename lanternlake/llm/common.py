@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors can reach; a temporary one where none is named, as in tests."""
+    """The folder that the driver and all executors can reach; where none is named, a temporary one on a local master, as in tests, and an error elsewhere."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lanternlake-"))
         named = sc.getCheckpointDir()
     return f"{named.rstrip('/')}/lanternlake-{sc.applicationId}"
