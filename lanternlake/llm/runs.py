@@ -8,24 +8,21 @@ import numpy as np
 import pyarrow as pa
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of two rows or more with equal keys; rows must come sorted by keys, which must not be null."""
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Tables of whole runs of rows with equal keys, and where each run begins and how long it is; rows must come sorted by keys, which must not be null."""
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         t = pa.Table.from_batches([batch])
         t = t if held is None else pa.concat_tables([held, t])
-        held = None
         differs = np.zeros(t.num_rows - 1, bool)
         for k in keys:
             x = t.column(k).to_numpy()
             differs |= x[1:] != x[:-1]
-        at = [0, *(np.flatnonzero(differs) + 1)]
-        held = t.slice(at[-1])
-        starts = np.array(at)
-        sizes = np.diff(starts)
-        for i in np.flatnonzero(sizes > 1):
-            yield t.slice(int(starts[i]), int(sizes[i]))
-    if held is not None and held.num_rows > 1:
-        yield held
+        at = np.r_[0, np.flatnonzero(differs) + 1]
+        held = t.slice(int(at[-1]))
+        if len(at) > 1:
+            yield t.slice(0, int(at[-1])), at[:-1], np.diff(at)
+    if held is not None:
+        yield held, np.array([0]), np.array([held.num_rows])

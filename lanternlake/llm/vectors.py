@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 from .common import mixed, saved, with_rows
 from .graph import components
-from .runs import runs
+from .runs import whole_runs
 
 #: Tables, projections in each, and the width of a cell: vectors of cosine 0.93 miss each other about 15 times in 100,000, closer ones
 #: less; vectors at right angles share a cell of a table 4 times in 100,000.
 TABLES, PROJECTIONS, WIDTH = 80, 14, 2.0
 #: Rows of a bucket that one task compares at once; larger buckets are cut into blocks, each pair of which is a task's.
 BLOCK = 1024
+#: Rows up to which a bucket is compared together with its neighbours.
+SMALL = 32
 #: A list of buckets up to this long is sent to all tasks; a longer one is joined by shuffle.
 BROADCAST_BUCKETS = 50_000
 
@@ -63,46 +65,76 @@ def hashed(vectors: DataFrame) -> DataFrame:
 def _compared(members: DataFrame, least: float) -> DataFrame:
     """(id, links, root) from rows of (key, i, j, side, t, id, copies, vector, cells), cells those of the tables before t, sorted by key, i and j: links found in this bucket, and the least id of its part."""
 
+    def first_seen(cells, p: np.ndarray, q: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Which of the pairs of rows have no table before theirs in common."""
+        offsets, flat = cells
+        out = np.ones(len(p), bool)
+        for n in np.unique(t[t > 0]):
+            at = np.flatnonzero(t == n)
+            out[at] = ~(flat[offsets[p[at]][:, None] + np.arange(n)] == flat[offsets[q[at]][:, None] + np.arange(n)]).any(1)
+        return out
+
+    def linked(ids: np.ndarray, copies: np.ndarray, p: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(ids)
+        links = np.bincount(p, copies[q], n).astype(np.int64) + np.bincount(q, copies[p], n).astype(np.int64)
+        root = ids.copy()
+        while True:
+            low = np.minimum(root[p], root[q])
+            after = root.copy()
+            np.minimum.at(after, p, low)
+            np.minimum.at(after, q, low)
+            if (after == root).all():
+                break
+            root = after
+        some = links > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(root[some])], ["id", "links", "root"])
+
+    def lists_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        lists = column.combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        return offsets - offsets[0], np.asarray(lists.flatten())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["key", "i", "j"]):
-            g = group.combine_chunks()
-            t, n = g.column("t")[0].as_py(), group.num_rows
-            ids, copies = g.column("id").to_numpy(), g.column("copies").to_numpy()
-            lists = g.column("vector").combine_chunks()
-            x = np.asarray(lists.flatten()).astype(np.float64).reshape(n, -1)
-            earlier = np.asarray(g.column("cells").combine_chunks().flatten()).reshape(n, t)
-            norm = np.linalg.norm(x, axis=1)
-            side = g.column("side").to_numpy()
-            cross = g.column("i")[0].as_py() != g.column("j")[0].as_py()
-            left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(n), np.arange(n))
-            links, found = np.zeros(n, np.int64), []
-            for at in range(0, len(left), 512):
-                rows = left[at : at + 512]
-                cos = (x[rows] @ x[right].T) / norm[rows][:, None] / norm[right]
-                hit = cos >= least
-                if not cross:
-                    hit &= right > rows[:, None]
-                p, q = np.nonzero(hit)
-                p, q = rows[p], right[q]
-                if t and len(p):
-                    new = ~(earlier[p] == earlier[q]).any(1)
-                    p, q = p[new], q[new]
-                links += np.bincount(p, copies[q], n).astype(np.int64) + np.bincount(q, copies[p], n).astype(np.int64)
-                found.append((p, q))
-            p, q = (np.concatenate(y) for y in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
-            if not len(p):
-                continue
-            root = ids.copy()
-            while True:
-                low = np.minimum(root[p], root[q])
-                after = root.copy()
-                np.minimum.at(after, p, low)
-                np.minimum.at(after, q, low)
-                if (after == root).all():
-                    break
-                root = after
-            some = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(root[some])], ["id", "links", "root"])
+        for g, starts, sizes in whole_runs(batches, ["key", "i", "j"]):
+            ids, copies, t, side = (g.column(c).to_numpy() for c in ("id", "copies", "t", "side"))
+            cross = g.column("i").to_numpy()[starts] != g.column("j").to_numpy()[starts]
+            offsets, flat = lists_of(g.column("vector"))
+            cells, length = lists_of(g.column("cells")), np.diff(offsets)
+            few = (sizes > 1) & (sizes <= SMALL) & ~cross
+            # All small buckets at once: each row with the one that follows it at every distance.
+            size, place = np.repeat(np.where(few, sizes, 1), sizes), np.arange(len(ids)) - np.repeat(starts, sizes)
+            for d in np.unique(length[size > 1]):
+                rows = np.flatnonzero((size > 1) & (length == d))
+                x = flat[offsets[rows][:, None] + np.arange(d)].astype(np.float64)
+                norm, left = np.linalg.norm(x, axis=1), size[rows] - place[rows]
+                pairs = []
+                for step in range(1, int(size[rows].max())):
+                    p = np.flatnonzero(left > step)
+                    cos = np.einsum("ij,ij->i", x[p], x[p + step]) / norm[p] / norm[p + step]
+                    p = p[cos >= least]
+                    pairs.append((p, p + step))
+                p, q = (np.concatenate(y) for y in zip(*pairs, strict=True))
+                new = first_seen(cells, rows[p], rows[q], t[rows[p]])
+                if new.any():
+                    yield from linked(ids[rows], copies[rows], p[new], q[new])
+            for at, n, crossed in zip(starts[(sizes > 1) & ~few], sizes[(sizes > 1) & ~few], cross[(sizes > 1) & ~few], strict=True):
+                x = flat[offsets[at] : offsets[at + n]].astype(np.float64).reshape(n, -1)
+                norm = np.linalg.norm(x, axis=1)
+                left, right = (np.flatnonzero(side[at : at + n] == 0), np.flatnonzero(side[at : at + n] == 1)) if crossed else (np.arange(n), np.arange(n))
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+                for begin in range(0, len(left), 512):
+                    rows = left[begin : begin + 512]
+                    hit = (x[rows] @ x[right].T) / norm[rows][:, None] / norm[right] >= least
+                    if not crossed:
+                        hit &= right > rows[:, None]
+                    p, q = np.nonzero(hit)
+                    p, q = rows[p], right[q]
+                    new = first_seen(cells, p + at, q + at, np.full(len(p), t[at]))
+                    found.append((p[new], q[new]))
+                p, q = (np.concatenate(y) for y in zip(*found, strict=True))
+                if len(p):
+                    yield from linked(ids[at : at + n], copies[at : at + n], p, q)
 
     return members.mapInArrow(run, "id bigint, links bigint, root bigint")
 
