@@ -15,7 +15,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce("html", F.lit("")).cast("binary")
     repeated = warc.repeated_payloads(pages.select("page_id", F.sha2(body, 256).alias("payload_digest"), F.length(body).alias("payload_bytes")))
     path = shared_path(spark, "warc")
-    warc.write_warc(warc.mark_revisits(warc.convert_arc(warc.pack_arc(pages)), repeated), path)
+    longest = pages.agg(F.max(F.length(body)).alias("n")).first()["n"] or 0
+    warc.write_warc(warc.mark_revisits(warc.convert_arc(warc.pack_arc(pages)), repeated), path, longest=longest)
     found = warc.read_warc(spark, path).where("warc_type <> 'warcinfo'")
     return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to_key").cast("long").alias("refers_to"))
 

@@ -142,6 +142,7 @@ def train(texts: list[str | None], toxic: list[int], s: Settings) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on at most settings.per_class rows of each label: those with the least hash of their id, so that reruns agree.
 
+    Rows with equal ids count as one, with the least of their texts, so that per_class bounds what comes to the driver.
     labels: (id, label), labels other than 0 and 1, nulls and ids without a document are left out; of an id's labels the greatest counts.
     Only ids are sorted, of about twice as many rows as are wanted; the texts of those picked come to the driver by a broadcast of their ids.
     """
@@ -155,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
         picked += near.orderBy(F.pmod(key, F.lit(1 << 30)), "id").limit(settings.per_class).collect()
     spark = docs.sparkSession
     ids = spark.createDataFrame(picked, one.schema) if picked else one.limit(0)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").collect()
-    rows = sorted(found, key=lambda r: (r.y, str(r.id), r.text or ""))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
+    rows = sorted(found, key=lambda r: (r.y, str(r.id)))
     return train([r.text for r in rows], [r.y for r in rows], settings)
 
 

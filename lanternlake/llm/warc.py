@@ -17,6 +17,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ ARC_FIELDS = {
 }
 #: The HTTP header that names a page, by which record ids are made.
 KEY_HEADER = "X-Page-Key"
-#: Records of an archive, a bound on what one part file holds.
-ARCHIVE_RECORDS = 500
+#: Records of an archive, and bytes after which the next one begins: an archive is one value of a column.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 500, 16 << 20
+#: Payloads of more bytes are written to WARC files of their own kind, of LONG_FILE_BYTES or one record.
+LONG_PAYLOAD, LONG_FILE_BYTES = 256 << 10, 512 << 20
 
 RECORD = "key string, warc_type string, record_id string, target_uri string, ip string, warc_date string, content_type string, http_header binary, payload binary, payload_bytes bigint, payload_digest string, truncated boolean"
 
@@ -71,29 +74,36 @@ def arc_record(version: int, url: str, ip: str, date: str, content_type: str, do
 
 
 def pack_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """(name, content): ARC archives of the pages, of ARCHIVE_RECORDS records at most, in versions 1 and 2 in turn.
+    """(name, content): ARC archives of the pages, in versions 1 and 2 in turn.
 
-    Each page is an HTTP response with its body in UTF-8, empty for null, and its id in KEY_HEADER. A null url is stored as -.
+    An archive holds ARCHIVE_RECORDS records at most, and ends with the record that takes it over ARCHIVE_BYTES. Each page is an
+    HTTP response with its body in UTF-8, empty for null, and its id in KEY_HEADER. A null url is stored as -.
     Repeated ids are records of their own. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, ARCHIVE_RECORDS):
-                batch = whole.slice(at, ARCHIVE_RECORDS)
-                version, keys = 1 + n % 2, batch.column(0).to_pylist()
+        for batch in batches:
+            keys, lengths = batch.column(0).to_pylist(), [x or 0 for x in pc.binary_length(batch.column(2)).to_pylist()]
+            at = 0
+            while at < len(keys):
+                end, total = at, 0
+                while end < min(at + ARCHIVE_RECORDS, len(keys)) and total <= ARCHIVE_BYTES:
+                    total += lengths[end]
+                    end += 1
+                version = 1 + n % 2
                 n += 1
-                name = f"pages-{uuid_of(f'{keys[0]} {keys[-1]} {len(keys)} {n}')}.arc"
+                name = f"pages-{uuid_of(f'{keys[at]} {keys[end - 1]} {end - at} {n}')}.arc"
                 parts = [arc_version_block(version, name, "20240101000000")]
                 size = len(parts[0])
-                for key, url, body in zip(keys, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    body = body or b""
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{KEY_HEADER}: {key}\r\nContent-Length: {len(body)}\r\n\r\n"
+                for i in range(at, end):
+                    url, body = batch.column(1)[i].as_py(), batch.column(2)[i].as_py() or b""
+                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{KEY_HEADER}: {keys[i]}\r\nContent-Length: {len(body)}\r\n\r\n"
                     url = (url or "-").replace("\n", "%0A").replace("\r", "%0D")
                     parts.append(arc_record(version, url, "0.0.0.0", "20240101000000", "text/html", head.encode() + body, name, size))
                     size += len(parts[-1])
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(parts)], pa.binary())], ["name", "content"])
+                at = end
 
     columns = pages.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(body_col).cast("binary").alias("body"))
     return columns.mapInArrow(run, "name string, content binary")
@@ -201,11 +211,16 @@ def mark_revisits(records: DataFrame, repeated: DataFrame, salts: int = 32) -> D
 
     repeated: rows of repeated_payloads(). A payload that a third of the records share is dealt over `salts` tasks.
     """
-    dealt = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("first_key", F.col("first_key").cast("string"))
-    salted = records.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int"))
-    joined = salted.join(dealt, ["payload_digest", "salt"], "left")
-    again = (F.col("warc_type") == "response") & F.col("first_key").isNotNull() & (F.col("first_key") != F.coalesce("key", F.lit("")))
-    return joined.withColumn("refers_to_key", F.when(again, F.col("first_key"))).withColumn("warc_type", F.when(again, "revisit").otherwise(F.col("warc_type"))).select(*records.columns, "refers_to_key")
+    first = F.struct(F.col("first_key").cast("string").alias("key")).alias("first")
+    dealt = repeated.select("payload_digest", first, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).alias("dealt")
+    own = records.alias("own")
+    salt = F.pmod(F.xxhash64("own.record_id"), F.lit(salts)).cast("int")
+    joined = own.join(dealt, (F.col("own.payload_digest") == F.col("dealt.payload_digest")) & (salt == F.col("dealt.salt")), "left")
+    first_key = F.col("dealt.first.key")
+    again = (F.col("own.warc_type") == "response") & first_key.isNotNull() & (first_key != F.coalesce("own.key", F.lit("")))
+    changed = {"warc_type": F.when(again, "revisit").otherwise(F.col("own.warc_type")), "refers_to_key": F.when(again, first_key)}
+    kept = [changed["warc_type"].alias(c) if c == "warc_type" else F.col(f"own.`{c}`") for c in records.columns if c != "refers_to_key"]
+    return joined.select(*kept, changed["refers_to_key"].alias("refers_to_key"))
 
 
 # ------------------------------------------------------------------ WARC
@@ -214,10 +229,11 @@ def mark_revisits(records: DataFrame, repeated: DataFrame, salts: int = 32) -> D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 2000, compression: str = "gzip") -> None:
+def write_warc(records: DataFrame, path: str, records_per_file: int = 2000, compression: str = "gzip", longest: int | None = None) -> None:
     """Writes rows of RECORD, with refers_to_key if there is one, as WARC 1.1 files under path.
 
-    A revisit keeps the HTTP header and leaves the payload out. Nothing goes through Python: a row's bytes are put together
+    A file is read as one value, so its bytes are bounded: records with payloads over LONG_PAYLOAD bytes are written in a second pass,
+    to files with few records. longest: the length of the longest payload if it is known; else a pass over records finds it. A revisit keeps the HTTP header and leaves the payload out. Nothing goes through Python: a row's bytes are put together
     as columns and written as they are.
     """
     refers = F.col("refers_to_key") if "refers_to_key" in records.columns else F.lit(None).cast("string")
@@ -237,7 +253,14 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = 2000, comp
     )
     # The writer ends each row with the line separator: the second of the two line ends that follow a record.
     row = F.concat(head.cast("binary"), block, F.lit(b"\r\n")).cast("string")
-    records.select(row.alias("value")).write.option("lineSep", "\r\n").option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+    if longest is None:
+        longest = records.agg(F.max(F.length("payload")).alias("n")).first()["n"] or 0
+    is_long = F.coalesce(F.length("payload"), F.lit(0)) > LONG_PAYLOAD
+    passes = [(records.where(~is_long), records_per_file, "errorifexists")]
+    if longest > LONG_PAYLOAD:
+        passes.append((records.where(is_long), max(1, min(records_per_file, LONG_FILE_BYTES // longest)), "append"))
+    for some, most, mode in passes:
+        some.select(row.alias("value")).write.mode(mode).option("lineSep", "\r\n").option("compression", compression).option("maxRecordsPerFile", most).text(path)
 
 
 READ = "key string, warc_type string, record_id string, target_uri string, warc_date string, payload_bytes bigint, payload_digest string, refers_to_key string, intact boolean, payload binary"

@@ -34,6 +34,14 @@ def test_held_out_rows_are_told_apart(spark):
     assert sum(s >= 0.5 for s, y in held if not y) / sum(not y for _, y in held) < 0.06
 
 
+def test_repeated_ids_are_fitted_once(spark):
+    rows = [(i, "fine words here" if i % 2 else "vile words here") for i in range(20)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    one = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    many = toxicity.fit(spark.createDataFrame(rows * 30, "doc_id bigint, text string"), labels)
+    assert (one.weight == many.weight).all()
+
+
 def test_awkward_rows(spark, model, odd, empty):
     df = spark.createDataFrame([(1, None), (1, None), (None, ""), (2, "\n\t")], "doc_id bigint, text string")
     out = toxicity.score(df, model).collect()

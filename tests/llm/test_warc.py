@@ -56,6 +56,27 @@ def test_written_records_read_back(spark):
     assert all(r.intact and r.record_id and r.warc_date == "2024-01-01T00:00:00Z" for r in out)
 
 
+def test_long_payloads_bound_archives_and_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    pages = spark.createDataFrame([(i, "u", "p" * (1000 * i)) for i in range(8)], "page_id bigint, url string, html string").coalesce(1)
+    sizes = [len(r.content) for r in warc.pack_arc(pages).collect()]
+    assert len(sizes) > 3 and max(sizes) < 3000 + 7000 + 2000
+    body = {i: "p" * (warc.LONG_PAYLOAD + i if i % 2 else 10 * i) for i in range(8)}
+    pages = spark.createDataFrame(list(body.items()), "page_id bigint, html string").selectExpr("page_id", "'u' AS url", "html")
+    path = tempfile.mkdtemp(prefix="spark-") + "/warc"
+    warc.write_warc(warc.convert_arc(warc.pack_arc(pages)), path)
+    out = warc.read_warc(spark, path, payloads=True).where("warc_type = 'response'").collect()
+    assert {int(r.key): bytes(r.payload).decode() for r in out} == body and len(out) == len(body)
+
+
+def test_marking_keeps_the_callers_columns(spark):
+    records = warc.convert_arc(warc.pack_arc(spark.createDataFrame([(i, "u", "same" * 50) for i in range(4)], "page_id bigint, url string, html string")))
+    records = records.where("warc_type <> 'warcinfo'").selectExpr("*", "'a' AS salt", "'b' AS first_key")
+    repeated = warc.repeated_payloads(records.selectExpr("cast(key AS bigint) AS page_id", "payload_digest", "payload_bytes"))
+    out = warc.mark_revisits(records, repeated).collect()
+    assert {(int(r.key), r.warc_type, r.refers_to_key, r.salt, r.first_key) for r in out} == {(i, "revisit" if i else "response", "0" if i else None, "a", "b") for i in range(4)}
+
+
 def test_dates():
     assert warc.iso_date("20240131235959") == "2024-01-31T23:59:59Z"
     assert warc.iso_date("202402") == "2024-02-01T00:00:00Z"
