@@ -17,4 +17,11 @@ QUERIES = {
     "op10_automaton_dedup": queries_repeats.op10_automaton_dedup,
 }
 
-SQL = {"op1_warc": queries_warc.OP1_SQL, "op6_mix_sources": queries_native.OP6_SQL}
+SQL = {
+    "op1_warc": queries_warc.OP1_SQL,
+    "op2_suffix_array_dedup": queries_repeats.OP2_SQL,
+    "op5_minhash_near_dedup": queries_dedup.OP5_SQL,
+    "op6_mix_sources": queries_native.OP6_SQL,
+    "op7_embedding_near_dedup": queries_dedup.OP7_SQL,
+    "op10_automaton_dedup": queries_repeats.OP10_SQL,
+}
