@@ -84,16 +84,12 @@ def votes() -> dict[str, Column]:
     }
 
 
-#: What rules are taken to be worth at least: of the texts that a vote is against, this share is poor.
-TRUST = 0.8
-
-
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, prior: float = 0.8) -> tuple[float, list[dict[int, float]]]:
     """(log odds of a good text, for each rule the log odds that each vote adds), from counted patterns of votes.
 
     Starts from texts without a vote against being likely good. In each round a vote's accuracy is the expected share of texts that
     it is right about; it counts as far as it departs from the prior, the share of good texts that is taken as known. Estimates are smoothed. Rules are held to be
-    better than chance: a vote against is right with TRUST at least, one in favour never counts against; abstaining adds nothing.
+    no worse than chance: a vote against never counts in favour, nor one in favour against; abstaining adds nothing.
     """
     if not patterns:
         return math.log(prior / (1 - prior)), []
@@ -109,7 +105,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, prio
                     seen[p[j]][0] += g * n
                     seen[p[j]][1] += (1 - g) * n
             adds = {v: math.log(a / b) - log_odds for v, (a, b) in seen.items()}
-            weights.append({-1: min(adds[-1], -math.log(TRUST / (1 - TRUST)) - log_odds), 0: 0.0, 1: min(max(adds[1], 0.0), 1.0)})
+            weights.append({-1: min(adds[-1], 0.0), 0: 0.0, 1: max(adds[1], 0.0)})
         logits = [log_odds + sum(w[v] for w, v in zip(weights, p, strict=True)) for p, _ in patterns]
         good = [1 / (1 + math.exp(-max(-500.0, min(500.0, z)))) for z in logits]
     return log_odds, weights
