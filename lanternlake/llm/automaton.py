@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, with_rows, word_bounds, word_hashes
-from .repeats import Kind, covered, named, repeated
+from .common import IS_SPACE, text_bytes, with_rows, word_bounds, word_hashes
+from .repeats import Kind, covered, named, repeated, span_lists
 
 #: Symbols of the sequences that one automaton holds; it has at most twice as many states.
 SHARD = 40_000
@@ -46,7 +46,7 @@ class Automaton:
                         link[new] = q if length[q] == length[p] + 1 else self._clone(p, c, q, count)
                     last = new
                 count[last] += 1
-        for v in sorted(range(1, len(nexts)), key=length.__getitem__, reverse=True):
+        for v in np.argsort(length)[:0:-1].tolist():
             count[link[v]] += count[v]
         self.count = count
 
@@ -72,11 +72,13 @@ class Automaton:
         nexts, link, length, count = self.next, self.link, self.length, self.count
         out, v, known = [], 0, 0
         for i, c in enumerate(sequence):
-            while v and c not in nexts[v]:
+            to = nexts[v].get(c)
+            while to is None and v:
                 v = link[v]
                 known = length[v]
-            if c in nexts[v]:
-                v = nexts[v][c]
+                to = nexts[v].get(c)
+            if to is not None:
+                v = to
                 known += 1
             if known >= width:
                 while length[link[v]] >= width:
@@ -101,15 +103,36 @@ def repeated_windows(stretches: list[np.ndarray], groups: list[int], width: int)
             if end > at and size + more > SHARD:
                 break
             end, size = stop, size + more
-        shard = [x.tolist() for x in stretches[at:end]]
+        # Small numbers for the shard's symbols: cheaper to look up than their hashes.
+        number = np.unique(np.concatenate(stretches[at:end]), return_inverse=True)[1]
+        ends = np.cumsum([len(x) for x in stretches[at:end]]).tolist()
+        shard = [number[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         automaton = Automaton(shard)
         out += [np.array(automaton.windows(x, width, 2), np.int64) for x in shard]
         at = end
     return out
 
 
+def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    h, start, _ = word_hashes(np.frombuffer(b" ".join(texts), np.uint8))
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    return h, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
 def word_kind(width: int, gram: int) -> Kind:
-    return Kind(width, gram, lambda data: word_hashes(np.frombuffer(data, np.uint8))[0], lambda _, symbols, a, b: symbols[a:b].tobytes(), lambda data: np.frombuffer(data, np.uint64), 8)
+    return Kind(width, gram, _symbols, lambda _, symbols, a, b: symbols[a:b].tobytes(), lambda data: np.frombuffer(data, np.uint64), 8)
+
+
+def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    """The words that start and end there, joined by one space: each with the byte after it, which is made a space."""
+    if not len(start):
+        return b""
+    step = np.zeros(len(data) + 2, np.int8)
+    step[start] += 1
+    step[end + 1] -= 1
+    spaced = np.full(len(data) + 1, 0x20, np.uint8)
+    np.copyto(spaced[:-1], data, where=~IS_SPACE[data])
+    return spaced[np.cumsum(step[:-1], dtype=np.int8).view(bool)][:-1].tobytes()
 
 
 def _removed(docs: DataFrame, texts: bool) -> DataFrame:
@@ -118,12 +141,11 @@ def _removed(docs: DataFrame, texts: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i in range(batch.num_rows):
-                data = text_bytes(batch.column(1), i)
-                start, end = word_bounds(np.frombuffer(data, np.uint8))
-                gone = covered(len(start), batch.column(2)[i].as_py())
-                left = np.flatnonzero(~gone)
-                kept = b" ".join([data[a:b] for a, b in zip(start[left].tolist(), end[left].tolist(), strict=True)])
+            for i, span in enumerate(span_lists(batch.column(2))):
+                data = np.frombuffer(text_bytes(batch.column(1), i), np.uint8)
+                start, end = word_bounds(data)
+                gone = covered(len(start), *span)
+                kept = _joined(data, start[~gone], end[~gone])
                 out.append((len(start), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if texts else None))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.string()] * 2, strict=True))], ["row", "n_words", "n_removed", "kept_sha256", "kept"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -92,8 +93,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int, base: int = BASE) -> np.ndarray:
-    """base**0 to base**(n-1) modulo 2**64."""
+#: Powers that a task keeps of each base.
+POWERS = 1 << 16
+
+
+def _powers(n: int, base: int) -> np.ndarray:
     out = np.ones(max(n, 1), np.uint64)
     m = 1
     with np.errstate(over="ignore"):
@@ -103,6 +107,16 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return out[:n]
 
 
+@functools.cache
+def _kept_powers(base: int) -> np.ndarray:
+    return _powers(POWERS, base)
+
+
+def powers(n: int, base: int = BASE) -> np.ndarray:
+    """base**0 to base**(n-1) modulo 2**64."""
+    return _kept_powers(base)[:n] if n <= POWERS else _powers(n, base)
+
+
 def prefix_hash(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of values[i] * BASE**i before each place, and BASE**-i: what range_hash() needs."""
     n = len(values)
@@ -119,6 +133,13 @@ def range_hash(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np
         return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _M2)
 
 
+def sliding_hash(prefix: tuple[np.ndarray, np.ndarray], width: int) -> np.ndarray:
+    """range_hash() of all runs of `width` values."""
+    sums, inverse = prefix
+    with np.errstate(over="ignore"):
+        return mixed((sums[width:] - sums[:-width]) * inverse[: len(sums) - width] + np.uint64(width) * _M2)
+
+
 #: Bytes that end a word.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -25,21 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, mixed, prefix_hash, range_hash, saved
+from .common import dropped, mixed, prefix_hash, range_hash, saved, sliding_hash, text_bytes
 
 #: Different stretches of an anchor, or pieces with a core, that go to a shard as they are, and pieces into which those of larger groups are cut.
 GROUP, PIECES = 128, 16
 #: Bytes of symbols that a bucket of shards gets on average.
 BUCKET_BYTES = 1 << 19
+#: Bytes of texts, about, whose anchors are computed together.
+TEXT_BYTES = 1 << 15
 
 
 @dataclass(frozen=True)
 class Kind:
-    """symbols: hashed symbols of a document's bytes. pack, unpack: a stretch of symbols to bytes and back, for the method. size: bytes of a packed symbol."""
+    """symbols: hashed symbols of several texts' bytes, one after the other, and their numbers. pack, unpack: a stretch of symbols to bytes and back, for the method. size: bytes of a packed symbol."""
 
     window: int
     gram: int
-    symbols: Callable[[bytes], np.ndarray]
+    symbols: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     pack: Callable[[bytes, np.ndarray, int, int], bytes]
     unpack: Callable[[bytes], np.ndarray]
     size: int = 1
@@ -58,36 +60,48 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def anchors(symbols: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor, stretch, first, last, place): hashes of each anchor and of its stretch, the first and last window start, and where the anchor is."""
-    n = len(symbols)
-    if n < window:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32))
+def anchors(symbols: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, anchor, stretch, first, last, place) of several texts' symbols, one text after the other, `sizes` of each.
+
+    The number of the text, hashes of the anchor and of its stretch, the first and last window start, and where the anchor is, in its text.
+    """
+    begins, starts = np.cumsum(sizes) - sizes, np.maximum(sizes - window + 1, 0)
+    before = np.cumsum(starts)
+    if not before[-1]:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32))
     prefix = prefix_hash(symbols)
-    start = np.arange(n - gram + 1)
-    h = range_hash(prefix, start, start + gram)
-    ranked = (h >> np.uint64(32)) << np.uint64(32) | start.astype(np.uint64)
-    least = sliding_least(ranked, window - gram + 1)
-    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    last = np.r_[first[1:] - 1, len(place) - 1]
-    at = place[first]
+    h = sliding_hash(prefix, gram)
+    least = sliding_least((h >> np.uint64(32)) << np.uint64(32) | np.arange(len(h), dtype=np.uint64), window - gram + 1)
+    # Only windows that lie in one text, numbered through.
+    place = np.concatenate([least[i : i + m] for i, m in zip(begins.tolist(), starts.tolist(), strict=True)])
+    new = np.r_[True, place[1:] != place[:-1]]
+    new[(before - starts)[starts > 0]] = True
+    new = np.flatnonzero(new)
+    at = (place[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    text = np.searchsorted(before, new, "right")
+    shift = (begins - before + starts)[text]
+    first, last = new + shift, np.r_[new[1:], len(place)] - 1 + shift
     with np.errstate(over="ignore"):
         stretch = range_hash(prefix, first, last + window) + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return h[at].view(np.int64), stretch.view(np.int64), first.astype(np.int32), last.astype(np.int32), at.astype(np.int32)
+    begin = begins[text]
+    return text, h[at].view(np.int64), stretch.view(np.int64), (first - begin).astype(np.int32), (last - begin).astype(np.int32), (at - begin).astype(np.int32)
 
 
 def _anchor_table(docs: DataFrame, kind: Kind) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                ids, parts = batch.column(0).to_numpy()[at : at + 1000], []
-                for i in range(at, min(at + 1000, batch.num_rows)):
-                    data = batch.column(1)[i].as_buffer()
-                    parts.append(anchors(kind.symbols(b"" if data is None else data.to_pybytes()), kind.window, kind.gram))
-                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                rows = np.repeat(ids, [len(p[0]) for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(rows), *map(pa.array, columns)], ["row", "anchor", "stretch", "first", "last", "place"])
+            ids, parts, at = batch.column(0).to_numpy(), [], 0
+            while at < batch.num_rows:
+                texts, size, begin = [], 0, at
+                while at < batch.num_rows and size < TEXT_BYTES:
+                    texts.append(text_bytes(batch.column(1), at))
+                    size += len(texts[-1])
+                    at += 1
+                text, *columns = anchors(*kind.symbols(texts), kind.window, kind.gram)
+                parts.append([ids[begin + text], *columns])
+                if len(parts) == 64 or at == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["row", "anchor", "stretch", "first", "last", "place"])
+                    parts = []
 
     return docs.select("row", "text").mapInArrow(run, "row bigint, anchor bigint, stretch bigint, first int, last int, place int")
 
@@ -117,7 +131,7 @@ def _stretches(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_buffer().to_pybytes()
-                symbols = kind.symbols(text)
+                symbols, _ = kind.symbols([text])
                 for x in batch.column(2)[i].as_py():
                     data = kind.pack(text, symbols, x["first"], x["last"] + kind.window)
                     yield x["anchor"], x["stretch"], x["anchor"], x["n"], x["many"], x["place"] - x["first"], x["last"] - x["first"] + 1, 0, data
@@ -229,13 +243,20 @@ def repeated(docs: DataFrame, kind: Kind, method: Callable[[list[np.ndarray], li
     return hits.select("row", span.alias("span")).groupBy("row").agg(F.collect_list("span").alias("spans"))
 
 
-def covered(n: int, spans: list[dict] | None) -> np.ndarray:
+def span_lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The starts and ends of each row's spans, none for null."""
+    spans = column.flatten()
+    start, end = spans.field("start").to_numpy(), spans.field("end").to_numpy()
+    bounds = np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist()
+    for a, b in zip([0, *bounds[:-1]], bounds, strict=True):
+        yield start[a:b], end[a:b]
+
+
+def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of n symbols the spans cover."""
-    step = np.zeros(n + 1, np.int64)
-    if spans:
-        np.add.at(step, [x["start"] for x in spans], 1)
-        np.add.at(step, [x["end"] for x in spans], -1)
-    return np.cumsum(step[:n]) > 0
+    if not len(start):
+        return np.zeros(n, bool)
+    return np.cumsum(np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:n] > 0
 
 
 def named(out: DataFrame, docs: DataFrame, key_col: str, id_col: str) -> DataFrame:

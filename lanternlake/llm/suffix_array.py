@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTE_TABLE, with_rows
-from .repeats import Kind, covered, named, repeated
+from .repeats import Kind, covered, named, repeated, span_lists
 
 #: Symbols of a shard, 2**19 at the most: three of these numbers fit a 64-bit sort key.
 SHARD = 1 << 18
@@ -188,16 +188,16 @@ def repeated_windows(stretches: list[np.ndarray], windows: list[int], groups: li
 
 
 def byte_kind(width: int, gram: int) -> Kind:
-    return Kind(width, gram, lambda data: BYTE_TABLE[np.frombuffer(data, np.uint8)], lambda data, _, a, b: data[a:b], lambda data: np.frombuffer(data, np.uint8))
+    return Kind(width, gram, lambda texts: (BYTE_TABLE[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(x) for x in texts])), lambda data, _, a, b: data[a:b], lambda data: np.frombuffer(data, np.uint8))
 
 
 def _removed(docs: DataFrame, spans: DataFrame, texts: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i in range(batch.num_rows):
+            for i, span in enumerate(span_lists(batch.column(2))):
                 data = batch.column(1)[i].as_buffer().to_pybytes()
-                gone = covered(len(data), batch.column(2)[i].as_py())
+                gone = covered(len(data), *span)
                 left = np.frombuffer(data, np.uint8)[~gone].tobytes() if gone.any() else data
                 n = int(gone.sum())
                 runs = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
