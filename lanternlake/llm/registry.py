@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_native, queries_repeats, queries_tokens, queries_toxicity, queries_warc
+from . import queries_dedup, queries_manifest, queries_native, queries_repeats, queries_tokens, queries_toxicity, queries_warc
 
 QUERIES = {
     "op1_warc": queries_warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": queries_native.op8_quality_rules,
     "op9_bpe_round_trip": queries_tokens.op9_bpe_round_trip,
     "op10_automaton_dedup": queries_repeats.op10_automaton_dedup,
+    "op11_merkle_manifest": queries_manifest.op11_merkle_manifest,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op6_mix_sources": queries_native.OP6_SQL,
     "op7_embedding_near_dedup": queries_dedup.OP7_SQL,
     "op10_automaton_dedup": queries_repeats.OP10_SQL,
+    "op11_merkle_manifest": queries_manifest.OP11_SQL,
 }
