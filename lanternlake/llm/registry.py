@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_manifest, queries_native, queries_repeats, queries_tokens, queries_toxicity, queries_warc
+from . import queries_chat, queries_dedup, queries_manifest, queries_native, queries_repeats, queries_spelling, queries_tokens, queries_toxicity, queries_warc
 
 QUERIES = {
     "op1_warc": queries_warc.op1_warc,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_bpe_round_trip": queries_tokens.op9_bpe_round_trip,
     "op10_automaton_dedup": queries_repeats.op10_automaton_dedup,
     "op11_merkle_manifest": queries_manifest.op11_merkle_manifest,
+    "op12_spelling_variants": queries_spelling.op12_spelling_variants,
+    "op13_chat_format": queries_chat.op13_chat_format,
 }
 
 SQL = {
@@ -26,4 +28,6 @@ SQL = {
     "op7_embedding_near_dedup": queries_dedup.OP7_SQL,
     "op10_automaton_dedup": queries_repeats.OP10_SQL,
     "op11_merkle_manifest": queries_manifest.OP11_SQL,
+    "op12_spelling_variants": queries_spelling.OP12_SQL,
+    "op13_chat_format": queries_chat.OP13_SQL,
 }
