@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import IS_SPACE, text_bytes, with_rows, word_bounds, word_hashes
+from .common import IS_SPACE, saved, text_bytes, with_rows, word_bounds, word_ids
 from .repeats import Kind, covered, named, repeated, span_lists
 
 #: Symbols of the sequences that one automaton holds; it has at most twice as many states.
@@ -89,7 +90,7 @@ class Automaton:
         return out
 
 
-def repeated_windows(stretches: list[np.ndarray], groups: list[int], width: int) -> list[np.ndarray]:
+def repeated_windows(stretches: list[list[bytes]], groups: list[int], width: int) -> list[np.ndarray]:
     """The starts of the windows that occur twice among the stretches, which are sorted by group: groups are dealt into shards whole."""
     out: list[np.ndarray] = []
     at = 0
@@ -103,24 +104,36 @@ def repeated_windows(stretches: list[np.ndarray], groups: list[int], width: int)
             if end > at and size + more > SHARD:
                 break
             end, size = stop, size + more
-        # Small numbers for the shard's symbols: cheaper to look up than their hashes.
-        number = np.unique(np.concatenate(stretches[at:end]), return_inverse=True)[1]
-        ends = np.cumsum([len(x) for x in stretches[at:end]]).tolist()
-        shard = [number[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        # The words themselves, numbered.
+        number: dict[bytes, int] = {}
+        shard = [[number.setdefault(w, len(number)) for w in x] for x in stretches[at:end]]
         automaton = Automaton(shard)
         out += [np.array(automaton.windows(x, width, 2), np.int64) for x in shard]
         at = end
     return out
 
 
+def _words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts, a space between them, and where their words start and end."""
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    return data, *word_bounds(data)
+
+
 def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    h, start, _ = word_hashes(np.frombuffer(b" ".join(texts), np.uint8))
+    data, start, end = _words_of(texts)
     ends = np.cumsum([len(x) + 1 for x in texts])
-    return h, np.diff(np.searchsorted(start, ends), prepend=0)
+    return word_ids(data, start, end), np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def _placed(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The texts' words joined by one space, and where each begins and ends."""
+    data, start, end = _words_of(texts)
+    at = np.cumsum(end - start + 1)
+    return _joined(data, start, end), at - (end - start + 1), at - 1
 
 
 def word_kind(width: int, gram: int) -> Kind:
-    return Kind(width, gram, _symbols, lambda _, symbols, a, b: symbols[a:b].tobytes(), lambda data: np.frombuffer(data, np.uint64), 8)
+    return Kind(width, gram, _symbols, _placed, lambda data: data.split(b" "))
 
 
 def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
@@ -171,27 +184,40 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, id_col: str
     return named(_removed(rows.join(spans, "row", "left"), texts), docs, key_col, id_col)
 
 
-#: Words of a reference that may be sent to all tasks.
+#: Words of a reference that are sent to all tasks at once.
 REFERENCE_WORDS = 2_000_000
 
 
 def remove_reference(docs: DataFrame, reference: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", reference_col: str = "text") -> DataFrame:
     """As remove_repeats(), of words that stand in a window of `width` words that the reference texts hold too.
 
-    The reference, of at most REFERENCE_WORDS words (a larger one is refused), is sent to all tasks, which make an automaton
-    of each shard of it and stream their documents through all of them.
+    Parts of the reference of some REFERENCE_WORDS words, or of one longer text, are sent to all tasks one after the other; these make an automaton of each
+    shard of a part and stream their documents through it. Words are compared themselves. Null and empty texts hold nothing.
     """
-    limit = REFERENCE_WORDS
-    size = F.size(F.split(F.coalesce(F.col(reference_col), F.lit("")), r"[\x20\x09-\x0D]+"))
-    n = reference.agg(F.sum(size).alias("n")).first()["n"] or 0
-    if n > limit:
-        raise ValueError(f"the reference has {n} words; {limit} may be sent to all tasks")
-    texts = [r[0] for r in reference.select(reference_col).where(F.col(reference_col).isNotNull()).distinct().collect()]
+    texts = reference.select(F.col(reference_col).alias("text")).where(F.col(reference_col).isNotNull()).distinct()
+    size = F.size(F.split("text", r"[\x20\x09-\x0D]+")).cast("long")
+    # Parts by place in an order of the texts: sums of ranges first, so that no task orders all of them.
+    ordered = saved(texts.select("text", size.alias("size")).repartitionByRange(F.xxhash64("text"), "text").withColumn("range", F.spark_partition_id()), "reference")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ordered.groupBy("range").agg(F.sum("size").alias("n")).withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = Window.partitionBy("range").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
+    parts = saved(ordered.join(ranges, "range").select("text", F.floor((F.col("begin") + F.coalesce(F.sum("size").over(within), F.lit(0))) / REFERENCE_WORDS).alias("part")), "reference-parts")
+    docs, key_col = with_rows(docs.select(id_col, text_col), id_col)
+    rows, found = _rows(docs, key_col, text_col), None
+    for n in range((parts.agg(F.max("part").alias("n")).first()["n"] or 0) + 1):
+        marked = _marked(rows, [r.text.encode() for r in parts.where(F.col("part") == n).select("text").collect()], width)
+        found = marked if found is None else found.unionByName(marked)
+    spans = found.where(F.size("spans") > 0).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return named(_removed(rows.join(spans, "row", "left"), True), docs, key_col, id_col)
+
+
+def _marked(rows: DataFrame, texts: list[bytes], width: int) -> DataFrame:
+    """(row, spans): where windows of the reference texts stand in each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, held, size = [], [], 0
-        for words in (word_hashes(np.frombuffer(t.encode(), np.uint8))[0].tolist() for t in texts):
-            held.append(words)
+        shards, held, size, number = [], [], 0, {}
+        for words in ([*_split(t)] for t in texts):
+            held.append([number.setdefault(w, len(number)) for w in words])
             size += len(words)
             if size > SHARD:
                 shards.append(Automaton(held))
@@ -200,10 +226,13 @@ def remove_reference(docs: DataFrame, reference: DataFrame, width: int = 13, id_
         for batch in batches:
             spans = []
             for i in range(batch.num_rows):
-                words = word_hashes(np.frombuffer(text_bytes(batch.column(1), i), np.uint8))[0].tolist()
+                words = [number.get(w, -1) for w in _split(text_bytes(batch.column(1), i))]
                 spans.append([{"start": s, "end": s + width} for a in shards for s in a.windows(words, width, 1)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["row", "text", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["row", "spans"])
 
-    docs, key_col = with_rows(docs.select(id_col, text_col), id_col)
-    marked = _rows(docs, key_col, text_col).mapInArrow(run, "row bigint, text binary, spans array<struct<start:int,end:int>>")
-    return named(_removed(marked, True), docs, key_col, id_col)
+    return rows.mapInArrow(run, "row bigint, spans array<struct<start:int,end:int>>")
+
+
+def _split(text: bytes) -> Iterator[bytes]:
+    _, start, end = _words_of([text])
+    return (text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True))

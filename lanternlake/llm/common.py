@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        if not sc.master.startswith("local"):
+        # local-cluster[...] has executors of its own, which don't share a temporary folder.
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lanternlake-"))
         named = sc.getCheckpointDir()
@@ -77,7 +80,8 @@ def words(text) -> F.Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda x: x != "")
 
 
-# Hashing in numpy. Every byte gets a fixed random odd number; a string's hash is a polynomial of them modulo 2**64, mixed.
+# Hashing in numpy. Every byte gets a fixed random odd number; a string's hash is a polynomial of them modulo 2**64, mixed. Long strings
+# of a regular structure can collide, so these hashes choose places and deal rows; what is taken for equal has equal digests().
 _SEED = np.random.default_rng(20240607)
 BYTE_TABLE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 BASE = int(_SEED.integers(2**40, 2**62)) | 1
@@ -118,7 +122,7 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
 
 
 def prefix_hash(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of values[i] * BASE**i before each place, and BASE**-i: what range_hash() needs."""
+    """Sums of values[i] * BASE**i before each place, and BASE**-i: what sliding_hash() needs."""
     n = len(values)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
@@ -126,15 +130,8 @@ def prefix_hash(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, powers(n + 1, BASE_INVERSE)
 
 
-def range_hash(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hashes of values[start:end], wherever in the text they stand; with their lengths."""
-    sums, inverse = prefix
-    with np.errstate(over="ignore"):
-        return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _M2)
-
-
 def sliding_hash(prefix: tuple[np.ndarray, np.ndarray], width: int) -> np.ndarray:
-    """range_hash() of all runs of `width` values."""
+    """The hashes of all runs of `width` values."""
     sums, inverse = prefix
     with np.errstate(over="ignore"):
         return mixed((sums[width:] - sums[:-width]) * inverse[: len(sums) - width] + np.uint64(width) * _M2)
@@ -155,12 +152,42 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word of a text's bytes, and their bounds."""
-    start, end = word_bounds(data)
-    if not len(start):
-        return np.zeros(0, np.uint64), start, end
-    return range_hash(prefix_hash(BYTE_TABLE[data]), start, end), start, end
+#: Bytes of a word up to which it is hashed in numpy; longer ones, which are rare, get a digest.
+SHORT_WORD = 64
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
+def word_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that start and end there.
+
+    Eight bytes at a time are mixed in by a bijection, so words of up to eight bytes collide with none of their length, and no
+    structure of a word's bytes carries through, as it does in polynomials modulo a power of two.
+    """
+    size = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    # The eight bytes from each place on, without a copy.
+    eight = np.ndarray(len(data), "<u8", padded, strides=(1,)) if len(data) else np.zeros(0, np.uint64)
+    h = mixed(size.astype(np.uint64) + _M1)
+    for at in range(0, min(int(size.max(initial=0)), SHORT_WORD), 8):
+        who = np.flatnonzero((size > at) & (size <= SHORT_WORD))
+        h[who] = mixed(h[who] ^ (eight[start[who] + at] & _KEEP[np.minimum(size[who] - at, 8)]))
+    for k in np.flatnonzero(size > SHORT_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return h
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of data[start:end], as rows of two bigints: what is grouped by them is equal."""
+    view = memoryview(data)
+    out = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+
+def binary_column(rows: np.ndarray) -> pa.Array:
+    """Rows of numbers as an Arrow column of their bytes."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def text_bytes(column, i: int) -> bytes:

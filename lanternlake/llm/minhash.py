@@ -3,8 +3,9 @@
 Each permutation gives two values of a signature, the least and the greatest of a set's hashes, so half as many
 permutations serve. Equal sets are one node from the start. Each set is first compared with the least and the
 greatest id that it meets most; then, in buckets that hold several components, with a member of the first and of the
-last. So a group of near copies costs a few pairs a set. What that leaves in buckets of several components is paired
-under bounds that lose no link (`_bounded_pairs`), the same for buckets of every size.
+last. So a group of near copies costs a few pairs a set. What that leaves in buckets of several components is compared by odd
+sketches, in blocks, inside the tasks (`_crossing`): a sketch never shows more differences than there are, so no link is lost, and only pairs
+whose sketches are close leave the task. The same holds for buckets of every size.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_TABLE, dropped, mixed, prefix_hash, range_hash, saved, text_bytes, with_rows, word_bounds
+from .common import dropped, mixed, saved, text_bytes, with_rows, word_bounds, word_ids
 from .graph import components
+from .runs import whole_runs
 
 #: Bands of a signature and values in each: two sets of similarity 0.8 share no band once in two million times.
 BANDS, ROWS = 36, 5
@@ -26,9 +28,11 @@ _RNG = np.random.default_rng(97)
 _MULTIPLY = _RNG.integers(1, 2**32, BANDS * ROWS // 2, dtype=np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, BANDS * ROWS // 2, dtype=np.uint32)
 _PLACES = [np.uint64(int(x)) for x in _RNG.integers(1, 2**62, 64) * 2 + 1]
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOWER_TABLE = BYTE_TABLE[_LOWER]
+
+#: Members of a bucket that are compared in one task, and pairs and bytes of sketches that are compared at once.
+BLOCK, PAIRS, SKETCH_BYTES = 1024, 1 << 17, 1 << 25
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -38,7 +42,7 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     n = len(start)
     if not n:
         return np.zeros(0, np.uint64)
-    w = range_hash(prefix_hash(_LOWER_TABLE[data]), start, end)
+    w = word_ids(_LOWER[data], start, end)
     k = min(n, width)
     with np.errstate(over="ignore"):
         h = np.full(n - k + 1, k, np.uint64)
@@ -65,12 +69,22 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A set's odd sketch: for each place of a power of two of them, n at least, whether an odd number of its n elements falls there.
+
+    An element that only one of two sets has changes one place, so the sketches differ at no more places than the sets in elements.
+    A sketch is made half as long by putting its halves together.
+    """
+    places = max(64, 1 << (len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8))
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, set_a, set_b, bands): size, hashes and buckets of each row's shingle set; sets without an element have no buckets."""
+    """(id, n, set_a, set_b, bands, sketch): size, hashes, buckets and sketch of each row's shingle set; sets without an element have no buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, first, second, bands = [], [], [], []
+            size, first, second, bands, sketches = [], [], [], [], []
             for i in range(batch.num_rows):
                 h = shingles(text_bytes(batch.column(1), i), width)
                 size.append(len(h))
@@ -78,10 +92,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     first.append(int(mixed(h).sum().view(np.int64)) if len(h) else 0)
                     second.append(int(mixed(h ^ _PLACES[0]).sum().view(np.int64)) if len(h) else 0)
                 bands.append(band_keys(h) if len(h) else np.zeros(0, np.int64))
+                sketches.append(sketch(h).tobytes() if len(h) else b"")
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists], ["id", "n", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists, pa.array(sketches, pa.binary())], ["id", "n", "set_a", "set_b", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, set_a bigint, set_b bigint, bands array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -125,39 +140,73 @@ def _pairs(rows: DataFrame, end: str) -> DataFrame:
 
 
 def _open_rows(crowd: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, id, n, component, k, low, high) of the members of buckets with more than one component (k of them); low and high are members of the first and last."""
+    """(key, id, n, component, k, members, low, high) of the members of buckets with more than one component (k of them); low and high are members of the first and last."""
     placed = saved(crowd.select("key", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     end = F.struct("component", "id", "n")
-    parted = saved(placed.groupBy("key").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.count_distinct("component").alias("k")).where("k > 1"), "mixed-buckets")
+    parted = saved(placed.groupBy("key").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.count_distinct("component").alias("k"), F.count("*").alias("members")).where("k > 1"), "mixed-buckets")
     out = saved(placed.join(parted, "key"), "open-rows")
     for x in (placed, parted):
         dropped(x)
     return out
 
 
-def _bounded_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb) of all pairs of rows (id, n, component) that may be linked but are in different components; sets: (id, set) of these ids.
+def close_pairs(size: np.ndarray, n: np.ndarray, component: np.ndarray, sketches: list[bytes], percent: int, apart: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers (a, b) of the rows that may be linked but are in different components, within runs of `size` rows.
 
-    A set's elements are put in one order for all sets, the rarest among the rows first. Two sets of x <= y elements are linked only
-    if they have p (x + y) / (100 + p) in common, so the first common element leaves at least as many behind it, itself
-    included, in both. It is therefore among the first x - 2 p x / (100 + p) + 1 of the smaller and the first y - p y / 100 + 1 of the
-    larger set, and pairs are joined on these alone. What many texts share is frequent, so it is last in all of them.
+    Two sets are linked only if they differ in (100 - percent) / (100 + percent) of all their elements at most; pairs whose sketches
+    differ at more places are left out. apart: if given, a pair must differ in it, too, where it is not -1.
     """
-    tokens = sets.select("id", F.explode("set").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    shared = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("shared"))
-    # Elements that no other row has come before all others.
-    alone = F.col("n") - F.size("shared")
-    early = rows.join(shared, "id").withColumn("alone", alone).where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
-    first = F.expr(f"slice(shared, 1, cast(n - ceil({percent} * n / 100) + 1 - alone as int))")
-    placed = saved(early.select("id", "n", "component", "alone", F.posexplode(first).alias("i", "x")).select("id", "n", "component", (F.col("i") + F.col("alone")).alias("i"), "x.token"), "early-elements")
-    x, y = (placed.select("token", *(F.col(c).alias(c + side) for c in ("id", "n", "component", "i"))) for side in "xy")
-    x = x.where(f"{100 + percent} * (nx - ix) >= {2 * percent} * nx")
-    common = f"{100 + percent} * least(nx - ix, ny - iy) >= {percent} * (nx + ny)"
-    both = x.join(y, "token").where(f"(nx < ny or nx = ny and idx < idy) and componentx <> componenty and {common}")
-    one, two = F.struct(F.col("idx").alias("id"), F.col("nx").alias("n")), F.struct(F.col("idy").alias("id"), F.col("ny").alias("n"))
-    pairs = both.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    places = np.array([8 * len(x) for x in sketches])
+    within = np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size)
+    partners = np.repeat(size, size) - within - 1
+    ends = np.cumsum(partners)
+    begin = 0
+    while begin < len(n):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right")))
+        k = partners[begin:stop]
+        a = np.repeat(np.arange(begin, stop), k)
+        b = a + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k) + 1
+        begin = stop
+        keep = (component[a] != component[b]) & (np.maximum(n[a], n[b]) * percent <= np.minimum(n[a], n[b]) * 100)
+        if apart is not None:
+            keep &= (apart[a] < 0) | (apart[a] != apart[b])
+        a, b = a[keep], b[keep]
+        low = np.minimum(places[a], places[b])
+        for m in np.unique(low).tolist():
+            one, two = a[low == m], b[low == m]
+            rows, at = np.unique(np.r_[one, two], return_inverse=True)
+            words = np.stack([_folded(np.frombuffer(sketches[r], np.uint64), m // 64) for r in rows.tolist()])
+            for c in range(0, len(one), step := max(1, SKETCH_BYTES // (m // 8))):
+                x, y = at[c : min(c + step, len(one))], at[len(one) + c : len(one) + min(c + step, len(one))]
+                odd = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64)
+                close = odd * (100 + percent) <= (100 - percent) * (n[rows[x]] + n[rows[y]])
+                yield rows[x[close]], rows[y[close]]
+
+
+def _folded(words: np.ndarray, m: int) -> np.ndarray:
+    while len(words) > m:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def _crossing(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) of the pairs of close sketches in different components, of rows (key, id, n, component, members, sketch); more than once if they meet in several buckets.
+
+    A bucket of more than BLOCK members is cut into blocks, and each two blocks are a group of their own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _, size in whole_runs(batches, ["key", "x", "y"]):
+            ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
+            apart = np.where(t.column("x").to_numpy() == t.column("y").to_numpy(), -1, t.column("own").to_numpy())
+            for a, b in close_pairs(size, n, t.column("component").to_numpy(), t.column("sketch").to_pylist(), percent, apart):
+                a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[a], ids[b], n[a], n[b])], ["a", "b", "na", "nb"])
+
+    blocks = F.ceil(F.col("members") / BLOCK)
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "component", "sketch")
+    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,9 +222,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     all_sets = saved(signatures(texts, width), "signatures")
     same = ["set_a", "set_b", "n"]
     nodes = saved(all_sets.where("n > 0").groupBy(same).agg(F.min("id").alias("node")), "set-nodes")
-    member = all_sets.drop("bands").join(nodes, same, "left")
+    member = all_sets.drop("bands", "sketch").join(nodes, same, "left")
     # One row in each band for each distinct set; a set's first row speaks for it.
-    firsts = all_sets.join(nodes.select(F.col("node").alias("id"), F.col("n").alias("n"), "set_a", "set_b"), ["id", *same]).dropDuplicates(["id"])
+    firsts = all_sets.drop("sketch").join(nodes.select(F.col("node").alias("id"), F.col("n").alias("n"), "set_a", "set_b"), ["id", *same]).dropDuplicates(["id"])
     bands = saved(firsts.select("id", "n", F.explode("bands").alias("key")), "bands")
     ends = F.struct("id", "n")
     buckets = saved(bands.groupBy("key").agg(F.min(ends).alias("low"), F.max(ends).alias("high"), F.count("*").alias("members")).where("members > 1"), "buckets")
@@ -191,11 +240,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = saved(links.unionByName(_linked(again, texts, width, percent)), "links-so-far")
     tried = tried.unionByName(again)
     # Last, what is still in buckets with more than one component.
-    rows = saved(_open_rows(crowd, components(links)).select("id", "n", "component").distinct(), "open-sets")
-    sets = saved(shingle_sets(texts.join(rows.select("id"), "id"), width), "sets-of-open")
-    cross = _bounded_pairs(rows, sets, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    still = _open_rows(crowd, components(links)).select("key", "id", "n", "component", "members").join(all_sets.select("id", "sketch"), "id")
+    cross = _crossing(still, percent).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     links = links.unionByName(_linked(cross, texts, width, percent))
-    dropped(sets)
     found = components(links)
     out = member.join(found.withColumnRenamed("id", "node"), "node", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))

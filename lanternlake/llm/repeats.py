@@ -5,7 +5,8 @@ symbols also start anywhere else. Each window has an anchor: of its `gram`-grams
 windows have equal anchors at the same place, so only stretches whose anchor occurs twice need looking at:
 
 1. anchors(): each document's anchors, each with the stretch of all windows that it stands for.
-2. Stretches that are equal as a whole are one, with a number of occurrences; if it is more than one, all its windows repeat.
+2. Stretches that are equal as a whole (by 128-bit digests of their content) are one, with a number of occurrences; if it is more than one, all
+   its windows repeat.
 3. Anchors with several different stretches: those go to shards by anchor, where a method (suffix arrays, automata)
    finds the repeated windows among them.
 4. Anchors with more different stretches than a shard should hold (a passage in very many documents) are cut finer first, by the same
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, mixed, prefix_hash, range_hash, saved, sliding_hash, text_bytes
+from .common import binary_column, digests, dropped, mixed, prefix_hash, saved, sliding_hash, text_bytes
 
 #: Different stretches of an anchor, or pieces with a core, that go to a shard as they are, and pieces into which those of larger groups are cut.
 GROUP, PIECES = 128, 16
@@ -37,14 +38,15 @@ TEXT_BYTES = 1 << 15
 
 @dataclass(frozen=True)
 class Kind:
-    """symbols: hashed symbols of several texts' bytes, one after the other, and their numbers. pack, unpack: a stretch of symbols to bytes and back, for the method. size: bytes of a packed symbol."""
+    """symbols: hashed symbols of several texts' bytes, one after the other, and their numbers, for anchors. placed: these texts' content in
+    one form, and where each symbol begins and ends in it, so that stretches of equal symbols are equal bytes. unpack: a stretch's content as symbols, for the method.
+    """
 
     window: int
     gram: int
     symbols: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
-    pack: Callable[[bytes, np.ndarray, int, int], bytes]
-    unpack: Callable[[bytes], np.ndarray]
-    size: int = 1
+    placed: Callable[[list[bytes]], tuple[bytes, np.ndarray, np.ndarray]]
+    unpack: Callable[[bytes], object]
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -61,14 +63,14 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(symbols: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor, stretch, first, last, place) of several texts' symbols, one text after the other, `sizes` of each.
+    """(text, anchor, first, last, place) of several texts' symbols, one text after the other, `sizes` of each.
 
-    The number of the text, hashes of the anchor and of its stretch, the first and last window start, and where the anchor is, in its text.
+    The number of the text, the anchor's hash, the first and last window start, and where the anchor is, in its text.
     """
     begins, starts = np.cumsum(sizes) - sizes, np.maximum(sizes - window + 1, 0)
     before = np.cumsum(starts)
     if not before[-1]:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32))
     prefix = prefix_hash(symbols)
     h = sliding_hash(prefix, gram)
     least = sliding_least((h >> np.uint64(32)) << np.uint64(32) | np.arange(len(h), dtype=np.uint64), window - gram + 1)
@@ -81,10 +83,8 @@ def anchors(symbols: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> t
     text = np.searchsorted(before, new, "right")
     shift = (begins - before + starts)[text]
     first, last = new + shift, np.r_[new[1:], len(place)] - 1 + shift
-    with np.errstate(over="ignore"):
-        stretch = range_hash(prefix, first, last + window) + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     begin = begins[text]
-    return text, h[at].view(np.int64), stretch.view(np.int64), (first - begin).astype(np.int32), (last - begin).astype(np.int32), (at - begin).astype(np.int32)
+    return text, h[at].view(np.int64), (first - begin).astype(np.int32), (last - begin).astype(np.int32), (at - begin).astype(np.int32)
 
 
 def _anchor_table(docs: DataFrame, kind: Kind) -> DataFrame:
@@ -97,18 +97,23 @@ def _anchor_table(docs: DataFrame, kind: Kind) -> DataFrame:
                     texts.append(text_bytes(batch.column(1), at))
                     size += len(texts[-1])
                     at += 1
-                text, *columns = anchors(*kind.symbols(texts), kind.window, kind.gram)
-                parts.append([ids[begin + text], *columns])
+                symbols, sizes = kind.symbols(texts)
+                text, anchor, first, last, place = anchors(symbols, sizes, kind.window, kind.gram)
+                data, start, end = kind.placed(texts)
+                begins = (np.cumsum(sizes) - sizes)[text]
+                stretch = digests(data, start[begins + first], end[begins + last + kind.window - 1])
+                parts.append([ids[begin + text], anchor, stretch, first, last, place])
                 if len(parts) == 64 or at == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["row", "anchor", "stretch", "first", "last", "place"])
+                    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                    yield pa.RecordBatch.from_arrays([binary_column(c) if c.ndim == 2 else pa.array(c) for c in columns], ["row", "anchor", "stretch", "first", "last", "place"])
                     parts = []
 
-    return docs.select("row", "text").mapInArrow(run, "row bigint, anchor bigint, stretch bigint, first int, last int, place int")
+    return docs.select("row", "text").mapInArrow(run, "row bigint, anchor bigint, stretch binary, first int, last int, place int")
 
 
-SHARED = "anchor bigint, stretch bigint, key bigint, n bigint, many boolean, offset int, windows int, shift int, data binary"
+SHARED = "anchor bigint, stretch binary, key bigint, n bigint, many boolean, offset int, windows int, shift int, data binary"
 SHARED_NAMES = [x.split(" ")[0] for x in SHARED.split(", ")]
-SHARED_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+SHARED_TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -131,9 +136,9 @@ def _stretches(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_buffer().to_pybytes()
-                symbols, _ = kind.symbols([text])
+                content, start, end = kind.placed([text])
                 for x in batch.column(2)[i].as_py():
-                    data = kind.pack(text, symbols, x["first"], x["last"] + kind.window)
+                    data = content[start[x["first"]] : end[x["last"] + kind.window - 1]]
                     yield x["anchor"], x["stretch"], x["anchor"], x["n"], x["many"], x["place"] - x["first"], x["last"] - x["first"] + 1, 0, data
 
     per_row = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "stretch", "n", "many", "first", "last", "place")).alias("wanted"))
@@ -141,8 +146,7 @@ def _stretches(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
 
 
 #: Window starts of a stretch, counted from its first, that repeat: first to last.
-FOUND = "anchor bigint, stretch bigint, first int, last int"
-_J, _CORE, _HULL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+FOUND = "anchor bigint, stretch binary, first int, last int"
 
 
 def _cut_finer(members: DataFrame, kind: Kind, step: int, name: str) -> tuple[DataFrame, DataFrame]:
@@ -157,27 +161,29 @@ def _cut_finer(members: DataFrame, kind: Kind, step: int, name: str) -> tuple[Da
         for batch in batches:
             out = []
             for x in batch.to_pylist():
-                prefix, offset = prefix_hash(kind.unpack(x["data"])), x["offset"]
+                (data, start, end), offset = kind.placed([x["data"]]), x["offset"]
                 j = np.arange((offset - x["windows"] + 1) // step, offset // step + 1)
                 low, high = offset - (j + 1) * step + 1, offset - j * step
                 first, last = np.maximum(low, 0), np.minimum(high, x["windows"] - 1)
-                with np.errstate(over="ignore"):
-                    core = mixed(range_hash(prefix, high, low + window) * _CORE + j.astype(np.uint64) * _J + np.array([x["key"]]).view(np.uint64))
-                    hull = range_hash(prefix, first, last + window) + (high - first).astype(np.uint64) * _HULL
+                # A core tells groups apart, within its key and piece; a hull says what is equal.
+                core = digests(data, start[high], end[low + window - 1])[:, 0] ^ mixed(np.array([x["key"]]).view(np.uint64) + j.astype(np.uint64)).view(np.int64)
+                hull = np.c_[digests(data, start[first], end[last + window - 1]), high - first]
                 m = len(j)
-                fixed = [np.full(m, x[c]) for c in ("anchor", "stretch", "key", "n")]
-                out.append([core.view(np.int64), hull.view(np.int64), *fixed, first.astype(np.int32), last.astype(np.int32), np.full(m, x["shift"], np.int32)])
+                fixed = [np.full(m, x[c]) for c in ("anchor", "key", "n")]
+                out.append([core, hull, np.tile(np.frombuffer(x["stretch"], np.int64), (m, 1)), *fixed, first.astype(np.int32), last.astype(np.int32), np.full(m, x["shift"], np.int32)])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["core", "hull", "anchor", "stretch", "key", "n", "first", "last", "shift"])
+                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([binary_column(c) if c.ndim == 2 else pa.array(c) for c in columns], ["core", "hull", "stretch", "anchor", "key", "n", "first", "last", "shift"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for x in batch.to_pylist():
+                content, start, end = kind.placed([x["data"]])
                 for y in x["pieces"]:
-                    data = x["data"][y["first"] * kind.size : (y["last"] + window) * kind.size]
+                    data = content[start[y["first"]] : end[y["last"] + window - 1]]
                     yield x["anchor"], x["stretch"], y["core"], y["n"], y["many"], x["offset"] - y["first"], y["last"] - y["first"] + 1, x["shift"] + y["first"], data
 
-    part = saved(members.mapInArrow(parts, "core bigint, hull bigint, anchor bigint, stretch bigint, key bigint, n bigint, first int, last int, shift int"), f"{name}-pieces")
+    part = saved(members.mapInArrow(parts, "core bigint, hull binary, stretch binary, anchor bigint, key bigint, n bigint, first int, last int, shift int"), f"{name}-pieces")
     speaker = F.min(F.struct("anchor", "stretch", "key", "first", "last")).alias("at")
     hulls = saved(part.groupBy("core", "hull").agg(F.sum("n").alias("n"), speaker), f"{name}-different-pieces")
     # What occurs more than once has been found to repeat before, or is now.
@@ -193,7 +199,7 @@ def _cut_finer(members: DataFrame, kind: Kind, step: int, name: str) -> tuple[Da
     return whole, after
 
 
-def repeated(docs: DataFrame, kind: Kind, method: Callable[[list[np.ndarray], list[int], list[int]], list[np.ndarray]], name: str) -> DataFrame:
+def repeated(docs: DataFrame, kind: Kind, method: Callable[[list, list[int], list[int]], list[np.ndarray]], name: str) -> DataFrame:
     """(row, spans array<struct<start, end>>): for each row of docs (row bigint, text binary) that has any, the symbols that repeated windows cover.
 
     method: from stretches, their numbers of windows and their groups, sorted by group, the starts of the windows that occur twice among them.

@@ -187,8 +187,14 @@ def repeated_windows(stretches: list[np.ndarray], windows: list[int], groups: li
     return [np.flatnonzero(shard.twice[s : s + w]) for shard in shards for s, w in zip(shard.starts, shard.windows, strict=True)]
 
 
+def _placed(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    data = b"".join(texts)
+    at = np.arange(len(data) + 1)
+    return data, at[:-1], at[1:]
+
+
 def byte_kind(width: int, gram: int) -> Kind:
-    return Kind(width, gram, lambda texts: (BYTE_TABLE[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(x) for x in texts])), lambda data, _, a, b: data[a:b], lambda data: np.frombuffer(data, np.uint8))
+    return Kind(width, gram, lambda texts: (BYTE_TABLE[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(x) for x in texts])), _placed, lambda data: np.frombuffer(data, np.uint8))
 
 
 def _removed(docs: DataFrame, spans: DataFrame, texts: bool) -> DataFrame:

@@ -65,21 +65,60 @@ def test_near_duplicates_equal_all_pairs(spark, odd, odd_rows, width):
     assert found(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width, 80)) == plain_near(rows, width, 80)
 
 
+def hashed(elements) -> np.ndarray:
+    return np.unique(minhash.mixed(np.array(sorted(elements), np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+@pytest.mark.parametrize("block", [1024, 16])
 @pytest.mark.parametrize("percent", [60, 80, 95])
-def test_bounds_lose_no_link(spark, percent):
-    """Sets that share much of two passages: the bounded pairs hold every linked pair of different components."""
+def test_sketches_lose_no_link(spark, monkeypatch, percent, block):
+    """Sets that share much of two passages, of very different sizes: the close pairs hold every linked pair of different components that meet in a bucket."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng, rows = random.Random(percent), []
-    one, two = list(range(60)), list(range(100, 140))
-    for i in range(120):
-        share = rng.choice([0.7, 0.95, 0.99, 1])
-        kept = [x for x in one + two if rng.random() < share]
-        rows.append((i, i % 7, sorted({*kept, *(rng.randrange(1000, 1300) for _ in range(rng.randrange(rng.choice([2, 12]))))})))
-    links = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and 100 * len({*a[2]} & {*b[2]}) >= percent * len({*a[2]} | {*b[2]})}
-    sets = spark.createDataFrame([(i, s) for i, _, s in rows], "id bigint, set array<bigint>")
-    open_rows = spark.createDataFrame([(i, len(s), c) for i, c, s in rows], "id bigint, n bigint, component bigint")
-    pairs = {(r.a, r.b) for r in minhash._bounded_pairs(open_rows, sets, percent).collect()}
-    assert links <= pairs and len(links) > 5
-    assert len(pairs) < 120 * 119 / 2
+    for i in range(160):
+        size, share = rng.choice([6, 60, 60, 400]), rng.choice([0.7, 0.95, 0.99, 1])
+        kept = [x for x in range(size * 1000, size * 1000 + size) if rng.random() < share]
+        rows.append((i, i % 7, {*kept, *(rng.randrange(10**6, 10**6 + 300) for _ in range(rng.randrange(rng.choice([2, 12]))))}))
+    rows = [r for r in rows if r[2]]
+    links = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and 100 * len(a[2] & b[2]) >= percent * len(a[2] | b[2])}
+    # Two buckets: all rows, and those of even ids.
+    members = [(key, i, len(s), c, n, bytearray(minhash.sketch(hashed(s)).tobytes())) for key, n, of in ((1, len(rows), 1), (2, len(rows) // 2, 2)) for i, c, s in rows if i % of == 0]
+    df = spark.createDataFrame(members, "key bigint, id bigint, n bigint, component bigint, members bigint, sketch binary")
+    found_pairs = [(r.a, r.b) for r in minhash._crossing(df, percent).collect()]
+    assert links <= set(found_pairs) and len(links) > 5
+    assert len(found_pairs) == len({(a, b) for a, b in found_pairs}) + sum(a % 2 == b % 2 == 0 for a, b in set(found_pairs))
+    if percent > 60:
+        assert len(set(found_pairs)) < 3 * len(links)
+
+
+def slotted(n: int, seed: int = 1) -> list[tuple]:
+    """Texts of ten shared passages with a slot of four fillings after each: any two have most of their shingles in common, but few enough."""
+    rng = random.Random(seed)
+    passages = [[f"p{k}w{i}" for i in range(9)] for k in range(10)]
+    return [(i, " ".join(w for k, p in enumerate(passages) for w in [*p, f"s{k}f{rng.randrange(4)}"])) for i in range(n)]
+
+
+def test_pairs_of_slotted_texts_do_not_grow_with_the_square(spark, monkeypatch):
+    counts = []
+
+    def counted(rows, percent, made=minhash._crossing):
+        pairs = made(rows, percent).distinct()
+        counts.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_crossing", counted)
+    for n in (100, 200, 400):
+        rows = slotted(n)
+        assert found(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 80)) == plain_near(rows, 4, 80)
+    # All pairs would be 4,950, 19,900 and 79,800.
+    assert counts[-1] < 4 * 400, counts
+
+
+def test_shingles_of_words_with_equal_polynomials_are_different(spark):
+    swap = lambda n, by: "".join("ab"[(bin(i).count("1") + by) % 2] for i in range(n))
+    rows = [(10 * k + by, f"{swap(n, by)} one two three") for k, n in enumerate((1024, 2048, 4096)) for by in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found(minhash.near_duplicates(df, 4, 80)) == plain_near(rows, 4, 80) == sorted((i, 1, i, True) for i, _ in rows)
 
 
 def test_op5_equals_all_pairs(spark, sf_dir, documents):

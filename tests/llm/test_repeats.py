@@ -156,11 +156,51 @@ def test_automaton_counts_occurrences():
             assert a.windows(s, width, 1) == [i for i in range(len(s) - width + 1) if seen[tuple(s[i : i + width])] >= 1]
 
 
-def test_reference_passages_are_removed(spark, odd, odd_rows, monkeypatch):
+def test_reference_passages_are_removed(spark, odd, odd_rows):
     reference = spark.createDataFrame([(" ".join(odd_rows[10][1].split(" ")[60:100]),), (None,), ("short",)], "text string")
     out = {r.doc_id: r for r in automaton.remove_reference(odd, reference, 13).collect()}
     assert out[20].n_removed == 40 and out[21].n_removed == 40 - 0 or out[21].n_removed > 0
     assert out[33].n_removed == 0 and out[7].n_words == 0
-    monkeypatch.setattr(automaton, "REFERENCE_WORDS", 10)
-    with pytest.raises(ValueError):
-        automaton.remove_reference(odd, reference, 13)
+
+
+@pytest.mark.parametrize("words", [10, 60, 2_000_000])
+def test_a_reference_in_parts_removes_the_same(spark, odd, odd_rows, monkeypatch, words):
+    monkeypatch.setattr(automaton, "REFERENCE_WORDS", words)
+    reference = [odd_rows[10][1], odd_rows[0][1][:900], None, "", "again again " * 9, odd_rows[15][1] + " x"]
+    held = {tuple(w[i : i + 13]) for t in reference for w in [WORD.findall((t or "").encode())] for i in range(len(w) - 12)}
+    expected = []
+    for i, t in odd_rows:
+        w = WORD.findall((t or "").encode())
+        gone = {k for i0 in range(len(w) - 12) if tuple(w[i0 : i0 + 13]) in held for k in range(i0, i0 + 13)}
+        expected.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
+    df = spark.createDataFrame([(t,) for t in reference], "text string")
+    assert rows_of(automaton.remove_reference(odd, df, 13), *WORDS) == sorted(expected, key=repr)
+    assert sum(x[2] for x in expected) > 300
+
+
+def test_an_empty_reference_removes_nothing(spark, odd):
+    none = spark.createDataFrame([], "text string")
+    assert automaton.remove_reference(odd, none).agg({"n_removed": "sum"}).first()[0] == 0
+
+
+def thue_morse(n: int, swapped: bool = False) -> str:
+    """Letters by the parity of the bits of their places: sequences whose polynomials modulo 2**64 equal those of the swapped ones."""
+    return "".join("ab"[(bin(i).count("1") + swapped) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_equal_polynomials_are_different(spark, n):
+    tail = " ".join(f"w{k}" for k in range(34))
+    rows = [(1, thue_morse(n) + " " + tail), (2, thue_morse(n, True) + " " + tail), (3, tail + " " + thue_morse(n)), (4, tail + " " + thue_morse(n, True))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert rows_of(automaton.remove_repeats(df, 35), *WORDS) == plain_words(rows, 35)
+    assert all(r[2] == 0 for r in plain_words(rows, 35))
+
+
+@pytest.mark.parametrize(("width", "group"), [(1024, 128), (1024, 2), (2048, 2)])
+def test_bytes_of_equal_polynomials_are_different(spark, monkeypatch, width, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    edge = "0123456789" * 5
+    rows = [(k, f"{k} " + edge + thue_morse(width, k % 2 == 1) + edge + f" {k}") for k in range(4)] + [(9, thue_morse(4 * width))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert rows_of(suffix_array.remove_repeats(df, width), *BYTES) == plain_bytes(rows, width)
