@@ -10,7 +10,11 @@ from .common import shared_path, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages to ARC archives, these to WARC files in the shared folder, and those read again."""
+    """Pages to ARC archives, these to WARC files in the shared folder, and those read again.
+
+    Pages of equal ids are pages of their own; those without one come back without, as revisits where a page with an id has their payload. Where
+    all pages of a payload lack an id, all are responses.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     body = F.coalesce("html", F.lit("")).cast("binary")
     repeated = warc.repeated_payloads(pages.select("page_id", F.sha2(body, 256).alias("payload_digest"), F.length(body).alias("payload_bytes")))
@@ -18,7 +22,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     longest = pages.agg(F.max(F.length(body)).alias("n")).first()["n"] or 0
     warc.write_warc(warc.mark_revisits(warc.convert_arc(warc.pack_arc(pages)), repeated), path, longest=longest)
     found = warc.read_warc(spark, path).where("warc_type <> 'warcinfo'")
-    return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to_key").cast("long").alias("refers_to"))
+    return found.select(F.col("key").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to_key").try_cast("long").alias("refers_to"))
 
 
 OP1_SQL = """

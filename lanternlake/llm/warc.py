@@ -77,8 +77,8 @@ def pack_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bo
     """(name, content): ARC archives of the pages, in versions 1 and 2 in turn.
 
     An archive holds ARCHIVE_RECORDS records at most, and ends with the record that takes it over ARCHIVE_BYTES. Each page is an
-    HTTP response with its body in UTF-8, empty for null, and its id in KEY_HEADER. A null url is stored as -.
-    Repeated ids are records of their own. Other columns are not read.
+    HTTP response with its body in UTF-8, empty for null, and its id in KEY_HEADER, which a null id lacks. A null url is stored as -.
+    Repeated ids are records of their own, an empty table gives no archive. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,19 +93,22 @@ def pack_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bo
                     end += 1
                 version = 1 + n % 2
                 n += 1
-                name = f"pages-{uuid_of(f'{keys[at]} {keys[end - 1]} {end - at} {n}')}.arc"
+                # Ids tell archives apart; where some lack one, what they hold does.
+                held = hashlib.sha256(b"".join(batch.column(2)[i].as_py() or b"" for i in range(at, end))).hexdigest() if None in keys[at:end] else ""
+                name = f"pages-{uuid_of(f'{keys[at]} {keys[end - 1]} {end - at} {n}{held}')}.arc"
                 parts = [arc_version_block(version, name, "20240101000000")]
                 size = len(parts[0])
                 for i in range(at, end):
                     url, body = batch.column(1)[i].as_py(), batch.column(2)[i].as_py() or b""
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{KEY_HEADER}: {keys[i]}\r\nContent-Length: {len(body)}\r\n\r\n"
+                    key = "" if keys[i] is None else f"{KEY_HEADER}: {keys[i]}\r\n"
+                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{key}Content-Length: {len(body)}\r\n\r\n"
                     url = (url or "-").replace("\n", "%0A").replace("\r", "%0D")
                     parts.append(arc_record(version, url, "0.0.0.0", "20240101000000", "text/html", head.encode() + body, name, size))
                     size += len(parts[-1])
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(parts)], pa.binary())], ["name", "content"])
                 at = end
 
-    columns = pages.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(body_col).cast("binary").alias("body"))
+    columns = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(body_col).cast("binary").alias("body"))
     return columns.mapInArrow(run, "name string, content binary")
 
 
@@ -165,8 +168,8 @@ def convert_arc(archives: DataFrame, name_col: str = "name", content_col: str =
 
     archives: (name, content), as of spark.read.format("binaryFile"); null contents have no records. The version block becomes
     a warcinfo record, an HTTP response a response record, anything else a resource record. A record's id follows from its
-    key (KEY_HEADER, if it has one) or else from archive, place, URL and date, so reruns agree; a date that can't be read
-    becomes the archive's. Digests are SHA-256 of the whole payload, in hexadecimal. truncated: fewer bytes than declared.
+    key (KEY_HEADER, if it has one that is not empty) and digest, or else from archive, place, URL and date, so reruns agree and only records of equal key and
+    payload share one; a date that can't be read becomes the archive's. Digests are SHA-256 of the whole payload, in hexadecimal. truncated: fewer bytes than declared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +187,9 @@ def convert_arc(archives: DataFrame, name_col: str = "name", content_col: str =
                     else:
                         header, payload = split_http(document)
                         warc_type, content_type = ("response", "application/http; msgtype=response") if header is not None else ("resource", kind)
-                    key = http_field(header, KEY_HEADER)
-                    record = uuid_of(f"key {key}" if key else f"{name} {place} {url} {date}")
-                    rows.append((key, warc_type, record, url, ip, stamp, content_type, header, payload, len(payload), hashlib.sha256(payload).hexdigest(), short))
+                    key, digest = http_field(header, KEY_HEADER) or None, hashlib.sha256(payload).hexdigest()
+                    record = uuid_of(f"key {key} {digest}" if key else f"{name} {place} {url} {date}")
+                    rows.append((key, warc_type, record, url, ip, stamp, content_type, header, payload, len(payload), digest, short))
                     held += len(payload)
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -201,7 +204,7 @@ def convert_arc(archives: DataFrame, name_col: str = "name", content_col: str =
 
 
 def repeated_payloads(payloads: DataFrame, least: int = 100, id_col: str = "page_id", digest_col: str = "payload_digest", bytes_col: str = "payload_bytes") -> DataFrame:
-    """(payload_digest, first_key): of payloads of at least `least` bytes that more than one row has, the smallest id. Null ids are passed over."""
+    """(payload_digest, first_key): of payloads of at least `least` bytes that more than one row has, the smallest id. Null ids are passed over; first_key is null if there is no other."""
     big = payloads.where(F.col(bytes_col) >= least).groupBy(F.col(digest_col).alias("payload_digest"))
     return big.agg(F.min(id_col).alias("first_key"), F.count("*").alias("n")).where("n > 1").drop("n")
 
@@ -209,7 +212,7 @@ def repeated_payloads(payloads: DataFrame, least: int = 100, id_col: str = "page
 def mark_revisits(records: DataFrame, repeated: DataFrame, salts: int = 32) -> DataFrame:
     """records with refers_to_key: the first key of its payload where another record has that payload first, then warc_type is revisit.
 
-    repeated: rows of repeated_payloads(). A payload that a third of the records share is dealt over `salts` tasks.
+    Records of the first key itself, however many, are no revisits; one without a key revisits the first key, if there is one. repeated: rows of repeated_payloads(). A payload that a third of the records share is dealt over `salts` tasks.
     """
     first = F.struct(F.col("first_key").cast("string").alias("key")).alias("first")
     dealt = repeated.select("payload_digest", first, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).alias("dealt")
@@ -233,7 +236,7 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = 2000, comp
     """Writes rows of RECORD, with refers_to_key if there is one, as WARC 1.1 files under path.
 
     A file is read as one value, so its bytes are bounded: records with payloads over LONG_PAYLOAD bytes are written in a second pass,
-    to files with few records. longest: the length of the longest payload if it is known; else a pass over records finds it. A revisit keeps the HTTP header and leaves the payload out. Nothing goes through Python: a row's bytes are put together
+    to files with few records. A table without rows writes no record; null fields are left out, repeated rows written as often. longest: the length of the longest payload if it is known; else a pass over records finds it. A revisit keeps the HTTP header and leaves the payload out. Nothing goes through Python: a row's bytes are put together
     as columns and written as they are.
     """
     refers = F.col("refers_to_key") if "refers_to_key" in records.columns else F.lit(None).cast("string")
@@ -247,7 +250,7 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = 2000, comp
         F.lit("WARC/1.1\r\n"), field("WARC-Type", F.col("warc_type")), field("WARC-Record-ID", urn(F.col("record_id"))), field("WARC-Date", F.col("warc_date")),
         field("WARC-Target-URI", clean(F.when(F.col("warc_type") != "warcinfo", F.col("target_uri")))), field("WARC-IP-Address", clean(F.when(F.col("warc_type") != "warcinfo", F.col("ip")))),
         field("Content-Type", clean(F.col("content_type"))), field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(field("WARC-Profile", F.lit(REVISIT_PROFILE)), field("WARC-Refers-To", urn(uuid_column(F.concat(F.lit("key "), refers)))), field("X-Refers-To-Key", refers))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(field("WARC-Profile", F.lit(REVISIT_PROFILE)), field("WARC-Refers-To", urn(uuid_column(F.concat(F.lit("key "), refers, F.lit(" "), F.col("payload_digest"))))), field("X-Refers-To-Key", refers))).otherwise(F.lit("")),
         F.when(F.col("truncated"), F.lit("WARC-Truncated: unspecified\r\n")).otherwise(F.lit("")),
         F.lit("Content-Length: "), F.length(block).cast("string"), F.lit("\r\n\r\n"),
     )
@@ -281,7 +284,7 @@ def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """The records of all WARC files under path, a row each; payload is null unless asked for.
+    """The records of all WARC files under path, a row each, repeated ones too, no rows if there are none; payload is null unless asked for, and what a record lacks or leaves empty is null.
 
     payload_bytes: of the payload itself, or of what a revisit's HTTP header declares. payload_digest: of the payload itself, or
     as a revisit names it. intact: a response's digest is the one that its record names.
@@ -301,7 +304,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                         n, digest = int(declared) if declared and declared.isdigit() else None, named
                     else:
                         n, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                    rows.append((http_field(header, KEY_HEADER), kind, fields.get("warc-record-id", "").removeprefix("<urn:uuid:").rstrip(">"), fields.get("warc-target-uri"), fields.get("warc-date"), n, digest, fields.get("x-refers-to-key"), digest == named, payload if payloads else None))
+                    rows.append((http_field(header, KEY_HEADER) or None, kind, fields.get("warc-record-id", "").removeprefix("<urn:uuid:").rstrip(">"), fields.get("warc-target-uri"), fields.get("warc-date"), n, digest, fields.get("x-refers-to-key"), digest == named, payload if payloads else None))
                     held += len(payload) if payloads else 200
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

@@ -27,6 +27,23 @@ def test_op1_over_awkward_pages(spark):
     assert queries_warc.op1_warc(spark, empty).count() == 0
 
 
+def test_op1_with_null_and_repeated_ids(spark):
+    long, alone, nulls = "<html>" + "x" * 200, "y" * 150, "z" * 150
+    rows = [(2, long), (2, long), (None, long), (7, long), (None, alone), (3, "short"), (None, "short"), (2, "short"), (2, "w" * 120), (None, nulls), (None, nulls), (None, None)]
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id bigint, url string, html string").repartition(5).write.parquet(f"{folder}/pages.parquet")
+    out = queries_warc.op1_warc(spark, folder).collect()
+    expected = [(k, len(h or ""), "revisit", 2) if h == long and k != 2 else (k, len(h or ""), "response", None) for k, h in rows]
+    assert sorted([(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in out], key=repr) == sorted(expected, key=repr)
+
+
+def test_record_ids_tell_records_apart(spark):
+    rows = [(None, "a"), (None, "b"), (1, "a"), (1, "b"), (2, "a")]
+    pages = spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id bigint, url string, html string").repartition(3)
+    records = warc.convert_arc(warc.pack_arc(pages)).where("warc_type = 'response'").collect()
+    assert len({r.record_id for r in records}) == 5 and {r.key for r in records} == {None, "1", "2"}
+
+
 def archive(version, *records):
     return warc.arc_version_block(version, "x.arc", "20010203040506") + b"".join(records)
 
