@@ -8,17 +8,36 @@ from pyspark.sql.window import Window
 
 from lanternlake.functions.text import tokens
 from lanternlake.functions.vector import cosine
+from lanternlake.storage import checkpointed
 
 CANDIDATES, TOP_K, RRF_K = 50, 10, 60
 #: The limit of the sum of 1/j**2, by which a term's repetitions are normalised (fixed value).
 _ZETA_2 = 1.64493406685
-#: Rows of a query set that may be sent to all tasks; larger sets are joined by shuffle.
-BROADCAST_QUERIES = 20_000
+#: Rows and bytes (as JSON) of a query set that may be sent to all tasks; larger sets are joined by shuffle.
+BROADCAST_QUERIES, BROADCAST_BYTES = 20_000, 64 << 20
+
+
+def is_small(queries: DataFrame) -> bool:
+    """Whether a query set may be sent to all tasks, by its rows and bytes."""
+    size = queries.limit(BROADCAST_QUERIES + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return size["n"] <= BROADCAST_QUERIES and (size["b"] or 0) <= BROADCAST_BYTES
 
 
 def small(queries: DataFrame) -> DataFrame:
     """The query set, with a broadcast hint if it is checked to be small."""
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+    return F.broadcast(queries) if is_small(queries) else queries
+
+
+#: Parts into which each project's chunks are dealt for query sets that are joined by shuffle: projects are few and of any size.
+PARTS = 64
+
+
+def in_project(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each of chunks (project_id, chunk_id, ...) with each query (project_id, ...) of its project."""
+    if is_small(queries):
+        return chunks.join(F.broadcast(queries), "project_id")
+    parted = chunks.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)).cast("int"))
+    return parted.join(queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["project_id", "part"]).drop("part")
 
 
 def ranked(scored: DataFrame, k: int, *order) -> DataFrame:
@@ -45,7 +64,7 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: in
     if version is not None:
         vectors = vectors.where(F.col("model_version") == version)
     candidates = chunks.select("chunk_id", "project_id").join(vectors.select("chunk_id", "vector"), "chunk_id")
-    pairs = candidates.join(small(queries.select("query_id", "project_id", F.col("vector").alias("q"))), "project_id")
+    pairs = in_project(candidates, queries.select("query_id", "project_id", F.col("vector").alias("q")))
     scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("raw")).where("raw is not null")
     return ranked(scored, k, F.desc("raw"), "chunk_id").select("query_id", "chunk_id", "rank", F.greatest(F.lit(0.0), "raw").alias("score"))
 
@@ -56,6 +75,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "project_id", terms.alias("terms")).select("query_id", "project_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
 
 
+def term_score(hits: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) from (query_id, chunk_id, term, n_terms, tf): a term that stands n times counts 0.1 * (1 + 1/4 + ... + 1/n**2) over the limit of that sum."""
+    weight = F.lit(0.1) * F.aggregate(F.sequence(F.lit(1), F.col("tf")), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j)) / F.lit(_ZETA_2)
+    return hits.groupBy("query_id", "chunk_id", "n_terms").agg(F.sum(weight).alias("s")).select("query_id", "chunk_id", F.round(F.col("s") / F.col("n_terms"), 6).alias("score"))
+
+
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(query_id, chunk_id, rank, score): the k chunks of a query's project that share most with its terms, one term at least.
 
@@ -65,9 +90,7 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) ->
     # The query's terms reach the words before these are counted: only hits are shuffled.
     hits = words.join(small(query_terms(queries)), ["project_id", "term"])
     tf = hits.groupBy("query_id", "chunk_id", "term", "n_terms").agg(F.count("*").cast("int").alias("tf"))
-    weight = F.lit(0.1) * F.aggregate(F.sequence(F.lit(1), F.col("tf")), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j)) / F.lit(_ZETA_2)
-    scored = tf.groupBy("query_id", "chunk_id", "n_terms").agg(F.sum(weight).alias("s")).select("query_id", "chunk_id", F.round(F.col("s") / F.col("n_terms"), 6).alias("score"))
-    return ranked(scored, k, F.desc("score"), "chunk_id").select("query_id", "chunk_id", "rank", "score")
+    return ranked(term_score(tf), k, F.desc("score"), "chunk_id").select("query_id", "chunk_id", "rank", "score")
 
 
 def keyword_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -132,7 +155,8 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, strategy:
 
 
 def hydrate(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """found with the chunks' columns, joined after the cut: content moves only for what is returned."""
+    """found with the chunks' columns, joined after the cut: content moves only for what is returned. found is computed once."""
+    found = checkpointed(found)
     return chunks.join(small(found), "chunk_id").select(*found.columns, *(c for c in chunks.columns if c not in found.columns))
 
 

@@ -1,10 +1,23 @@
-"""Cutting a plan's lineage in the folder that driver and executors share."""
+"""Tables in folders that driver and executors share: cutting a plan's lineage, and writing what can be written again."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; where none is named, a temporary folder on a local master, as in tests, and an error elsewhere."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        # local-cluster[...] has executors of its own, which don't share a temporary folder.
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lanternlake-"))
+    return sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -12,10 +25,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     The folder is the session's spark.checkpoint.dir; where none is named, a temporary one on a local master, as in tests, and an error elsewhere.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lanternlake-"))
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path beside the checkpoints, deleted when the application ends."""
+    path = f"{_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def stored(df: DataFrame, path: str, *partitions: str) -> None:
+    """Writes df to path in place of the partitions that it has rows of, or of all that is there if it isn't partitioned; others stay. Run again, it leaves the same."""
+    writer = df.write.mode("overwrite")
+    if partitions:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
+    writer.parquet(path)
