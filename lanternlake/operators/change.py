@@ -97,15 +97,6 @@ def dependency_paths(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFram
     return induced(around, edges)
 
 
-def resolve(symbols: DataFrame, name: str) -> DataFrame:
-    """The symbol with that id, or else the one whose name or end of id it is in any case of letters, if there is but one."""
-    exact = symbols.where(F.col("symbol_id") == name)
-    low = name.lower()
-    loose = symbols.where((F.col("name") == name) | F.col("symbol_id").endswith(f".{name}") | (F.lower("symbol_id") == low) | (F.lower("name") == low))
-    n = loose.withColumn("n", F.count("*").over(Window.partitionBy())).where("n = 1").drop("n")
-    return exact.unionByName(n.join(exact.select(F.lit(1).alias("x")).limit(1), F.lit(True), "left_anti"))
-
-
 def impacted_services(*symbols: DataFrame) -> DataFrame:
     """Distinct projects of the symbols, sorted."""
     return reduce(DataFrame.unionByName, [s.select("project") for s in symbols]).where("project is not null").distinct().orderBy("project")
@@ -125,30 +116,5 @@ def kind_histogram(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def api_actions(symbols: DataFrame) -> DataFrame:
-    """(symbol_id, verb, route, request, response): methods with a verb attribute of classes named ...Controller."""
-    controllers = symbols.where((F.col("kind") == "Class") & F.col("name").endswith("Controller")).select(F.col("fqn").alias("declaring"), X.controller_route(F.col("signature")).alias("prefix"))
-    methods = symbols.where((F.col("kind") == "Method") & X.http_verb(F.col("signature")).isNotNull()).withColumn("declaring", X.declaring_type(F.col("fqn")))
-    joined = methods.join(controllers, "declaring")
-    return joined.select("symbol_id", X.http_verb(F.col("signature")).alias("verb"), X.full_route(F.col("prefix"), F.col("signature")).alias("route"), X.request_type(F.col("parameters")).alias("request"), X.response_type(F.col("return_type")).alias("response"))
-
-
-def impacted_apis(changed: DataFrame, symbols: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
-    """Actions that are changed or reach a changed symbol within `depth` steps."""
-    hit = reach(changed, edges, depth).select("symbol_id").unionByName(changed.select("symbol_id")).distinct()
-    return api_actions(symbols).join(hit, "symbol_id", "left_semi")
-
-
-def external_integrations(changed: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(client, endpoints, timeout, retry): types that use HttpClient and are changed, or whose members a changed symbol touches."""
-    types = symbols.where(F.col("kind").isin("Class", "Struct"))
-    clients = types.where(F.col("declaration").contains("HttpClient")).select(F.col("symbol_id").alias("client"), F.col("fqn").alias("declaring"), "declaration")
-    members = symbols.withColumn("declaring", X.declaring_type(F.col("fqn"))).join(clients.select("client", "declaring"), "declaring").select("client", "symbol_id").unionByName(clients.select("client", F.col("client").alias("symbol_id")))
-    near = touching(changed, edges)
-    ids = near.select(F.col("from_id").alias("symbol_id")).unionByName(near.select(F.col("to_id").alias("symbol_id"))).unionByName(changed.select("symbol_id")).distinct()
-    hit = members.join(ids, "symbol_id", "left_semi").select("client").distinct()
-    return clients.join(hit, "client", "left_semi").select("client", X.literal_hints(F.col("declaration")).alias("h")).select("client", "h.*")
-
-
 def change_identifier(base: Column, target: Column) -> Column:
     return F.when(base.isNull() & target.isNull(), F.lit("working-tree")).otherwise(F.concat(F.coalesce(base, F.lit("HEAD")), F.lit(".."), F.coalesce(target, F.lit("working-tree"))))
