@@ -117,15 +117,12 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, set array<bigint>")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) of which 100 * common >= percent * all elements, by their whole sets."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) of which 100 * common >= percent * all elements, by their whole sets (id, set)."""
     pairs = saved(pairs.where(F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100).select("a", "b", "na", "nb").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = saved(shingle_sets(texts.join(ids, "id"), width), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
     links = saved(both.select("a", "b", common.alias("common"), (F.col("na") + F.col("nb")).alias("total")).where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b"), "near-links")
-    dropped(sets)
     dropped(pairs)
     return links
 
@@ -230,19 +227,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     buckets = saved(bands.groupBy("key").agg(F.min(ends).alias("low"), F.max(ends).alias("high"), F.count("*").alias("members")).where("members > 1"), "buckets")
     crowd = saved(bands.join(buckets, "key"), "bucket-members")
     # First two pairs a set at most: with the least and the greatest id that it meets in most buckets.
-    ends_of = crowd.groupBy("id", "n").agg(F.mode(F.when(F.col("low.id") < F.col("id"), F.col("low")), True).alias("low"), F.mode(F.when(F.col("high.id") > F.col("id"), F.col("high")), True).alias("high"))
+    ends_of = saved(crowd.groupBy("id", "n").agg(F.mode(F.when(F.col("low.id") < F.col("id"), F.col("low")), True).alias("low"), F.mode(F.when(F.col("high.id") > F.col("id"), F.col("high")), True).alias("high")), "bucket-ends")
+    # Texts are dealt once: whatever is compared later is in a bucket with another.
+    sets = saved(shingle_sets(texts.join(ends_of.select("id"), "id"), width), "sets")
     tried = saved(_pairs(ends_of, "low").unionByName(_pairs(ends_of, "high")).distinct(), "tried-pairs")
-    links = _linked(tried, texts, width, percent)
+    links = _linked(tried, sets, percent)
     # Then, in buckets with more than one component, with a member of the first and of the last of them.
     open_rows = _open_rows(crowd, components(links))
     again = _pairs(open_rows, "low").unionByName(_pairs(open_rows, "high")).distinct()
     again = saved(again.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "tried-again")
-    links = saved(links.unionByName(_linked(again, texts, width, percent)), "links-so-far")
+    links = saved(links.unionByName(_linked(again, sets, percent)), "links-so-far")
     tried = tried.unionByName(again)
     # Last, what is still in buckets with more than one component.
     still = _open_rows(crowd, components(links)).select("key", "id", "n", "component", "members").join(all_sets.select("id", "sketch"), "id")
     cross = _crossing(still, percent).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(_linked(cross, texts, width, percent))
+    links = links.unionByName(_linked(cross, sets, percent))
+    dropped(sets)
     found = components(links)
     out = member.join(found.withColumnRenamed("id", "node"), "node", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
