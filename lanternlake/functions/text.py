@@ -185,21 +185,6 @@ def safe_identifier(value: Column) -> Column:
     return ~value.contains("..") & ~value.rlike("[/\\\\:;|$`\"'<>\n\r]") & ~F.lower(value).rlike("^(file|http)")
 
 
-def uuid_error(value: Column, key: str) -> Column:
-    """What is wrong with a required UUID argument, null if nothing is."""
-    uuid = r"^\{?[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}\}?$"
-    return F.when(value.isNull(), F.lit(f"Missing required argument '{key}'.")).when(~F.trim(value).rlike(uuid), F.lit(f"Argument '{key}' must be a valid UUID."))
-
-
-def string_error(value: Column, key: str, most: int) -> Column:
-    t = F.trim(value)
-    return (
-        F.when(value.isNull(), F.lit(f"Missing required argument '{key}'."))
-        .when(t == "", F.lit(f"Argument '{key}' must not be empty."))
-        .when(F.length(t) > most, F.lit(f"Argument '{key}' exceeds the maximum length of {most}."))
-    )
-
-
 # fixed values: failure codes and their categories; all others are INTERNAL
 FAILURE_CATEGORIES = {"AI_VALIDATION_FAILED": "VALIDATION", "LLM_RATE_LIMITED": "RATE_LIMIT", "AI_TIMEOUT": "TIMEOUT", "AI_UNAVAILABLE": "AI_PROVIDER", "JOB_TIMEOUT": "TIMEOUT", "TOOL_CALL_LIMIT_EXCEEDED": "VALIDATION"}
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lanternlake.functions.text import identifiers
+from lanternlake.operators.retrieval import fused, is_small, leg_hits
+from lanternlake.storage import checkpointed
+
 KS = (5, 10)
 
 
@@ -31,6 +37,50 @@ def case_metrics(found: DataFrame, gold: DataFrame, legs: DataFrame, ks: tuple[i
     return out.select("case_id", "leg", "k", F.round(F.col("hits") / F.col("n_gold"), 6).alias("recall"), F.round(F.col("hits") / F.col("k"), 6).alias("precision"), F.round(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.least(F.col("hits"), F.lit(1)).cast("int").alias("hit"))
 
 
+#: The strategies that are compared, and why one is left out for a case.
+LEGS = ("vector", "keyword", "dependency", "hybrid")
+NO_TERMS, NO_GOLD = "no identifiers in the query", "no expected evidence"
+
+
+def leg_results(cases: DataFrame, chunks: DataFrame, vectors: DataFrame, gold: DataFrame, top: int = max(KS)) -> tuple[DataFrame, DataFrame]:
+    """(case_id, leg, source_key, rank) of the first `top` chunks of each case and leg by source, and (case_id, leg, reason) of what was skipped.
+
+    cases: (case_id, project_id, text, vector); chunks: (chunk_id, project_id, content, symbol, source_key); gold: (case_id, source_key). The three legs are searched once
+    each, with the identifiers of a case's text as the symbols of its dependency leg; hybrid fuses them all. A case without gold is skipped
+    in every leg, one without identifiers in the dependency leg. All rest is ranked as it stands: a leg that finds nothing is not skipped.
+    """
+    asked = cases.select(F.col("case_id").alias("query_id"), "project_id", "text", "vector", identifiers(F.col("text")).alias("symbols"))
+    hits = checkpointed(leg_hits(asked, chunks, vectors, ["vector", "keyword", "dependency"]))
+    found = reduce(DataFrame.unionByName, [fused(hits, leg, top).select("query_id", "chunk_id", "rank", F.lit(leg).alias("leg")) for leg in LEGS])
+    keyed = found.join(chunks.select("chunk_id", "source_key"), "chunk_id").select(F.col("query_id").alias("case_id"), "leg", "source_key", "rank")
+    legs = F.explode(F.array(*map(F.lit, LEGS))).alias("leg")
+    known = gold.select(F.col("case_id").alias("query_id"), F.lit(True).alias("known")).distinct()
+    reasons = asked.join(known, "query_id", "left").select(F.col("query_id").alias("case_id"), "symbols", "known", legs)
+    reason = F.when((F.col("leg") == "dependency") & (F.size("symbols") == 0), NO_TERMS).when(F.col("known").isNull(), NO_GOLD)
+    skipped = checkpointed(reasons.select("case_id", "leg", reason.alias("reason")).where("reason is not null"))
+    return deduplicated(keyed.join(skipped, ["case_id", "leg"], "left_anti")), skipped
+
+
+def passage_gold(cases: DataFrame, chunks: DataFrame, words: int = 5) -> DataFrame:
+    """(case_id, source_key): the sources of the chunks (project_id, content, source_key) of a case's project that hold its text (case_id, project_id, text).
+
+    Words 2 to `words` + 1 of the text, which stand whole in whatever holds it, are joined with all runs of as many words; then the text is looked
+    for. A text of fewer words than these and one more is looked for by all the words between its first and last, and has no gold if there are none.
+    """
+    split = lambda c: F.split(c, r"\s+")
+    parts = split(F.col("text"))
+    inner = F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.least(F.lit(words), F.size(parts) - 2)))
+    asked = checkpointed(cases.select("case_id", "project_id", "text", F.array_join(inner, " ").alias("run"), F.size(inner).alias("n")).where("n > 0"))
+    held = []
+    # One pass for each length that occurs, `words` of them at most.
+    for n in [r[0] for r in asked.select("n").distinct().collect()]:
+        all_words = split(F.col("content"))
+        runs = F.transform(F.sequence(F.lit(0), F.size(all_words) - n), lambda i: F.array_join(F.slice(all_words, i + 1, F.lit(n)), " "))
+        rows = chunks.where(F.size(all_words) >= n).select("project_id", "content", "source_key", F.explode(F.array_distinct(runs)).alias("run"))
+        held.append(rows.join(F.broadcast(asked.where(F.col("n") == n)) if is_small(asked) else asked.where(F.col("n") == n), ["project_id", "run"]).where(F.col("content").contains(F.col("text"))).select("case_id", "source_key"))
+    return reduce(DataFrame.unionByName, held).distinct() if held else cases.select("case_id", F.lit(None).cast("string").alias("source_key")).limit(0)
+
+
 def leg_summary(metrics: DataFrame) -> DataFrame:
     """(leg, k, n_cases, recall, precision, mrr, hit_rate): means over the cases, to six places."""
     mean = lambda c: F.round(F.avg(c), 6)

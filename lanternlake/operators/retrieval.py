@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -136,22 +138,28 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, strategy:
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
-    legs = []
-    if strategy in ("hybrid", "vector"):
-        legs.append(vector_topk(queries, chunks, vectors, version=version).withColumn("leg", F.lit("vector")))
-    if strategy in ("hybrid", "keyword"):
-        legs.append(keyword_topk(queries, chunks).withColumn("leg", F.lit("keyword")))
-    if {"paths", "symbols", "services"} & set(queries.columns):
-        legs.append(dependency_leg(queries, chunks).withColumn("leg", F.lit("dependency")))
+    legs = [leg for leg in ("vector", "keyword") if strategy in ("hybrid", leg)] + ["dependency"] * bool(TERMS & set(queries.columns))
     if not legs:
         return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, chunk_id bigint, score double, vector double, keyword int, dependency int")
-    both = legs[0]
-    for leg in legs[1:]:
-        both = both.unionByName(leg)
+    return fused(leg_hits(queries, chunks, vectors, legs, version), strategy, top)
+
+
+#: Columns of a query that the dependency leg looks for.
+TERMS = {"paths", "symbols", "services"}
+
+
+def leg_hits(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, legs: list[str], version: str | None = None) -> DataFrame:
+    """(query_id, chunk_id, rank, score, leg): the candidates of each leg."""
+    made = {"vector": lambda: vector_topk(queries, chunks, vectors, version=version), "keyword": lambda: keyword_topk(queries, chunks), "dependency": lambda: dependency_leg(queries, chunks)}
+    return reduce(DataFrame.unionByName, [made[leg]().withColumn("leg", F.lit(leg)) for leg in legs])
+
+
+def fused(hits: DataFrame, strategy: str, top: int = TOP_K) -> DataFrame:
+    """(query_id, rank, chunk_id, score, vector, keyword, dependency) from rows of leg_hits(), by one leg's scores or the sum of 1/(k + rank) over all."""
     of = lambda leg, c: F.max(F.when(F.col("leg") == leg, F.col(c)))
     score = F.sum(F.lit(1.0) / (F.lit(RRF_K) + F.col("rank"))) if strategy == "hybrid" else of(strategy, "score")
-    fused = both.groupBy("query_id", "chunk_id").agg(F.round(score, 6).alias("score"), F.round(of("vector", "score"), 6).alias("vector"), of("keyword", "rank").alias("keyword"), of("dependency", "rank").alias("dependency"))
-    return ranked(fused.where("score is not null"), top, F.desc("score"), "chunk_id").select("query_id", "rank", "chunk_id", "score", "vector", "keyword", "dependency")
+    both = hits.groupBy("query_id", "chunk_id").agg(F.round(score, 6).alias("score"), F.round(of("vector", "score"), 6).alias("vector"), of("keyword", "rank").alias("keyword"), of("dependency", "rank").alias("dependency"))
+    return ranked(both.where("score is not null"), top, F.desc("score"), "chunk_id").select("query_id", "rank", "chunk_id", "score", "vector", "keyword", "dependency")
 
 
 def hydrate(found: DataFrame, chunks: DataFrame) -> DataFrame:

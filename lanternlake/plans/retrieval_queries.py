@@ -13,6 +13,7 @@ from lanternlake.operators import evidence as P
 from lanternlake.operators import ingest as I
 from lanternlake.operators import retrieval as R
 from lanternlake.sources import tables as S
+from lanternlake.storage import checkpointed
 
 
 def query_set(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,33 +197,43 @@ def json_evidence_ids(spark, sf):
 # ---------------------------------------------------------------- evaluation
 
 
-def _found(spark, sf):
-    """Vector and label: each vector whose id divides by 20 asks all others of any project; the sources are vector ids, the gold those of its label."""
-    v = S.vectors(spark, sf)
-    q = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.lit("all").alias("project_id"), "vector")
-    chunks = v.select("chunk_id", F.lit("all").alias("project_id"))
-    near = R.vector_topk(q, chunks, v, k=11).where("query_id <> chunk_id")
-    every = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("label").alias("wanted"))
-    first = R.ranked(v.select("chunk_id", "label").join(R.small(every), F.pmod("chunk_id", F.lit(10)) == F.pmod("query_id", F.lit(10))).where("chunk_id <> query_id").select("query_id", "chunk_id"), 10, "chunk_id")
-    found = near.select("query_id", "chunk_id", "rank").withColumn("leg", F.lit("vector")).unionByName(first.select("query_id", "chunk_id", "rank").withColumn("leg", F.lit("modulo")))
-    gold = v.select("label", F.col("chunk_id").alias("source_key")).join(R.small(every), F.col("label") == F.col("wanted")).where("source_key <> query_id").select(F.col("query_id").alias("case_id"), "source_key")
-    return E.deduplicated(found.select(F.col("query_id").alias("case_id"), "leg", F.col("chunk_id").alias("source_key"), "rank")), gold, spark.createDataFrame([("vector",), ("modulo",)], "leg string")
-
-
-_FOUND_SQL = f"""{VECS}, qv AS (SELECT chunk_id AS query_id, vector, label AS wanted FROM vecs WHERE chunk_id % 20 = 0),
-  near AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM (SELECT q.query_id, v.chunk_id, round({_cos("v.vector", "q.vector")}, 6) AS raw FROM vecs v, qv q)) WHERE rank <= 11 AND query_id <> chunk_id),
-  modulo AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM vecs JOIN qv ON chunk_id % 10 = query_id % 10 WHERE chunk_id <> query_id) WHERE rank <= 10),
-  found AS (SELECT case_id, leg, source_key, row_number() OVER (PARTITION BY case_id, leg ORDER BY rank, source_key) AS rank FROM (SELECT query_id AS case_id, 'vector' AS leg, chunk_id AS source_key, rank FROM near UNION ALL SELECT query_id, 'modulo', chunk_id, rank FROM modulo)),
-  gold AS (SELECT query_id AS case_id, chunk_id AS source_key FROM vecs JOIN qv ON label = wanted WHERE chunk_id <> query_id),
+def _cases(spark, sf):
+    """(cases, chunks, gold): the benchmark items ask all documents as one project; their gold are the documents that hold their text."""
+    cases = query_set(spark, sf).select(F.col("query_id").alias("case_id"), F.lit("all").alias("project_id"), "text", "vector")
+    chunks = S.documents(spark, sf).select("chunk_id", F.lit("all").alias("project_id"), "content", F.get(X.identifiers(F.col("content")), F.lit(0)).alias("symbol"), X.source_key(F.col("path"), F.lit(None).cast("string")).alias("source_key"))
+    return cases, chunks, checkpointed(E.passage_gold(cases, chunks))
+
+
+_FOUND_SQL = f"""{DOCS.replace("docs AS", "d0 AS", 1)}, docs AS (SELECT * REPLACE ('all' AS project_id), chunk_id || '.txt' AS source_key FROM d0), {VECS},
+  names AS (SELECT chunk_id, content, list_filter(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*'))[1] AS symbol FROM docs),
+  qs AS (SELECT item_id AS query_id, 'all' AS project_id, text, embedding::DOUBLE[] AS vector,
+    list_slice(list_filter(t, lambda x, k: list_position(t, x) = k), 1, 20) AS symbols FROM (SELECT *, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*')) AS t FROM benchmark) LEFT JOIN embeddings ON vec_id = item_id),
+  {vector_sql()}, {KEYWORD_SQL},
+  dleg AS (SELECT query_id, chunk_id, rank::INT AS rank, 1.0::DOUBLE / rank AS score FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM names JOIN qs ON list_contains(symbols, symbol)) WHERE rank <= 50),
+  hits AS (SELECT *, 'vector' AS leg FROM vleg UNION ALL SELECT *, 'keyword' FROM kleg UNION ALL SELECT *, 'dependency' FROM dleg),
+  scored AS (SELECT query_id, chunk_id, leg, round(score, 6) AS score FROM hits UNION ALL SELECT query_id, chunk_id, 'hybrid', round(sum(1.0::DOUBLE / (60 + rank)), 6) FROM hits GROUP BY 1, 2),
+  top AS (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 10),
+  gold AS (SELECT query_id AS case_id, source_key FROM qs JOIN docs ON contains(content, text)),
+  skips AS (SELECT query_id AS case_id, leg, CASE WHEN leg = 'dependency' AND len(symbols) = 0 THEN 'no identifiers in the query' WHEN query_id NOT IN (SELECT case_id FROM gold) THEN 'no expected evidence' END AS reason
+    FROM qs CROSS JOIN (VALUES ('vector'), ('keyword'), ('dependency'), ('hybrid')) l(leg)),
+  found AS (SELECT query_id AS case_id, leg, source_key, rank FROM top JOIN docs USING (chunk_id)),
   sizes AS (SELECT case_id, count(DISTINCT source_key) AS n_gold FROM gold GROUP BY 1),
-  metrics AS (SELECT s.case_id, l.leg, k.k, round(count(g.source_key) FILTER (WHERE f.rank <= k.k) / n_gold::DOUBLE, 6) AS recall, round(count(g.source_key) FILTER (WHERE f.rank <= k.k) / k.k::DOUBLE, 6) AS precision,
+  metrics AS (SELECT s.case_id, p.leg, k.k, round(count(g.source_key) FILTER (WHERE f.rank <= k.k) / n_gold::DOUBLE, 6) AS recall, round(count(g.source_key) FILTER (WHERE f.rank <= k.k) / k.k::DOUBLE, 6) AS precision,
     round(coalesce(1.0::DOUBLE / min(CASE WHEN g.source_key IS NOT NULL THEN f.rank END), 0.0), 6) AS mrr, least(count(g.source_key) FILTER (WHERE f.rank <= k.k), 1)::INT AS hit
-    FROM sizes s CROSS JOIN (VALUES ('vector'), ('modulo')) l(leg) CROSS JOIN (VALUES (5), (10)) k(k) LEFT JOIN found f ON f.case_id = s.case_id AND f.leg = l.leg LEFT JOIN gold g ON g.case_id = f.case_id AND g.source_key = f.source_key GROUP BY s.case_id, l.leg, k.k, n_gold),
+    FROM sizes s JOIN skips p ON p.case_id = s.case_id AND p.reason IS NULL CROSS JOIN (VALUES (5), (10)) k(k) LEFT JOIN found f ON f.case_id = s.case_id AND f.leg = p.leg LEFT JOIN gold g ON g.case_id = f.case_id AND g.source_key = f.source_key GROUP BY s.case_id, p.leg, k.k, n_gold),
   summary AS (SELECT leg, k, count(*) AS n_cases, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(hit), 6) AS hit_rate FROM metrics GROUP BY ALL)"""
 
 
 def _metrics(spark, sf):
-    return E.case_metrics(*_found(spark, sf))
+    cases, chunks, gold = _cases(spark, sf)
+    found, skipped = E.leg_results(cases, chunks, S.vectors(spark, sf), gold)
+    legs = spark.createDataFrame([(x,) for x in E.LEGS], "leg string")
+    return E.case_metrics(found, gold, legs).join(skipped, ["case_id", "leg"], "left_anti")
+
+
+def evaluation_skips(spark, sf):
+    cases, chunks, gold = _cases(spark, sf)
+    return E.leg_results(cases, chunks, S.vectors(spark, sf), gold)[1]
 
 
 def recall_precision_at_k(spark, sf):
@@ -265,7 +276,7 @@ QUERIES = {
     for f in (
         vector_topk, vector_topk_filtered, keyword_topk, keyword_match_filter, dependency_leg, rrf_fuse, hybrid_search, hydrate_attribution, multi_query_merge,
         stale_embeddings, ingest_delta, content_hash, normalize_text, tokenize_counts, identifier_terms, sanitize_lines, source_key, section_chunks, line_budget_pack,
-        evidence_index, grounding_violations, json_evidence_ids, recall_precision_at_k, mrr_hit, leg_summary, leg_contribution, baseline_delta, embed_text, code_chunks, diff_preview,
+        evidence_index, grounding_violations, json_evidence_ids, recall_precision_at_k, mrr_hit, leg_summary, evaluation_skips, leg_contribution, baseline_delta, embed_text, code_chunks, diff_preview,
     )
 }
 
@@ -317,6 +328,7 @@ SQL = {
     "recall_precision_at_k": f"WITH {_FOUND_SQL} SELECT case_id, leg, k, recall, precision FROM metrics",
     "mrr_hit": f"WITH {_FOUND_SQL} SELECT case_id, leg, k, mrr, hit FROM metrics",
     "leg_summary": f"WITH {_FOUND_SQL} SELECT * FROM summary",
+    "evaluation_skips": f"WITH {_FOUND_SQL} SELECT * FROM skips WHERE reason IS NOT NULL",
     "leg_contribution": f"""{WITH}, {HYBRID_SQL} SELECT unnest(['vector', 'keyword', 'dependency']) AS signal, unnest([round(avg((vector IS NOT NULL)::INT), 6), round(avg((keyword IS NOT NULL)::INT), 6), round(avg((dependency IS NOT NULL)::INT), 6)]) AS share FROM hits""",
     "baseline_delta": f"""WITH {_FOUND_SQL}, l AS (SELECT leg, k, unnest(['recall', 'precision', 'mrr', 'hit_rate']) AS metric, unnest([recall, precision, mrr, hit_rate]) AS current FROM summary)
       SELECT leg, k, metric, round(current * 0.5, 6) AS baseline, current, round(current - round(current * 0.5, 6), 6) AS delta FROM l WHERE k = 10""",

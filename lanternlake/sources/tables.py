@@ -108,11 +108,3 @@ def target_state(disk: DataFrame, changed: DataFrame) -> DataFrame:
     over = changed.select("path", F.col("content").alias("new"), F.lit(True).alias("touched"))
     joined = disk.select("path", "content").join(over, "path", "full_outer")
     return joined.select("path", F.when(F.coalesce("touched", F.lit(False)), F.col("new")).otherwise(F.col("content")).alias("content")).where("content is not null")
-
-
-def versioned(revisions: DataFrame, base: str, target: str | None) -> DataFrame:
-    """(path, base_content, target_content, warning) from (path, rev, content); target None is the working tree, rev null."""
-    a = revisions.where(F.col("rev") == base).select("path", F.col("content").alias("base_content"))
-    b = revisions.where(F.col("rev").eqNullSafe(F.lit(target))).select("path", F.col("content").alias("target_content"))
-    both = a.join(b, "path", "full_outer")
-    return both.withColumn("warning", F.when(F.col("base_content").isNull() & F.col("target_content").isNull(), F.concat(F.lit("No content for "), "path")))
