@@ -76,8 +76,9 @@ def checked(records: DataFrame, known: DataFrame, subject_col: str = "subject",
 
 def integer_argument(json: Column, field: str, default: int) -> Column:
     """An optional integer of a record: its value, or the default where it is missing, null or no integer."""
-    value = F.try_variant_get(F.try_parse_json(json), f"$.{field}", "bigint")
-    return F.coalesce(value, F.lit(default).cast("bigint"))
+    value = F.try_variant_get(F.try_parse_json(json), f"$.{field}", "variant")
+    whole = F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+    return F.coalesce(whole, F.lit(default).cast("bigint"))
 
 
 def raw_data(json: Column) -> Column:

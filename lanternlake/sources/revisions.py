@@ -73,9 +73,10 @@ class RevisionReader(DataSourceReader):
         names = [(rev, p) for rev, p in names if not set(p.split("/")) & set(BUILD_FOLDERS)]
         return [Files(names[k : k + FILES_A_TASK]) for k in range(0, len(names), FILES_A_TASK)]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files | None) -> Iterator[tuple]:
         store, root = _opened(self.root)
-        for rev, path in partition.names:
+        # Where there is no file, Spark asks once without a partition.
+        for rev, path in partition.names if partition else ():
             try:
                 with store.open_input_stream(f"{root}/{rev}/{path}") as stream:
                     yield rev, path, stream.read().decode("utf-8"), None
