@@ -58,6 +58,12 @@ def direct(nodes: DataFrame, edges: DataFrame, symbol: str, dependents: bool = F
     return nodes.join(ids, "symbol_id", "left_semi").orderBy("fqn")
 
 
+def by_name(nodes: DataFrame, by: str = "project") -> DataFrame:
+    """nodes (symbol_id, name, ...) with place: their order by name in any case of letters, then by name and id, within each value of `by`."""
+    order = Window.partitionBy(by).orderBy(F.collate("name", "UTF8_LCASE"), "name", "symbol_id")
+    return nodes.withColumn("place", F.row_number().over(order))
+
+
 def reach(seeds: DataFrame, edges: DataFrame, depth: int, nodes: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """(symbol_id, level): what depends on the seeds (symbol_id) within `depth` steps, at the first level, seeds left out.
 

@@ -110,6 +110,20 @@ def gold_coverage(cited: DataFrame, gold: DataFrame) -> DataFrame:
     return low(gold).join(low(cited).withColumn("hit", F.lit(1)), ["case_id", "s"], "left").groupBy("case_id").agg(F.count("hit").alias("covered"), F.count("*").alias("n_gold"))
 
 
+def matched_sources(cited: DataFrame, gold: DataFrame) -> DataFrame:
+    """(case_id, source_key, cited_key, tier) of each expected source (case_id, source_key): the cited one that is the same, or else the smallest that is the same in any case of letters; null for none.
+
+    Letters are compared by a collation, so keys are joined by equality as they are.
+    """
+    blind = lambda c: F.collate(c, "UTF8_LCASE").alias("blind")
+    wanted = gold.select("case_id", "source_key").distinct()
+    same = cited.select("case_id", "source_key", F.lit(True).alias("same")).distinct()
+    folded = cited.select("case_id", "source_key", blind("source_key")).groupBy("case_id", "blind").agg(F.min("source_key").alias("near"))
+    both = wanted.join(same, ["case_id", "source_key"], "left").withColumn("blind", F.collate("source_key", "UTF8_LCASE")).join(folded, ["case_id", "blind"], "left")
+    tier = F.when(F.col("same"), "exact").when(F.col("near").isNotNull(), "case-blind")
+    return both.select("case_id", "source_key", F.when(F.col("same"), F.col("source_key")).otherwise(F.col("near")).alias("cited_key"), tier.alias("tier"))
+
+
 def outcome_counts(cases: DataFrame, *flags: str) -> DataFrame:
     """One row: cases, and for each flag how many have it."""
     return cases.agg(F.count("*").alias("n_cases"), *(F.count_if(F.col(f)).alias(f) for f in flags))

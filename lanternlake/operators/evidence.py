@@ -109,11 +109,3 @@ def token_cost(tokens_in: Column, tokens_out: Column, price_in: float | None, pr
     if price_in is None or price_out is None:
         return F.lit(None).cast("double")
     return F.round((tokens_in * price_in + tokens_out * price_out) / 1_000_000.0, 6)
-
-
-def mock_result(index: DataFrame) -> DataFrame:
-    """(request_id, risk, evidence_ids): the deterministic stand-in for a model: three ids at most, HIGH from three on, MEDIUM from one."""
-    w = Window.partitionBy("request_id").orderBy("section", "position", "evidence_id")
-    first = index.withColumn("n", F.row_number().over(w)).where("n <= 3").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("n", "evidence_id"))).alias("x"))
-    ids = F.transform("x", lambda x: x["evidence_id"])
-    return first.select("request_id", F.when(F.size(ids) > 2, "HIGH").when(F.size(ids) > 0, "MEDIUM").otherwise("LOW").alias("risk"), ids.alias("evidence_ids"))

@@ -56,7 +56,7 @@ VECTORS_SQL = "vecs AS (SELECT vec_id AS chunk_id, CASE WHEN vec_id % 10 = 0 THE
 
 
 def code_files(spark: SparkSession, folder: str, project: str, pattern: str = "*.cs") -> DataFrame:
-    """(id, project_id, document_type, path, title, content) of all source files under a folder, build output left out."""
+    """(id, project_id, document_type, path, title, content) of all source files under a folder, build output and empty files left out."""
     raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select("value", F.col("_metadata.file_path").alias("file"))
     root = folder.rstrip("/").removeprefix("file:") + "/"
     path = F.element_at(F.split("file", root, 2), -1)
