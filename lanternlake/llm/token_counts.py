@@ -172,7 +172,10 @@ def count_edited(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def sample_edits(text, doc_id) -> F.Column:
-    """Three edits that follow from a document's id and length: one replaces some characters, one inserts a line, one deletes."""
+    """Three edits that follow from a document's id and length: one replaces some characters, one inserts a line, one deletes.
+
+    A null text counts as empty and a null id as the empty string, so rows with equal ids and lengths have the same edits.
+    """
     n = F.length(F.coalesce(text, F.lit("")))
     key = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
     edit = lambda start, end, new: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(new).alias("new"))

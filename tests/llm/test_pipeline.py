@@ -70,6 +70,36 @@ def test_all_is_encoded(stages, library):  # noqa: F811
     assert sorted((tuple(r.values()) for r in encoded), key=repr) == plain(library, [(r["doc_id"], r["text"]) for r in mixed])
 
 
+ODD = [(1, "word " * 200, "en", "a", 1000), (1, "word " * 200, "en", "a", 1000), (1, "other words here", "en", None, 16), (None, "word " * 200, "en", "a", 1000), (None, "alone with no id", None, "b", None), (2, None, None, "a", None), (2, None, None, "a", None), (3, "", "en", "b", 0), (4, " \n\t ", "en", None, 4), (5, "é" * 3000, "fr", "c", 3000), (6, "one", "en", "c", 3)]
+
+
+def test_stages_over_awkward_rows(spark, sf_dir):
+    """Null and repeated ids, texts and sources, blanks, and rows that are equal in all."""
+    from lanternlake.llm.common import saved
+
+    docs = spark.createDataFrame(ODD, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = saved(stage(spark, docs, sf_dir), name)
+        kept[name] = [r.asDict() for r in docs.collect()]
+    texts = lambda name: sorted((str(r["doc_id"]), r["text"]) for r in kept[name] if r["text"] and r["text"].strip())
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept["toxicity"]) == sorted((str(i), t or "") for i, t, *_ in ODD)
+    # One of the copies stays, under an id that is not null; what has no word stays as it is.
+    assert texts("minhash_near_dedup") == sorted([("1", "word " * 200), ("1", "other words here"), ("None", "alone with no id"), ("5", "é" * 3000), ("6", "one")])
+    assert sum(not (r["text"] or "").strip() for r in kept["minhash_near_dedup"]) == 4
+    # Each remaining copy of 400 bytes within one text goes, too.
+    assert {len(r["text"] or "") for r in kept["suffix_array_dedup"] if r["doc_id"] == 5} == {0}
+    assert len(kept["suffix_array_dedup"]) == len(kept["minhash_near_dedup"])
+    assert all(WORD.findall(r["text"]) for r in kept["mix_sources"]) and len(kept["bpe_encode"]) == len(kept["mix_sources"])
+
+
+def test_stages_over_an_empty_table(spark, sf_dir, empty):
+    docs = empty
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.collect() == []
+
+
 def test_registered(spark):
     names = entry_point.queries()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
