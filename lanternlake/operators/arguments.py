@@ -82,6 +82,6 @@ def integer_argument(json: Column, field: str, default: int) -> Column:
 
 
 def raw_data(json: Column) -> Column:
-    """(data variant, valid boolean) of an event's raw text: null text has no data and is valid, text that is no JSON has none and is not."""
+    """(data variant, valid boolean) of an event's raw text: null text has no data and is valid, text that is no JSON has none and is not. What stands after a whole value is passed over, as Spark's parser does."""
     data = F.try_parse_json(json)
     return F.struct(data.alias("data"), (json.isNull() | data.isNotNull()).alias("valid"))

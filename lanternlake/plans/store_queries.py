@@ -112,7 +112,7 @@ def argument_errors(spark, sf):
 
 def event_raw_data(spark, sf):
     n = F.col("event_id")
-    e = S.read(spark, sf, "events").select(n, F.when(n % 9 == 0, F.lit(None)).when(n % 9 == 1, F.concat("props", F.lit("}"))).otherwise(F.col("props")).alias("raw"))
+    e = S.read(spark, sf, "events").select(n, F.when(n % 9 == 0, F.lit(None)).when(n % 9 == 1, F.concat(F.lit("{"), "props")).otherwise(F.col("props")).alias("raw"))
     r = A.raw_data(F.col("raw"))
     return e.select("event_id", r["valid"].alias("valid"), F.try_variant_get(r["data"], "$.k", "bigint").alias("k"))
 

@@ -55,7 +55,7 @@ SQL = {
       SELECT g.case_id, source_key, coalesce(max(CASE WHEN k = source_key THEN k END), min(k)) AS cited_key, CASE WHEN bool_or(k = source_key) THEN 'exact' WHEN count(k) > 0 THEN 'case-blind' END AS tier FROM g LEFT JOIN c ON c.case_id = g.case_id AND lower(k) = lower(source_key) GROUP BY 1, 2""",
     "incident_evidence": f"""WITH {DOCS}, {O.EVENTS_SQL}, {O.INCIDENTS_SQL}, i AS (SELECT incident_id, project_id, title, 'src' || (incident_id % 20) AS service FROM inc WHERE incident_id % 20 = 0),
       f AS (SELECT incident_id, message, row_number() OVER (PARTITION BY incident_id ORDER BY occurred_at, event_id) AS n FROM ev WHERE type IN ('Error', 'Log')),
-      y AS (SELECT incident_id, message, row_number() OVER (PARTITION BY incident_id ORDER BY min(n)) AS k FROM f WHERE n <= 20 GROUP BY ALL QUALIFY k <= 5),
+      y AS (SELECT incident_id, message, row_number() OVER (PARTITION BY incident_id ORDER BY min(n)) AS k FROM f WHERE n <= 20 GROUP BY incident_id, message QUALIFY k <= 5),
       a AS (SELECT incident_id, project_id, service, title AS text, 0 AS k FROM i UNION ALL SELECT incident_id, project_id, service, message, k FROM i JOIN y USING (incident_id) UNION ALL SELECT incident_id, project_id, service, service, 100 FROM i),
       qs AS (SELECT incident_id || '#' || (row_number() OVER (PARTITION BY incident_id ORDER BY k) - 1) AS query_id, incident_id AS request_id, (row_number() OVER (PARTITION BY incident_id ORDER BY k) - 1)::INT AS query_ord, project_id, text, service AS wanted FROM a), {KEYWORD_SQL},
       dleg AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM docs JOIN qs USING (project_id) WHERE service = wanted QUALIFY rank <= 50),
