@@ -104,6 +104,13 @@ def test_costs(spark):
     assert df.select(P.token_cost(F.col("i"), F.col("o"), None, 4.0).alias("c")).first().c is None
 
 
+def test_evidence_ids_in_rendered_texts(spark):
+    from lanternlake.operators import workflow as W
+
+    text = "- chunk:1\n-  symbol:X.Y \n- dependency:a -> b\r\n- dependency:a - b\n chunk:2\n- other:3\n- chunk:\n- chunk:a b\n- note chunk:4\n-chunk:5\n- change:src/a.cs"
+    assert of(spark, [text, "", None], W.evidence_ids_in) == [["chunk:1", "symbol:X.Y", "dependency:a -> b", "change:src/a.cs"], [], []]
+
+
 def test_providers(spark):
     out = of(spark, ["two words", ""], lambda c: V.PROVIDERS["hashed-words"](c, 16), "string")
     assert all(len(v) == 16 and abs(sum(x * x for x in v) - 1) < 1e-9 for v in out)
