@@ -198,22 +198,22 @@ def json_evidence_ids(spark, sf):
 
 
 def _cases(spark, sf):
-    """(cases, chunks, gold): the benchmark items ask all documents as one project; their gold are the documents that hold their text."""
-    cases = query_set(spark, sf).select(F.col("query_id").alias("case_id"), F.lit("all").alias("project_id"), "text", "vector")
-    chunks = S.documents(spark, sf).select("chunk_id", F.lit("all").alias("project_id"), "content", F.get(X.identifiers(F.col("content")), F.lit(0)).alias("symbol"), X.source_key(F.col("path"), F.lit(None).cast("string")).alias("source_key"))
+    """(cases, chunks, gold): the benchmark items ask the documents of their project; their gold are those that hold their text."""
+    cases = query_set(spark, sf).select(F.col("query_id").alias("case_id"), "project_id", "text", "vector")
+    chunks = S.documents(spark, sf).select("chunk_id", "project_id", "content", F.get(X.identifiers(F.col("content")), F.lit(0)).alias("symbol"), X.source_key(F.col("path"), F.lit(None).cast("string")).alias("source_key"))
     return cases, chunks, checkpointed(E.passage_gold(cases, chunks))
 
 
-_FOUND_SQL = f"""{DOCS.replace("docs AS", "d0 AS", 1)}, docs AS (SELECT * REPLACE ('all' AS project_id), chunk_id || '.txt' AS source_key FROM d0), {VECS},
-  names AS (SELECT chunk_id, content, list_filter(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*'))[1] AS symbol FROM docs),
-  qs AS (SELECT item_id AS query_id, 'all' AS project_id, text, embedding::DOUBLE[] AS vector,
+_FOUND_SQL = f"""{DOCS.replace("docs AS", "d0 AS", 1)}, docs AS (SELECT *, chunk_id || '.txt' AS source_key FROM d0), {VECS},
+  names AS (SELECT chunk_id, project_id, list_filter(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*'))[1] AS symbol FROM docs),
+  qs AS (SELECT item_id AS query_id, 'p' || (item_id % 5) AS project_id, text, embedding::DOUBLE[] AS vector,
     list_slice(list_filter(t, lambda x, k: list_position(t, x) = k), 1, 20) AS symbols FROM (SELECT *, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*')) AS t FROM benchmark) LEFT JOIN embeddings ON vec_id = item_id),
   {vector_sql()}, {KEYWORD_SQL},
-  dleg AS (SELECT query_id, chunk_id, rank::INT AS rank, 1.0::DOUBLE / rank AS score FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM names JOIN qs ON list_contains(symbols, symbol)) WHERE rank <= 50),
+  dleg AS (SELECT query_id, chunk_id, rank::INT AS rank, 1.0::DOUBLE / rank AS score FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM names JOIN qs USING (project_id) WHERE list_contains(symbols, symbol)) WHERE rank <= 50),
   hits AS (SELECT *, 'vector' AS leg FROM vleg UNION ALL SELECT *, 'keyword' FROM kleg UNION ALL SELECT *, 'dependency' FROM dleg),
   scored AS (SELECT query_id, chunk_id, leg, round(score, 6) AS score FROM hits UNION ALL SELECT query_id, chunk_id, 'hybrid', round(sum(1.0::DOUBLE / (60 + rank)), 6) FROM hits GROUP BY 1, 2),
   top AS (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 10),
-  gold AS (SELECT query_id AS case_id, source_key FROM qs JOIN docs ON contains(content, text)),
+  gold AS (SELECT query_id AS case_id, source_key FROM qs JOIN docs USING (project_id) WHERE contains(content, qs.text)),
   skips AS (SELECT query_id AS case_id, leg, CASE WHEN leg = 'dependency' AND len(symbols) = 0 THEN 'no identifiers in the query' WHEN query_id NOT IN (SELECT case_id FROM gold) THEN 'no expected evidence' END AS reason
     FROM qs CROSS JOIN (VALUES ('vector'), ('keyword'), ('dependency'), ('hybrid')) l(leg)),
   found AS (SELECT query_id AS case_id, leg, source_key, rank FROM top JOIN docs USING (chunk_id)),
