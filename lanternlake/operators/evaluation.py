@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanternlake.functions.text import identifiers
-from lanternlake.operators.retrieval import fused, is_small, leg_hits
+from lanternlake.operators.retrieval import fused, leg_hits, small
 from lanternlake.storage import checkpointed
 
 KS = (5, 10)
@@ -71,14 +71,20 @@ def passage_gold(cases: DataFrame, chunks: DataFrame, words: int = 5) -> DataFra
     parts = split(F.col("text"))
     inner = F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.least(F.lit(words), F.size(parts) - 2)))
     asked = checkpointed(cases.select("case_id", "project_id", "text", F.array_join(inner, " ").alias("run"), F.size(inner).alias("n")).where("n > 0"))
+    join = small(asked.select("project_id", "run", "n", "case_id"))
+    # A mark stands for a chunk while its words are apart: its content would be copied to each of them.
+    marked = chunks.select("project_id", "content", "source_key", F.xxhash64("content", "source_key").alias("mark"))
     held = []
     # One pass for each length that occurs, `words` of them at most.
     for n in [r[0] for r in asked.select("n").distinct().collect()]:
-        all_words = split(F.col("content"))
-        runs = F.transform(F.sequence(F.lit(0), F.size(all_words) - n), lambda i: F.array_join(F.slice(all_words, i + 1, F.lit(n)), " "))
-        rows = chunks.where(F.size(all_words) >= n).select("project_id", "content", "source_key", F.explode(F.array_distinct(runs)).alias("run"))
-        held.append(rows.join(F.broadcast(asked.where(F.col("n") == n)) if is_small(asked) else asked.where(F.col("n") == n), ["project_id", "run"]).where(F.col("content").contains(F.col("text"))).select("case_id", "source_key"))
-    return reduce(DataFrame.unionByName, held).distinct() if held else cases.select("case_id", F.lit(None).cast("string").alias("source_key")).limit(0)
+        # An array of one element, so that the text is split once and not for each word.
+        runs = F.flatten(F.transform(F.array(split(F.col("content"))), lambda w: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))))
+        rows = marked.where("content is not null").select("project_id", "mark", F.explode(runs).alias("run"))
+        held.append(rows.join(join.where(F.col("n") == n), ["project_id", "run"]).select("project_id", "mark", "case_id"))
+    if not held:
+        return cases.select("case_id", F.lit(None).cast("string").alias("source_key")).limit(0)
+    likely = checkpointed(reduce(DataFrame.unionByName, held).distinct().join(asked.select("case_id", "project_id", "text").distinct(), ["case_id", "project_id"]))
+    return marked.join(small(likely), ["project_id", "mark"]).where(F.col("content").contains(F.col("text"))).select("case_id", "source_key").distinct()
 
 
 def leg_summary(metrics: DataFrame) -> DataFrame:

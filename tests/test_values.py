@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,3 +192,13 @@ def test_gold_by_passages(spark):
     chunks = spark.createDataFrame([("a", "p", "xx one two three four five six seven yy"), ("b", "p", "one two three four five six seventh"), ("c", "q", "one two three four five six seven"), ("d", "p", "short text here"), ("e", "p", None)], "source_key string, project_id string, content string")
     cases = spark.createDataFrame([(1, "p", "one two three four five six seven"), (2, "p", "t text her"), (3, "p", "word"), (4, "p", None), (5, "p", "ne two three four five six sev"), (6, "p", "one two  three four five six seven")], "case_id int, project_id string, text string")
     assert {tuple(r) for r in E.passage_gold(cases, chunks).collect()} == {(1, "a"), (1, "b"), (2, "d"), (5, "a"), (5, "b")}
+
+
+def test_gold_in_a_long_text_takes_the_text_apart_once(spark):
+    # 40,000 words: taken apart for each word, or carried with each, they are tens of thousands of times the text.
+    words = [f"w{i}" for i in range(40_000)]
+    chunks = spark.createDataFrame([("a", "p", " ".join(words)), (None, "p", " ".join(words[:20])), ("b", "q", " ".join(words))], "source_key string, project_id string, content string")
+    cases = spark.createDataFrame([(1, "p", " ".join(words[30_000:30_010])), (2, "p", "w3 w4 w5 w6"), (3, "p", "w3 w5 w4 w6 w7 w8 w9")], "case_id int, project_id string, text string")
+    began = time.perf_counter()
+    assert {tuple(r) for r in E.passage_gold(cases, chunks).collect()} == {(1, "a"), (2, "a"), (2, None)}
+    assert time.perf_counter() - began < 30
