@@ -36,6 +36,20 @@ def test_a_change_as_one_model(spark):
     assert {r.section for r in L.change_model(base, base, edges, contents).collect()} == set()
 
 
+def test_a_change_asks_for_its_actions_in_one_search(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("a search for each changed symbol")
+
+    monkeypatch.setattr(L.M, "walked", fail)
+    actions = [symbol("A.OController", "Class", "1"), *(symbol(f"A.OController.M{k}()", "Method", "1", "[HttpGet] M") for k in range(8))]
+    base = spark.createDataFrame([*actions, symbol("A.S.Run()", "Method", "1")], SYMBOL)
+    target = spark.createDataFrame([*actions[:-1], symbol("A.OController.M7()", "Method", "2", "[HttpGet] M"), symbol("A.S.Run()", "Method", "2")], SYMBOL)
+    names = ["A.S.Run()", *(f"A.OController.M{k}()" for k in range(7))]
+    edges = spark.createDataFrame(list(zip(names[1:], names)), "from_id string, to_id string")
+    out = L.change_model(base, target, edges, spark.createDataFrame([], "path string, content string")).where("section = 'api'")
+    assert {r.id for r in out.collect()} == {*names[1:6], "A.OController.M7()"}
+
+
 def test_evidence_of_a_change(spark):
     chunks = spark.createDataFrame([(k, "p", t, path, sym) for k, t, path, sym in [(1, "orders are paid late", "src/pay.cs", "Pay"), (2, "nothing", "src/own.cs", None), (3, "late orders", None, "Own"), (4, "orders", "x", "y")]] + [(5, "q", "orders late", "src/pay.cs", "Pay")], "chunk_id bigint, project_id string, content string, path string, symbol string")
     vectors = spark.createDataFrame([], "chunk_id bigint, vector array<double>")
