@@ -50,6 +50,20 @@ def test_a_change_asks_for_its_actions_in_one_search(spark, monkeypatch):
     assert {r.id for r in out.collect()} == {*names[1:6], "A.OController.M7()"}
 
 
+def test_requests_that_ask_the_same_are_searched_once(spark, monkeypatch):
+    chunks = spark.createDataFrame([(k, "p", "orders late" if k % 2 else "paid", f"s{k % 3}") for k in range(30)], "chunk_id bigint, project_id string, content string, service string")
+    vectors = spark.createDataFrame([], "chunk_id bigint, vector array<double>")
+    rows = [(k, 0, "p" if k % 4 else None, None if k == 9 else f"orders {k % 2}", None, None if k == 8 else [f"s{k % 3}"]) for k in range(40)]
+    asked = spark.createDataFrame(rows, "request_id bigint, query_ord int, project_id string, text string, vector array<double>, services array<string>")
+    sizes, legs = {}, {name: getattr(L.R, name) for name in ("keyword_topk", "dependency_leg")}
+    for name, leg in legs.items():
+        monkeypatch.setattr(L.R, name, lambda q, *a, n=name, f=leg: (sizes.__setitem__(n, q.count()), f(q, *a))[1])
+    out = {tuple(r) for r in L.asked_evidence(asked, chunks, vectors).collect()}
+    assert sizes == {"keyword_topk": 4, "dependency_leg": 7}
+    monkeypatch.setattr(L.R, "asked_once", lambda q, _, leg: leg(q))
+    assert out and out == {tuple(r) for r in L.asked_evidence(asked, chunks, vectors).collect()}
+
+
 def test_evidence_of_a_change(spark):
     chunks = spark.createDataFrame([(k, "p", t, path, sym) for k, t, path, sym in [(1, "orders are paid late", "src/pay.cs", "Pay"), (2, "nothing", "src/own.cs", None), (3, "late orders", None, "Own"), (4, "orders", "x", "y")]] + [(5, "q", "orders late", "src/pay.cs", "Pay")], "chunk_id bigint, project_id string, content string, path string, symbol string")
     vectors = spark.createDataFrame([], "chunk_id bigint, vector array<double>")
