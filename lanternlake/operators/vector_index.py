@@ -17,8 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternlake.functions.vector import cosine
-from lanternlake.operators.retrieval import CANDIDATES, ranked, small
+from lanternlake.operators.retrieval import CANDIDATES, ranked
 from lanternlake.storage import checkpointed, stored
 
 #: Vectors that the centroids are fitted on and probes are measured with, the ones with the least hashes of their ids; of these so many ask.
@@ -145,11 +144,80 @@ def _turns(queries: DataFrame, index: Index) -> DataFrame:
     return asked.mapInArrow(run, f"query_id {kinds['query_id']}, project_id {kinds['project_id']}, q array<double>, list int, turn int, bound double")
 
 
-def _met(turns: DataFrame, index: Index) -> DataFrame:
-    """(query_id, chunk_id, raw): the cosines of queries with the vectors of their project in their lists, to six places."""
+#: Vectors and queries that are compared in one block: a matrix of their cosines is all that a task holds.
+BLOCK, ASKED = 8192, 1024
+
+
+def _plain(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The rows of a list column by width: their places and values. Null vectors and those with a null are left out."""
+    by: dict[int, list] = {}
+    for i, v in enumerate(column):
+        if v.is_valid and not v.values.null_count:
+            by.setdefault(len(v), []).append((i, v.values.to_numpy(zero_copy_only=False)))
+    return {w: (np.array([i for i, _ in rows]), np.array([x for _, x in rows], float).reshape(len(rows), w)) for w, rows in by.items()}
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, added up in order as functions.vector does, so that the last bit is the same."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[:, d]
+    return out
+
+
+def _compared(k: int):
+    """What a block does: of its vectors, each query's k nearest and all that tie with the k-th when rounded, with their cosines."""
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, asking, raw = [], [], []
+        known = _plain(vectors.column("vector").combine_chunks())
+        with np.errstate(all="ignore"):
+            for width, (at, q) in _plain(queries.column("q").combine_chunks()).items():
+                if width not in known:
+                    continue
+                place, v = known[width]
+                near = (q @ v.T) / (np.sqrt(_dot(q, q))[:, None] * np.sqrt(_dot(v, v))[None, :])
+                # A product of matrices is off by less than this; what is not a number stays in.
+                low = np.full(len(q), -np.inf) if len(v) <= k else -np.partition(-np.where(np.isnan(near), -np.inf, near), k - 1, axis=1)[:, k - 1] - 2e-6
+                i, j = np.nonzero(~(near < low[:, None]))
+                length = np.sqrt(_dot(v, v))[j] * np.sqrt(_dot(q, q))[i]
+                good = length != 0
+                ids.append(place[j][good])
+                asking.append(at[i][good])
+                raw.append((_dot(v[j], q[i]) / length)[good])
+        take = lambda t, c, parts: t.column(c).combine_chunks().take(pa.array(np.concatenate(parts) if parts else np.zeros(0, int)))
+        return pa.table([take(queries, "query_id", asking), take(vectors, "chunk_id", ids), pa.array(np.concatenate(raw) if raw else np.zeros(0))], ["query_id", "chunk_id", "raw"])
+
+    return run
+
+
+def met(queries: DataFrame, rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(query_id, chunk_id, raw): cosines to six places of queries (query_id, q, keys) with vectors (chunk_id, vector, keys) of equal keys; of each block at least the k nearest of each query.
+
+    Each block of a key's vectors meets each block of its queries, whole matrices at a time; blocks are dealt by hashes.
+    """
+    most = lambda d: d.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    many, asked = -(-most(rows) // BLOCK), -(-most(queries) // ASKED)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select(*keys, "chunk_id", F.col("vector").cast("array<double>").alias("vector"), part("chunk_id", many).alias("v"), every(asked).alias("w"))
+    right = queries.select(*keys, "query_id", F.col("q").cast("array<double>").alias("q"), part("query_id", asked).alias("w"), every(many).alias("v"))
+    kinds = dict(left.dtypes) | dict(right.dtypes)
+    by = [*keys, "v", "w"]
+    out = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_compared(k), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, raw double")
+    return out.select("query_id", "chunk_id", F.round("raw", 6).alias("raw"))
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """(query_id, chunk_id, rank, score) as retrieval.vector_topk() of queries and vectors (chunk_id, project_id, vector), by blocks: all pairs are compared."""
+    found = met(queries.where("vector is not null").select("query_id", "project_id", F.col("vector").alias("q")), vectors, ["project_id"], k)
+    return ranked(found, k, F.desc("raw"), "chunk_id").select("query_id", "chunk_id", "rank", F.greatest(F.lit(0.0), "raw").alias("score"))
+
+
+def _met(turns: DataFrame, index: Index, k: int) -> DataFrame:
+    """(query_id, chunk_id, raw): met() of queries with the vectors of their project in their lists."""
     rows = turns.sparkSession.read.schema(LISTS).parquet(f"{index.path}/lists").select("list", "project_id", "chunk_id", "vector")
-    pairs = rows.join(small(turns.select("query_id", "project_id", "q", "list")), ["list", "project_id"])
-    return pairs.select("query_id", "chunk_id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("raw")).where("raw is not null")
+    return met(turns.select("query_id", "project_id", "q", "list"), rows, ["list", "project_id"], k)
 
 
 def topk(queries: DataFrame, index: Index, k: int = CANDIDATES, probes: int | None = None, exact: bool = False) -> DataFrame:
@@ -161,13 +229,13 @@ def topk(queries: DataFrame, index: Index, k: int = CANDIDATES, probes: int | No
     turns = checkpointed(_turns(queries, index))
     first = F.col("turn") < (index.probes if probes is None else probes)
     order = F.desc("raw"), "chunk_id"
-    found = ranked(_met(turns.where(first), index), k, *order)
+    found = ranked(_met(turns.where(first), index, k), k, *order)
     if exact:
         found = checkpointed(found)
         least = found.where(F.col("rank") == k).select(F.col("query_id").alias("query"), F.col("raw").alias("least"))
         # Rounding to six places may bring a vector up to the k-th.
         rest = turns.where(~first).join(least, F.col("query_id") == F.col("query"), "left").where("least is null or bound >= least - 0.000002")
-        found = ranked(found.drop("rank").unionByName(_met(rest.select(turns.columns), index)), k, *order)
+        found = ranked(found.drop("rank").unionByName(_met(rest.select(turns.columns), index, k)), k, *order)
     return found.select("query_id", "chunk_id", "rank", F.greatest(F.lit(0.0), "raw").alias("score"))
 
 

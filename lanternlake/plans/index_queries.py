@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanternlake.operators import postings as T
-from lanternlake.operators import retrieval as R
 from lanternlake.operators import vector_index as W
 from lanternlake.plans.retrieval_queries import DOCS, KEYWORD_SQL, VECS, WITH, _cos, _tokens, query_set, vector_sql
 from lanternlake.sources import tables as S
@@ -61,7 +60,7 @@ def vector_index_recall(spark, sf):
     """The share of the exact ten nearest that the probes alone find."""
     every, asked = _asking(spark, sf)
     index = W.build(every, new_folder(spark, "vectors"), k=10)
-    return W.recall(W.topk(asked, index, 10), R.vector_topk(asked, every.select("chunk_id", "project_id"), every, k=10))
+    return W.recall(W.topk(asked, index, 10), W.nearest(asked, every, 10))
 
 
 QUERIES = {f.__name__: f for f in (postings_topk, postings_frequencies, postings_matches, vector_index_topk, vector_index_recall)}

@@ -135,3 +135,15 @@ def test_large_query_sets_are_joined_by_parts(spark, monkeypatch):
     whole = rows(R.vector_topk(queries, vectors, vectors, 5), *hits)
     monkeypatch.setattr(R, "BROADCAST_QUERIES", 3)
     assert rows(R.vector_topk(queries, vectors, vectors, 5), *hits) == whole
+
+
+def test_blocks_find_what_all_pairs_find(spark, monkeypatch):
+    monkeypatch.setattr(W, "BLOCK", 20)
+    monkeypatch.setattr(W, "ASKED", 7)
+    rng = np.random.default_rng(3)
+    rows = [(k, f"p{k % 2}", [float(x) for x in rng.integers(-2, 3, 4)]) for k in range(150)]
+    rows += [(200, "p0", None), (201, "p0", [0.0] * 4), (202, "p0", [1.0, None, 0.0, 0.0]), (203, "p0", [1.0, 2.0]), (204, "p1", [float("nan")] * 4), (205, "p1", [float("inf"), 0.0, 0.0, 1.0]), (206, "p0", [])]
+    vectors = spark.createDataFrame(rows, "chunk_id bigint, project_id string, vector array<double>")
+    asked = vectors.where("chunk_id % 3 = 0 or chunk_id >= 200").withColumnRenamed("chunk_id", "query_id")
+    got, want = W.nearest(asked, vectors, 5), R.vector_topk(asked, vectors.select("chunk_id", "project_id"), vectors, 5)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
