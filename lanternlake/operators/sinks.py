@@ -1,7 +1,7 @@
 """A store of documents, chunks and vectors that ingestions change, and run again without changing it further.
 
 Each table lies in buckets by document. An ingestion rewrites the buckets that hold one of its documents: first to a folder of its own, then,
-when all tables are there, in place of the old ones. What it can't take goes to a table of rejects, and what it did to a ledger, each under its batch.
+when all tables are there, their folders are moved in place of the old ones. What it can't take goes to a table of rejects, and what it did to a ledger, each under its batch.
 If it fails at any point it is run again; rows are replaced by id, so the state is the same as after one run.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternlake.operators.workflow import as_json
-from lanternlake.storage import checkpointed, exists, stored
+from lanternlake.storage import checkpointed, exists, moved, removed, stored
 
 BUCKETS = 32
 
@@ -41,11 +41,30 @@ def _staged(path: str, name: str, new: DataFrame, status: DataFrame, batch: str,
     written = status.where(F.col("status").isin(*come)).select(id_col).distinct()
     # At most BUCKETS numbers: only these are read and written.
     numbers = [r[0] for r in touched.select(_bucket(id_col).alias("b")).distinct().collect()]
-    old = table(spark, path, name, schema, id_col, numbers)
-    rows = old.join(touched, id_col, "left_anti").select(new.columns).unionByName(new.join(written, id_col, "left_semi").select(new.columns)).withColumn("bucket", _bucket(id_col))
+    come_to = [r[0] for r in written.select(_bucket(id_col).alias("b")).distinct().collect()]
+    # Rows are shuffled once, by id to meet the status, and each task writes its part of each bucket.
+    parts = []
+    if numbers and exists(spark, f"{path}/{name}"):
+        parts.append(table(spark, path, name, schema, id_col, numbers).join(touched, id_col, "left_anti"))
+    if come_to:
+        parts.append(new.where(_bucket(id_col).isin(come_to)).join(written, id_col, "left_semi"))
     # A row without id keeps a bucket's place when all its documents go.
-    marks = spark.createDataFrame([(n,) for n in numbers], "bucket int").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema), "bucket")
-    stored(rows.unionByName(marks).repartition("bucket"), f"{path}/_staged/{batch}/{name}", "bucket")
+    rows = spark.createDataFrame([(n,) for n in numbers], "bucket int").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema), "bucket")
+    for part in parts:
+        rows = rows.unionByName(part.select(new.columns).withColumn("bucket", _bucket(id_col)))
+    to = f"{path}/_staged/{batch}/{name}"
+    # What an earlier run of the batch staged goes.
+    removed(spark, to)
+    stored(rows, to, "bucket")
+
+
+def _put(spark: SparkSession, path: str, batch: str, name: str) -> None:
+    """Moves what is staged of a table in place, after a mark that it is whole: a failure in between is mended from there."""
+    mark = f"{path}/_staged/{batch}/{name}-whole"
+    if not exists(spark, mark):
+        stored(spark.range(1), mark)
+    moved(spark, f"{path}/_staged/{batch}/{name}", f"{path}/{name}")
+    removed(spark, mark)
 
 
 def ingest(path: str, batch: str, status: DataFrame, documents: DataFrame, chunks: DataFrame | None = None, vectors: DataFrame | None = None, rejects: DataFrame | None = None, id_col: str = "document_id") -> None:
@@ -57,6 +76,10 @@ def ingest(path: str, batch: str, status: DataFrame, documents: DataFrame, chunk
     rows of status count once. Tables that aren't given stay as they are.
     """
     status = checkpointed(status.select(id_col, "status").distinct())
+    spark = status.sparkSession
+    for name in ("documents", "chunks", "vectors"):
+        if exists(spark, f"{path}/_staged/{batch}/{name}-whole"):
+            _put(spark, path, batch, name)
     parts = {"documents": (documents, ("new", "changed", "deleted"), ("new", "changed"))}
     if chunks is not None:
         parts["chunks"] = (chunks, *parts["documents"][1:])
@@ -70,10 +93,8 @@ def ingest(path: str, batch: str, status: DataFrame, documents: DataFrame, chunk
     for name, (rows, gone, come) in parts.items():
         _staged(path, name, rows, status.where(F.col(id_col).isNotNull()), batch, id_col, gone, come)
     stored(refused.withColumn("batch", F.lit(batch)), f"{path}/rejects", "batch")
-    spark = status.sparkSession
-    for name, (rows, _, _) in parts.items():
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        stored(spark.read.schema(f"{schema}, bucket int").parquet(f"{path}/_staged/{batch}/{name}"), f"{path}/{name}", "bucket")
+    for name in parts:
+        _put(spark, path, batch, name)
     stored(status.groupBy("status").agg(F.count("*").alias("n")).withColumn("batch", F.lit(batch)), f"{path}/ledger", "batch")
 
 

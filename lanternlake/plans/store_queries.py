@@ -48,8 +48,11 @@ def store_state(spark, sf):
     path = filled_store(spark, sf)
     chunks = W.table(spark, path, "chunks", CHUNK).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("position", "chunk"))).alias("c"))
     vectors = W.table(spark, path, "vectors", VECTOR).select("document_id", F.lit(True).alias("has_vector"))
-    out = W.table(spark, path, "documents", DOCUMENT).join(chunks, "document_id", "full").join(vectors, "document_id", "full")
-    return out.select("document_id", "project_id", F.md5("content").alias("content_md5"), F.md5(F.array_join(F.transform("c", lambda x: x["chunk"]), "\n")).alias("chunks_md5"), F.coalesce("has_vector", F.lit(False)).alias("has_vector"))
+    # Digests are joined, not texts.
+    chunks = chunks.select("document_id", F.md5(F.array_join(F.transform("c", lambda x: x["chunk"]), "\n")).alias("chunks_md5"))
+    documents = W.table(spark, path, "documents", DOCUMENT).select("document_id", "project_id", F.md5("content").alias("content_md5"))
+    out = documents.join(chunks, "document_id", "full").join(vectors, "document_id", "full")
+    return out.select("document_id", "project_id", "content_md5", "chunks_md5", F.coalesce("has_vector", F.lit(False)).alias("has_vector"))
 
 
 def store_rejects(spark, sf):

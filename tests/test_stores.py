@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -85,6 +87,38 @@ def test_a_failure_leaves_the_store_as_it_was_and_a_rerun_completes_it(spark, mo
     assert state(spark, path) == expected({k: v for k, v in docs.items() if k != 6} | dict(later))
 
 
+def test_a_failure_while_folders_are_moved_is_mended_by_the_next_run(spark, monkeypatch):
+    path, docs = folder(), {k: f"a{k}" for k in range(200)}
+    bring(spark, path, "1", list(docs.items()), [(k, "new") for k in docs])
+    kept = W.moved
+
+    def failing(spark, at, to):
+        # The first folder's old rows are gone, the new ones aren't there yet.
+        first = min(x for x in os.listdir(at) if "=" in x)
+        shutil.rmtree(f"{to}/{first}")
+        raise OSError("no network")
+
+    later, status = [(k, f"b{k}") for k in range(100)], [(k, "changed") for k in range(100)]
+    monkeypatch.setattr(W, "moved", failing)
+    with pytest.raises(OSError):
+        bring(spark, path, "2", later, status)
+    monkeypatch.setattr(W, "moved", kept)
+    bring(spark, path, "2", later, status)
+    assert state(spark, path) == expected(docs | dict(later))
+
+
+def test_texts_are_written_once_and_shuffled_once(spark, monkeypatch):
+    path, kept, written = folder(), W.stored, []
+    monkeypatch.setattr(W, "stored", lambda df, to, *partitions: (written.append((to.removeprefix(path), df._jdf.queryExecution().executedPlan().toString())), kept(df, to, *partitions)))
+    bring(spark, path, "1", [(1, "a"), (2, "b")], [(1, "new"), (2, "new")])
+    tables = [(to, plan) for to, plan in written if "content" in plan and "rejects" not in to]
+    assert [to for to, _ in tables] == [f"/_staged/1/{name}" for name in ("documents", "chunks", "vectors")]
+    assert not any("REPARTITION_BY" in plan for _, plan in tables)
+    written.clear()
+    bring(spark, path, "1", [(1, "a"), (2, "b")], [(1, "skipped"), (2, "skipped")])
+    assert not any("Join" in plan for to, plan in written if "_staged" in to) and state(spark, path) == expected({1: "a", 2: "b"})
+
+
 def test_json_of_runs_is_replaced_by_batch(spark):
     path = folder()
     for rows, batch in (([("r1", 1), ("r2", None)], "a"), ([("r3", 3)], "b"), ([("r1", 5)], "a")):
