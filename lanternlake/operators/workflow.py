@@ -109,7 +109,7 @@ def validated(outputs: DataFrame, repairs: int = 2) -> DataFrame:
 def embedded(chunks: DataFrame, provider, dimension: int, most: int = 100_000) -> DataFrame:
     """(chunk_id, vector, error) of chunks (chunk_id, content): blank and overlong ones have an error instead of a vector, none is dropped."""
     text = F.coalesce("content", F.lit(""))
-    error = F.when(F.regexp_replace(text, r"\s", "") == "", "EMPTY").when(F.length(text) > most, "TOO_LONG")
+    error = F.when(~text.rlike(r"\S"), "EMPTY").when(F.length(text) > most, "TOO_LONG")
     marked = chunks.select("chunk_id", "content", error.alias("error"))
     return marked.select("chunk_id", F.when(F.col("error").isNull(), provider(F.col("content"), dimension)).alias("vector"), "error")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 import re
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -116,3 +119,35 @@ def test_embeddings_have_length_one(spark):
     assert out[2] == out[3]
     cosine = lambda a, b: sum(x * y for x, y in zip(out[a], out[b], strict=True))
     assert cosine(0, 1) > cosine(0, 5)
+
+
+def test_embeddings_hash_each_word_once_whatever_the_dimension(spark):
+    texts = [None, "", "x", "Ünï two two TWO", " ".join(f"w{i}" for i in range(700)), "aa bb aa cc " * 50]
+
+    def plain(text, dimension):
+        number = lambda w, at: int(hashlib.md5(w.encode()).hexdigest()[at : at + 8], 16)
+        v = [0.0] * dimension
+        for w in re.findall(r"\w{2,}", (text or "").lower()):
+            v[number(w, 0) % dimension] += 1.0 if number(w, 8) % 2 == 0 else -1.0
+        if not any(v):
+            v[number(text or "", 0) % dimension] = 1.0
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / n for x in v]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for dimension in (1, 8, 37):
+        out = {r.i: r.v for r in df.select("i", V.embed_text(F.col("t"), dimension).alias("v")).collect()}
+        assert out == {i: plain(t, dimension) for i, t in enumerate(texts)}
+
+    long = spark.range(64).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.concat(F.lit("w"), i * 7 + F.col("id").cast("int")))).alias("t"))
+
+    def seconds(dimension):
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            long.select(F.sum(V.norm(V.embed_text(F.col("t"), dimension)))).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    small, large = seconds(8), seconds(512)
+    assert large < 4 * small + 2
