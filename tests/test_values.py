@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 
 import pytest
@@ -202,3 +203,16 @@ def test_gold_in_a_long_text_takes_the_text_apart_once(spark):
     began = time.perf_counter()
     assert {tuple(r) for r in E.passage_gold(cases, chunks).collect()} == {(1, "a"), (2, "a"), (2, None)}
     assert time.perf_counter() - began < 30
+
+
+def test_keywords_are_counted_within_chunks_before_they_meet_queries(spark):
+    chunks = spark.createDataFrame([(1, "p", "red red blue"), (1, "p", "red green"), (2, "p", "blue Blue"), (3, "q", "red"), (4, "p", None), (5, None, "red")], "chunk_id bigint, project_id string, content string")
+    queries = spark.createDataFrame([(1, "p", "red blue"), (2, "p", "blue x none"), (2, "p", "blue x none"), (3, "p", None), (4, "q", "red, RED")], "query_id bigint, project_id string, text string")
+    out = R.keyword_topk(queries, chunks)
+    weight = lambda n: 0.1 * sum(1 / j**2 for j in range(1, n + 1)) / 1.64493406685
+    # The rows of a repeated chunk id count together, those of a repeated query id twice.
+    want = {(1, 1): (weight(3) + weight(1)) / 2, (1, 2): weight(2) / 2, (2, 1): weight(2) / 2, (2, 2): weight(4) / 2, (4, 3): weight(1)}
+    assert {(r.query_id, r.chunk_id): r.score for r in out.collect()} == {k: round(v, 6) for k, v in want.items()}
+    # No shuffle deals out each query's hits: words go once, by chunk.
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", out._jdf.queryExecution().executedPlan().toString())
+    assert dealt and not any("query_id" in x and "chunk_id" in x for x in dealt)
