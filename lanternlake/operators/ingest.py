@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,16 +94,33 @@ def _code_pieces(text: str) -> list[tuple[str, str | None, str]]:
     return out or [("File", None, text)]
 
 
+#: Characters of the chunks that leave a task at once.
+PART_CHARS = 1 << 20
+
+
 def code_chunks(docs: DataFrame, id_col: str = "document_id", text_col: str = "content") -> DataFrame:
     """(id, position, chunk_type, symbol, chunk) of source texts by the look of their declarations; texts without any are one File chunk."""
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(i, k, *piece) for i, text in zip(pdf["id"], pdf["text"], strict=True) for k, piece in enumerate(_code_pieces(text or ""))]
-            yield pd.DataFrame(rows, columns=["id", "position", "chunk_type", "symbol", "chunk"])
+    def built(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        at, *columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.string()] * 3), strict=True))], ["id", "position", "chunk_type", "symbol", "chunk"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # One text at a time is taken apart, and what is made of a batch leaves in parts of some size.
+            rows, size = [], 0
+            for at in range(batch.num_rows):
+                for k, piece in enumerate(_code_pieces(batch.column(1)[at].as_py() or "")):
+                    rows.append((at, k, *piece))
+                    size += len(piece[2])
+                    if size >= PART_CHARS:
+                        yield built(batch.column(0), rows)
+                        rows, size = [], 0
+            if rows:
+                yield built(batch.column(0), rows)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, position int, chunk_type string, symbol string, chunk string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, position int, chunk_type string, symbol string, chunk string").withColumnRenamed("id", id_col)
 
 
 #: Chunkers by document type; others are cut by sections.

@@ -101,3 +101,13 @@ def test_lateral_call(spark):
     out = K.code_chunks(docs).collect()
     assert len(out) == 12 + 3 and {(r.document_id, r.chunk_type, r.chunk) for r in out} >= {(2, "File", "text"), (3, "File", ""), (1, "Class", "class B { }")}
     assert K.code_chunks(docs.limit(0)).collect() == []
+
+
+def test_code_chunks_leave_in_parts(spark, monkeypatch):
+    from lanternlake.operators import ingest
+
+    monkeypatch.setattr(ingest, "PART_CHARS", 40)
+    texts = [None, "", "plain", "class A {\n public int B() {\n return 1;\n }\n}\n", "x" * 100, *("class C%d {\n}" % i for i in range(30))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "document_id bigint, content string").coalesce(1)
+    out = sorted(ingest.code_chunks(docs).collect())
+    assert [tuple(r) for r in out] == [(i, k, *piece) for i, t in enumerate(texts) for k, piece in enumerate(ingest._code_pieces(t or ""))]
