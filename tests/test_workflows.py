@@ -50,6 +50,21 @@ def test_a_change_asks_for_its_actions_in_one_search(spark, monkeypatch):
     assert {r.id for r in out.collect()} == {*names[1:6], "A.OController.M7()"}
 
 
+def test_a_change_computes_its_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: read.add(1) or x).asNondeterministic()
+    same = [symbol("A.OController", "Class", "1"), symbol("A.OController.Get()", "Method", "1", "[HttpGet] Get"), symbol("A.Client", "Class", "1", file="src/client.cs"), symbol("A.Client.http", "Field", "1", None, "HttpClient", "src/client.cs"), symbol("A.T", "Class", "1")]
+    base, target = (spark.createDataFrame([*same, symbol("A.S", "Class", h)], SYMBOL) for h in "12")
+    pairs = [("A.OController.Get()", "A.S"), ("A.OController.Get()", "A.S"), ("A.S", "A.Client.http"), ("A.Client", "A.OController.Get()"), ("A.T", "A.Client"), ("A.T", "A.Far"), ("A.Far", None), (None, "A.S")]
+    edges = spark.createDataFrame(pairs, "from_id string, to_id string").select(counted("from_id").alias("from_id"), "to_id")
+    out = L.change_model(base, target, edges, spark.createDataFrame([], "path string, content string")).where("section in ('impacted', 'edge', 'api', 'integration') and id is not null")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([
+        ("impacted", "A.OController.Get()", "1"), ("impacted", "A.Client", "2"), ("edge", "A.OController.Get() -> A.S", None), ("edge", "A.S -> A.Client.http", None), ("edge", "A.Client -> A.OController.Get()", None), ("edge", "A.T -> A.Client", None),
+        ("api", "A.OController.Get()", "GET /O"), ("integration", "A.Client", "2"),
+    ], key=str)
+    assert read.value <= len(pairs)
+
+
 def test_requests_that_ask_the_same_are_searched_once(spark, monkeypatch):
     chunks = spark.createDataFrame([(k, "p", "orders late" if k % 2 else "paid", f"s{k % 3}") for k in range(30)], "chunk_id bigint, project_id string, content string, service string")
     vectors = spark.createDataFrame([], "chunk_id bigint, vector array<double>")
